@@ -36,6 +36,8 @@ LATIN = "äöüßÄÖÜéèêàâîïçùûôœæñáíóúìòëÀÉÈÇÁÍÓ
 DOUBLE, DOUBLE_WRONG = ("gb18030", "big5"), ("cp1252", "latin-1")
 OPENING, CLOSING = "“„«‘\"'‚‹「『(", "”“»’\"'‘›」』)"
 ROUNDS = 3
+_LETTERS, _LOST = regex.compile(r"\p{L}+"), regex.compile(r"[�\u0080-\u0084\u0086-\u009f]+")
+_ACCENTED = regex.compile(r"[\u0080-\u00ff\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{6,}")
 
 
 def _decode(raw: bytes, wrong: str) -> str:
@@ -155,7 +157,7 @@ class Repairer:
                 if sum(map(str.isalpha, run)) < 8:
                     continue
                 new = "".join(table.get(c, c) for c in run)
-                words, old = regex.findall(r"\p{L}+", new), regex.findall(r"\p{L}+", run)
+                words, old = _LETTERS.findall(new), _LETTERS.findall(run)
                 regular = sum(w.islower() or w.istitle() for w in words) / max(1, len(words))
                 before = sum(w.islower() or w.istitle() for w in old) / max(1, len(old))
                 value, gain = self._mean(new), self._mean(new) - self._mean(run)
@@ -170,10 +172,17 @@ class Repairer:
                 at = span[1]
         return out
 
+    def readings(self, line: str) -> Iterator[str]:
+        """The line as it would read under each pair of single-byte encodings: for callers that know what to expect."""
+        for _, _, table, _ in self.single:
+            new = "".join(table.get(c, c) for c in line)
+            if new != line:
+                yield new
+
     def ideographs(self, text: str) -> list[tuple[int, int, str, str, bool]]:
         """Runs of accented letters and signs that are common ideographs in a double-byte encoding."""
         best: dict[int, tuple] = {}
-        for m in regex.finditer(r"[\u0080-\u00ff\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{6,}", text):
+        for m in _ACCENTED.finditer(text):
             for wrong in DOUBLE_WRONG:
                 back, run = self.back[wrong], m.group()
                 if not all(c in back for c in run):
@@ -237,7 +246,7 @@ class Repairer:
             proven += changed
             text = "".join([*parts, text[at:]])
         lost = 0
-        for m in regex.finditer(r"[�\u0080-\u0084\u0086-\u009f]+", text):
+        for m in _LOST.finditer(text):
             lost += not self.quoted(text, m.start(), m.end())
         return text, proven + lost, lost > 0, ",".join(sorted(seen))
 

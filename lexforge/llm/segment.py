@@ -38,7 +38,7 @@ SAYING_SIGNS = regex.compile(r"^[^。！？；，：“”「」]{0,12}?(?:说
 OPEN, CLOSE = "“«„‘‚「『‹", "”»’」』›"
 _BLANK = regex.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _IGNORED = "​‌‍⁠﻿­"
-_TERMINATOR = regex.compile(r"(?:\.{2,}|…+|[.!?．！？;；;]+)")
+_TERMINATOR = regex.compile(r"(?:\.{2,}|…+|[.!?．！？;；\u037e]+)")
 _DANDA = regex.compile(r"(?:॥|\|\|)\s*[०-९0-9]+\s*(?:॥|\|\|)|[।॥]+|(?<=[ऀ-ॿ]\s?)[.!?|]+(?=\s|$)")
 _HAN_END = regex.compile(r"(?:……|[。！？!?]+)[”’」』》）\"]*")
 _HAN = regex.compile(r"[㐀-䶿一-鿿]")
@@ -109,7 +109,7 @@ def _doubt(part: str, m: regex.Match, end: int) -> float | None:
     """Log-odds that a terminator ends a sentence; None where it can't."""
     mark = m.group()
     before = part[max(0, m.start() - 30) : m.start()].rstrip(_IGNORED)
-    if mark[0] in ";；;":
+    if mark[0] in ";；\u037e":
         if not _AFTER_GREEK.search(before[-8:]):
             return None
     rest = part[end : end + 60].lstrip(_BLANKS)
