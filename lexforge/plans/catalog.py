@@ -23,13 +23,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"lexforge.plans.{name}")
+
+
+MODULES = ("corpus", "platform")
+FLAGSHIP_NAME = "cql_sequence"
+
+
 def FLAGSHIP(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{d}/tokens.parquet").groupBy("lemma").count()
+    return queries()[FLAGSHIP_NAME](spark, d)
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
