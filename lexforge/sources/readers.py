@@ -117,7 +117,7 @@ GUTENBERG_END = r"(?s)\*\*\* ?END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*$"
 
 def gutenberg_text(c):
     """The text between the first start mark, whose line goes too, and the first end mark."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, GUTENBERG_START, ""), GUTENBERG_END, ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, GUTENBERG_START, ""), GUTENBERG_END, ""), r"^\s+|\s+$", "")
 
 
 def labelled_csv(spark: SparkSession, path: str, text: str = "text", label: str = "label") -> DataFrame:
