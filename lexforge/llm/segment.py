@@ -54,6 +54,7 @@ _BLANKS = " \n\t\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u
 _AFTER_GREEK = regex.compile(r"\p{Greek}[\p{M}»”\")]*$")
 _NEXT = regex.compile(r"[^\p{L}\p{N}]*+([\p{L}\p{N}][\p{L}\p{M}\p{N}" + _IGNORED + r"]*+)")
 _TOKEN = regex.compile(r"[\p{L}\p{M}&." + _IGNORED + r"]+$")
+_CITED = regex.compile(r"(?<![\p{L}.])([\p{L}.]{1,5})\.\s\p{Lu}\p{Ll}{1,4}$")
 _NUMBER = regex.compile(r"(\p{N}+)$")
 _TAIL = regex.compile(r"[^\s\p{L}\p{N}]*+")
 _LEVEL = regex.compile(r"[«(„“»)”]")
@@ -141,6 +142,11 @@ def _doubt(part: str, m: regex.Match, end: int) -> float | None:
             first = regex.search(r"(\p{L})$", before)
             if len(token) == 1 and first and first.group(1).isupper():
                 return -5.0 if not small else -6.0
+            if len(token) == 1 and first and first.group(1).islower() and token not in ENDING and not greek:
+                return -5.0  # one letter of an abbreviation in several
+            cited = _CITED.search(before)
+            if cited and cited.group(1).casefold() in BEFORE:
+                return -4.0  # a short name after "cf." is itself cut short
             if token in ENDING:
                 return -6.0 if small else 4.0
             if token in BEFORE:

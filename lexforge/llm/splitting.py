@@ -40,7 +40,7 @@ class RangeMax:
 
     def query(self, a: int, b: int) -> int:
         """Of the positions a <= p < b."""
-        k = (b - a).bit_length() - 1
+        k = int(b - a).bit_length() - 1
         left, right = int(self.levels[k][a]), int(self.levels[k][b - (1 << k)])
         return right if self.values[right] >= self.values[left] else left
 
