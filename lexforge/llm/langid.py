@@ -15,9 +15,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.boilerplate import _SUSPECT, fold, weights
+from lexforge.llm.boilerplate import fold, weights
 from lexforge.llm.confusables import normalise
-from lexforge.llm.mojibake import repairer
+from lexforge.llm.mojibake import _SUSPECT, repairer
 from lexforge.llm.segment import sentences
 
 LANGUAGES = ("grc", "la", "en", "el", "de", "fr", "es", "it", "ru", "zh", "sa")

@@ -39,6 +39,15 @@ ROUNDS = 3
 _LETTERS, _LOST = regex.compile(r"\p{L}+"), regex.compile(r"[�\u0080-\u0084\u0086-\u009f]+")
 _ACCENTED = regex.compile(r"[\u0080-\u00ff\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{6,}")
 
+#: A text that may be garbled or spelt with look-alikes somewhere; other texts need no restoring.
+_SUSPECT = regex.compile(
+    r"[\u0080-\u009f�­​-‏⁠﻿  -  ０-９Ａ-Ｚａ-ｚ̀-ͅ─-╿ﬀ-ﬆ]"
+    r"|[ÂÃÄÅÎÏÐÑØÙâãäåæçŒœ√¬‚┬├ΞΟΒΓРС][^\x00-\x7fÀ-ÿͰ-Ͽἀ-῿Ѐ-џ«»“”„’‘…–—·ʹऀ-ॿ一-鿿]"
+    r"|[ÂÃÎÏÐÑà-å][¡-¿]|[À-ÿ]{3}|[ΞΟΒΓ][¡-¶¸-º¼-¿‚†‡•΄-Ώ]|[а-я][А-Я]"
+    r"|[a-zA-Z][Ͱ-Ͽἀ-῿Ѐ-ӿ]|[Ͱ-Ͽἀ-῿Ѐ-ӿ][a-zA-Z]|[α-ω][Α-Ω]|[α-ω][Ѐ-ӿ]"
+    r"|[РС][ -º¼-¿‚†‡•]|[άέήίόύώ]"
+)
+
 
 def _decode(raw: bytes, wrong: str) -> str:
     """As lenient decoders do: a byte without a meaning becomes the control character of its number."""
@@ -212,8 +221,12 @@ class Repairer:
         """The span alone stands between quotation marks: it is shown, not used."""
         return s > 0 and e < len(text) and text[s - 1] in OPENING and text[e] in CLOSING
 
-    def repair(self, text: str) -> tuple[str, int, bool, str]:
-        """The restored text, the number of proven spans, whether characters are lost, the wrong encodings seen."""
+    def repair(self, text: str, ends: list[int] | None = None) -> tuple[str, int, bool, str]:
+        """The restored text, the number of proven spans, whether characters are lost, the wrong encodings seen.
+
+        `ends`, if given, holds where each character of the text ends; it is changed along with the text, so that it still tells for each
+        character of the restored text where the garbled one ended.
+        """
         if text.isascii():
             return text, 0, False, ""
         proven, seen = 0, set()
@@ -234,16 +247,24 @@ class Repairer:
                 else:
                     groups.append([sp])
             parts, at, changed = [], 0, 0
+            marks: list[int] = []
             for g in groups:
                 s, e = g[0][0], g[-1][1]
                 if not any(x[4] for x in g) or self.quoted(text, s, e):
                     continue
                 parts += [text[at:s], *(x[2] for x in g)]
+                if ends is not None:
+                    marks += ends[at:s]
+                    for x in g:
+                        # a span as long as its restored form keeps its places
+                        marks += ends[x[0] : x[1]] if len(x[2]) == x[1] - x[0] else [ends[x[1] - 1]] * len(x[2])
                 at, changed = e, changed + 1
                 seen |= {x[3] for x in g}
             if not changed:
                 break
             proven += changed
+            if ends is not None:
+                ends[:] = marks + ends[at:]
             text = "".join([*parts, text[at:]])
         lost = 0
         for m in _LOST.finditer(text):

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm.mojibake import _SUSPECT, repairer
+
 #: Abbreviations that stand before a name, number or quotation (fixed values).
 BEFORE = set("""
 dr prof mr mrs ms st sr sra rev fr hl vol vols cap caps lib ed edd eds ca c cf cfr p pp s ss seq fol foll no nr n nn num núm pág págs pag pagg bd bde hg hrsg jh ch chap fig figs
@@ -242,6 +244,21 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the units of a text that may be garbled in places: boundaries are found in the restored text and carried back."""
+    if text.isascii() or not _SUSPECT.search(text):
+        return sentences(text)
+    ends = list(range(1, len(text) + 1))
+    plain, spans, _, _ = repairer().repair(text, ends)
+    if not spans or plain == text:
+        return sentences(text)
+    out = []
+    for s, e in sentences(plain):
+        begin = ends[s - 1] if s else 0
+        out.append((begin + len(text[begin : ends[e - 1]]) - len(text[begin : ends[e - 1]].lstrip()), ends[e - 1]))
+    return out
+
+
 def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sentence_no, start_pos, end_pos, sentence): positions count characters from 1, both ends belong to the sentence.
 
@@ -250,7 +267,7 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, n, s + 1, e, t[s:e]) for k, t in zip(b["k"], b["t"]) if isinstance(t, str) for n, (s, e) in enumerate(sentences(t))]
+            rows = [(k, n, s + 1, e, t[s:e]) for k, t in zip(b["k"], b["t"]) if isinstance(t, str) for n, (s, e) in enumerate(places(t))]
             yield pd.DataFrame(rows, columns=[key, "sentence_no", "start_pos", "end_pos", "sentence"])
 
     kind = df.schema[key].dataType.simpleString()
