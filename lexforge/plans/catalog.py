@@ -30,7 +30,7 @@ def _load() -> None:
         importlib.import_module(f"lexforge.plans.{name}")
 
 
-MODULES = ("corpus", "platform")
+MODULES = ("corpus", "platform", "more")
 FLAGSHIP_NAME = "cql_sequence"
 
 
