@@ -81,3 +81,59 @@ def without_accents(s: pd.Series) -> pd.Series:
 def feature(feats: Column, name: str) -> Column:
     """One value of a K=V|K=V list; null without it."""
     return F.nullif(F.regexp_extract(feats, rf"(?:^|\|){name}=([^|]*)", 1), F.lit(""))
+
+
+#: Letters of beta code, one for one (fixed values).
+BETA, UNICODE = "abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω"
+#: Blocks of pictographs (fixed values).
+PICTOGRAPHS = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{FE0F}]"
+
+
+def beta_code(c: Column) -> Column:
+    """Greek letters for the letters of beta code; other signs stay."""
+    return final_sigma(F.translate(F.lower(c), BETA, UNICODE))
+
+
+def without_pictographs(c: Column) -> Column:
+    return F.regexp_replace(c, PICTOGRAPHS, "")
+
+
+def newlines(c: Column) -> Column:
+    """Line feeds only, no blanks at line ends, at most one empty line."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n")
+
+
+def nonempty_lines(c: Column) -> Column:
+    return F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+
+def digest(c: Column, size: int = 16) -> Column:
+    """The first hexadecimal digits of the digest of a text without case and spacing."""
+    return F.substring(F.md5(collapse(F.lower(c))), 1, size)
+
+
+def domain(url: Column) -> Column:
+    return F.nullif(F.regexp_extract(url, r"^[a-zA-Z]+://(?:www\.)?([^/:?#]+)", 1), F.lit(""))
+
+
+@F.pandas_udf(StringType())
+def monotonic(s: pd.Series) -> pd.Series:
+    """Greek with one accent: breathings and iota subscript go, grave and circumflex become acute."""
+
+    def one(x: str) -> str:
+        out = []
+        for c in unicodedata.normalize("NFD", x):
+            if c in "̓̔ͅ":
+                continue
+            out.append("́" if c in "̀͂" else c)
+        return unicodedata.normalize("NFC", "".join(out))
+
+    return s.map(one, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def gunzip(s: pd.Series) -> pd.Series:
+    """Text of gzip'd bytes."""
+    import gzip
+
+    return s.map(lambda b: gzip.decompress(b).decode("utf-8"), na_action="ignore")

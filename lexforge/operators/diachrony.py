@@ -77,3 +77,16 @@ def semantic_shift(vectors: DataFrame, vector: str, group: str) -> DataFrame:
         F.sqrt(F.sum(F.pow(F.col("ca") - F.col("cb"), F.lit(2.0)))).alias("distance"),
         (F.sum(F.col("ca") * F.col("cb")) / F.sqrt(F.sum(F.col("ca") * F.col("ca")) * F.sum(F.col("cb") * F.col("cb")))).alias("cosine"),
     )
+
+
+def two_sample(df: DataFrame, value: str, group: str, first: str, second: str, rounds: int = 200, seed: int = 11) -> DataFrame:
+    """(observed, p, rounds): difference of two means and the share of random relabellings with one at least as large.
+
+    A row's label in a round is a hash of the row and the round, so partial sums by round are all that is shuffled.
+    """
+    x = df.where(F.col(value).isNotNull() & F.col(group).isin(first, second)).select((F.col(group) == first).alias("a"), F.col(value).cast("double").alias("x"), F.xxhash64(*df.columns).alias("h"))
+    seen = x.agg(F.abs(F.avg(F.when(F.col("a"), F.col("x"))) - F.avg(F.when(~F.col("a"), F.col("x")))).alias("observed"), F.avg(F.col("a").cast("double")).alias("share"))
+    rolls = x.select("x", "h", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).crossJoin(F.broadcast(seen))
+    drawn = (F.pmod(F.xxhash64("h", "b", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)) < F.col("share")
+    r = rolls.groupBy("b").agg(F.abs(F.avg(F.when(drawn, F.col("x"))) - F.avg(F.when(~drawn, F.col("x")))).alias("d"), F.first("observed").alias("observed"))
+    return r.agg(F.first("observed").alias("observed"), F.avg((F.col("d") >= F.col("observed")).cast("double")).alias("p"), F.count("*").alias("rounds"))

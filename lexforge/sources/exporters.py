@@ -48,3 +48,49 @@ def markdown(items: DataFrame) -> DataFrame:
 def training_rows(items: DataFrame) -> DataFrame:
     """(id, text, language, word_count) with a text, for JSON lines."""
     return items.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0).select("id", F.col("content").alias("text"), F.coalesce("language", F.lit("")).alias("language"), F.coalesce("word_count", F.lit(0)).alias("word_count"))
+
+
+def nested(tokens: DataFrame) -> DataFrame:
+    """(document_id, json): a document's sentences with their tokens, in order. A document is bounded."""
+    t = F.struct("token_index", "form", "lemma", "upos", "head", "deprel", "feats")
+    s = tokens.groupBy("document_id", "sentence_id").agg(F.sort_array(F.collect_list(t)).alias("tokens"))
+    doc = s.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("sentence_id", "tokens"))).alias("sentences"))
+    return doc.select("document_id", F.to_json(F.struct("document_id", "sentences")).alias("json"))
+
+
+def paula(tokens: DataFrame) -> DataFrame:
+    """(document_id, xml): document, sentence and token elements."""
+    att = lambda n, c: F.concat(F.lit(f' {n}="'), escape_xml(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"'))
+    token = F.concat(F.lit("<tok"), att("id", "token_index"), att("form", "form"), att("lemma", "lemma"), att("pos", "upos"), F.lit("/>"))
+    s = tokens.groupBy("document_id", "sentence_id").agg(F.sort_array(F.collect_list(F.struct("token_index", token.alias("l")))).alias("x"))
+    one = F.concat(F.lit('<sent id="'), F.col("sentence_id").cast("string"), F.lit('">'), F.array_join(F.transform("x", lambda r: r["l"]), ""), F.lit("</sent>"))
+    doc = s.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("sentence_id", one.alias("s")))).alias("x"))
+    return doc.select("document_id", F.concat(F.lit('<doc id="'), F.col("document_id").cast("string"), F.lit('">'), F.array_join(F.transform("x", lambda r: r["s"]), ""), F.lit("</doc>")).alias("xml"))
+
+
+def write(df: DataFrame, path: str, kind: str, by: str | None = None) -> None:
+    """One table in a file format: csv, json lines (gzip), text of its last column, parquet."""
+    w = df.write.mode("overwrite")
+    if by:
+        w = w.partitionBy(by)
+    if kind == "csv":
+        w.option("header", True).option("quoteAll", True).csv(path)
+    elif kind == "jsonl":
+        w.option("compression", "gzip").json(path)
+    elif kind == "text":
+        df.select(df.columns[-1]).write.mode("overwrite").text(path)
+    elif kind == "parquet":
+        w.parquet(path)
+    else:
+        raise ValueError(f"no writer for {kind}")
+
+
+#: Treebank exporters by format.
+TREEBANK = {"conllu": conllu, "proiel": proiel, "json": nested, "paula": paula}
+
+
+def convert(tokens: DataFrame, to: str) -> DataFrame:
+    """A token table in another treebank format."""
+    if to not in TREEBANK:
+        raise ValueError(f"unknown format {to}")
+    return TREEBANK[to](tokens)
