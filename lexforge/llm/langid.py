@@ -7,6 +7,7 @@ and document.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.boilerplate import fold, weights
-from lexforge.llm.confusables import normalise
+from lexforge.llm.confusables import INVISIBLE
 from lexforge.llm.mojibake import _SUSPECT, repairer
 from lexforge.llm.segment import sentences
 
@@ -30,7 +31,7 @@ LABELS = {
 CODE = {label: code for code, labels in LABELS.items() for label in labels.split()}
 NO_LABEL = {"", "und", "unknown", "none", "null", "n/a", "mul", "zxx", "mis", "?"}
 
-FRAME, HIDDEN, WINDOW = 4, 20, 48  # bytes a frame, units a direction, frames a window at inference
+FRAME, HIDDEN, WINDOW = 4, 16, 48  # bytes a frame, units a direction, frames a window at inference
 #: The bounded training sample: labelled documents, and windows drawn from each language.
 SAMPLE_DOCUMENTS, STEPS, BATCH, TRAIN_FRAMES = 1500, 260, 176, 20
 SENTENCES_OF_A_SECOND = 3
@@ -215,10 +216,18 @@ def pool(network: Network, units: list[bytes], block: int = 3072) -> np.ndarray:
 # ---------------------------------------------------------------- sentences of a page
 
 
+_UNSEEN = str.maketrans({c: "" for c in INVISIBLE})
+
+
+def _plain(text: str) -> str:
+    """Composed letters of ordinary width without invisible characters: enough for a network that reads hundreds of bytes."""
+    return unicodedata.normalize("NFKC", text.translate(_UNSEEN))
+
+
 def prose(text: str, site: str = "") -> list[tuple[int, str]]:
     """(offset, sentence) of a text's running lines. Lines known as page parts don't count, short lines only where there are no others."""
     if not text.isascii() and _SUSPECT.search(text):
-        text = normalise(repairer().repair(text)[0])[0]
+        text = _plain(repairer().repair(text)[0])
     w, out, short, at = weights(), [], [], 0
     site = fold(site)
     running = []  # hard-wrapped lines belong together
@@ -302,8 +311,9 @@ def sample(items: DataFrame, key: str, text: str, label: str, most: int = SAMPLE
     # per language a bounded top of each partition first, then of all: a language with most rows never meets in one task
     part = named.withColumn("_p", F.spark_partition_id())
     first = part.withColumn("_n", F.row_number().over(W.partitionBy("_p", "code").orderBy("h", "k"))).where(F.col("_n") <= each)
+    # at most `most` keys: a bound that the broadcast below relies on
     chosen = first.withColumn("_n", F.row_number().over(W.partitionBy("code").orderBy("h", "k"))).where(F.col("_n") <= each).select("k", "code")
-    return [(r["t"], r["code"]) for r in items.select(F.col(key).alias("k"), F.substring(text, 1, 6000).alias("t")).join(chosen, "k").select("t", "code").collect()]
+    return [(r["t"], r["code"]) for r in items.select(F.col(key).alias("k"), F.substring(text, 1, 6000).alias("t")).join(F.broadcast(chosen), "k").select("t", "code").collect()]
 
 
 def languages(df: DataFrame, key: str, text: str, network: Network, url: str | None = None) -> DataFrame:

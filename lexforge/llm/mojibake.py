@@ -9,6 +9,7 @@ letters; there the automaton's patterns are all letters of the wrong form, a run
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ _LETTERS, _LOST = regex.compile(r"\p{L}+"), regex.compile(r"[�\u0080-\u0084\u0
 _ACCENTED = regex.compile(r"[\u0080-\u00ff\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{6,}")
 
 #: A text that may be garbled or spelt with look-alikes somewhere; other texts need no restoring.
-_SUSPECT = regex.compile(
+_SUSPECT = re.compile(
     r"[\u0080-\u009f�­​-‏⁠﻿  -  ０-９Ａ-Ｚａ-ｚ̀-ͅ─-╿ﬀ-ﬆ]"
     r"|[ÂÃÄÅÎÏÐÑØÙâãäåæçŒœ√¬‚┬├ΞΟΒΓРС][^\x00-\x7fÀ-ÿͰ-Ͽἀ-῿Ѐ-џ«»“”„’‘…–—·ʹऀ-ॿ一-鿿]"
     r"|[ÂÃÎÏÐÑà-å][¡-¿]|[À-ÿ]{3}|[ΞΟΒΓ][¡-¶¸-º¼-¿‚†‡•΄-Ώ]|[а-я][А-Я]"
@@ -83,6 +84,7 @@ def _native(ch: str) -> bool:
 class Repairer:
     def __init__(self):
         self.means: dict[str, dict[str, str]] = {}
+        self.shape: dict[str, bool] = {}
         for wrong in WRONG:
             for ch in _expected():
                 raw = ch.encode("utf-8")
@@ -112,7 +114,7 @@ class Repairer:
                     continue
             script = "CYRILLIC" if right in ("cp1251", "koi8-r", "cp866", "iso8859-5") else "GREEK"
             keys = "".join(regex.escape(k) for k, v in table.items() if v.isalpha() and unicodedata.name(v).startswith(script))
-            self.single.append((right, wrong, table, regex.compile(f"(?<![\\p{{L}}])[{keys}]+(?![\\p{{L}}])(?:[ ,.!?|]{{1,3}}[{keys}]+(?![\\p{{L}}]))*+")))
+            self.single.append((right, wrong, str.maketrans(table), regex.compile(f"(?<![\\p{{L}}])[{keys}]+(?![\\p{{L}}])(?:[ ,.!?|]{{1,3}}[{keys}]+(?![\\p{{L}}]))*+")))
         cases = "[а-яё][А-Я]|[А-Я]{4}|[α-ω][Α-Ω]|[Α-Ω]{4}"
         self.cases, self.accents = regex.compile(cases), regex.compile("[\u0080-\u00ff]{3}")
         self.score = {}
@@ -145,12 +147,24 @@ class Repairer:
             if s >= at:
                 chosen.append((s, e, m))
                 at = e
-        votes = Counter(w for s, e, m in chosen for w in m if any(not _ordinary(c) for c in text[s:e]) or e - s > 2)
+        shape = self.shape
+        votes: Counter = Counter()
+        for s, e, m in chosen:
+            seq = text[s:e]
+            if seq not in shape:
+                if len(shape) > 100_000:
+                    shape.clear()
+                shape[seq] = not all(map(_ordinary, seq))
+            if shape[seq] or e - s > 2:
+                votes.update(m.keys())
+        order = {w: (n, -WRONG.index(w)) for w, n in votes.items()}
+        none = {w: (0, -k) for k, w in enumerate(WRONG)}
+        order = none | order
         out = []
         for s, e, m in chosen:
-            wrong = max(m, key=lambda w: (votes[w], -WRONG.index(w)))
+            wrong = next(iter(m)) if len(m) == 1 else max(m, key=order.__getitem__)
             seq = text[s:e]
-            odd = any(not _ordinary(c) for c in seq)
+            odd = shape[seq]
             out.append((s, e, m[wrong], wrong, odd or not (seq[0].isspace() or _native(seq[0]) or seq.isalpha())))
         return out
 
@@ -165,7 +179,7 @@ class Repairer:
                 run = m.group()
                 if sum(map(str.isalpha, run)) < 8:
                     continue
-                new = "".join(table.get(c, c) for c in run)
+                new = run.translate(table)
                 words, old = _LETTERS.findall(new), _LETTERS.findall(run)
                 regular = sum(w.islower() or w.istitle() for w in words) / max(1, len(words))
                 before = sum(w.islower() or w.istitle() for w in old) / max(1, len(old))
@@ -184,7 +198,7 @@ class Repairer:
     def readings(self, line: str) -> Iterator[str]:
         """The line as it would read under each pair of single-byte encodings: for callers that know what to expect."""
         for _, _, table, _ in self.single:
-            new = "".join(table.get(c, c) for c in line)
+            new = line.translate(table)
             if new != line:
                 yield new
 
