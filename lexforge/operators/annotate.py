@@ -71,3 +71,17 @@ def plug(sents: DataFrame, model: Callable[[list[str]], list[list[tuple[str, str
             yield pd.DataFrame(rows, columns=["sentence_id", "document_id", "token_index", "form", "lemma", "upos"])
 
     return sents.select("sentence_id", "document_id", "text").mapInPandas(run, "sentence_id long, document_id long, token_index long, form string, lemma string, upos string")
+
+
+def lexicon_lemmas(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The tokens with `lemma` from a lexicon of (form, lemma): the form itself, else the form without accents, else the form in lower case.
+
+    A form with several lemmas in the lexicon takes the first by code point.
+    """
+    from lexforge.functions.text import without_accents
+
+    exact = lexicon.groupBy(F.lower("form").alias("_f")).agg(F.min("lemma").alias("_l1"))
+    plain = lexicon.groupBy(without_accents(F.lower("form")).alias("_p")).agg(F.min("lemma").alias("_l2"))
+    forms = toks.where(F.col("form").isNotNull()).select(F.lower("form").alias("_f")).distinct()  # each form is looked up once
+    found = forms.join(exact, "_f", "left").withColumn("_p", without_accents(F.col("_f"))).join(plain, "_p", "left").select("_f", F.coalesce("_l1", "_l2", "_f").alias("_lemma"))
+    return toks.drop("lemma").withColumn("_f", F.lower("form")).join(found, "_f", "left").withColumnRenamed("_lemma", "lemma").drop("_f")

@@ -58,3 +58,39 @@ def pattern_changes(found: DataFrame, period: str, first: str, second: str) -> D
     ).where("size(a) > 0 and size(b) > 0")
     text = lambda x: F.array_join(F.array_sort(x), ", ")
     return sets.select("lemma", text(F.array_except("a", "b")).alias("lost"), text(F.array_except("b", "a")).alias("gained"), text(F.array_intersect("a", "b")).alias("kept"))
+
+
+#: Affixes of borrowed words by source language (fixed values).
+BORROWED_PREFIXES = {"latin": ("ex", "de", "re", "pre", "pro")}
+BORROWED_SUFFIXES = {"latin": ("tion", "ment", "ity", "ous"), "turkish": ("τζής", "λίκι", "τζίδικο"), "italian": ("άρω", "ίζω", "άδα"), "french": ("αρία", "ιέρα")}
+
+
+def origin(lemma):
+    """The language that a lemma's affixes point to: suffixes before prefixes, languages in the order of the table; native without any."""
+    out = None
+    for table, test in ((BORROWED_SUFFIXES, lambda c, x: c.endswith(x)), (BORROWED_PREFIXES, lambda c, x: c.startswith(x))):
+        for language, affixes in table.items():
+            hit = test(lemma, affixes[0])
+            for x in affixes[1:]:
+                hit = hit | test(lemma, x)
+            out = F.when(hit, language) if out is None else out.when(hit, language)
+    return out.otherwise("native")
+
+
+def change_types(found: DataFrame, period: str, first: str, second: str) -> DataFrame:
+    """(lemma, old_pattern, new_pattern, type): each lost pattern with each gained one of a verb: extension when arguments are added, reduction when
+    they go, else alternation. A verb has few patterns, so the pairs are few."""
+    sets = found.where(F.col(period).isin(first, second)).groupBy("lemma").agg(
+        F.collect_set(F.when(F.col(period) == first, F.col("pattern"))).alias("a"), F.collect_set(F.when(F.col(period) == second, F.col("pattern"))).alias("b")
+    )
+    pairs = sets.select("lemma", F.explode(F.array_except("a", "b")).alias("old_pattern"), "a", "b").select("lemma", "old_pattern", F.explode(F.array_except("b", "a")).alias("new_pattern"))
+    size = lambda c: F.size(F.split(c, " "))
+    kind = F.when(size("new_pattern") > size("old_pattern"), "extension").when(size("new_pattern") < size("old_pattern"), "reduction").otherwise("alternation")
+    return pairs.withColumn("type", kind)
+
+
+def paradigm(stems: DataFrame, stem: str, endings: dict[str, str]) -> DataFrame:
+    """(stem, cell, form): every stem with every ending of a table of endings, expanded in the row."""
+    cells = F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(v).alias("ending")) for k, v in endings.items()])
+    x = stems.select(F.col(stem).alias("stem"), F.explode(cells).alias("e"))
+    return x.select("stem", "e.cell", F.concat("stem", "e.ending").alias("form"))

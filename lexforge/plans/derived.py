@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
-from lexforge.operators import annotate, dedup, diachrony
+from lexforge.operators import annotate, dedup, diachrony, valency
+from lexforge.plans import base, corpus
 from lexforge.plans.catalog import query
 from lexforge.runtime import table
 
@@ -82,3 +83,30 @@ def vector_clusters(spark, d):
 
     v = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", array_to_vector("embedding").alias("features"))
     return KMeans(k=5, seed=42, maxIter=20).fit(v).transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+_ORIGIN = "CASE " + " ".join(f"WHEN {' OR '.join(f'lemma LIKE {chr(39)}%{x}{chr(39)}' for x in v)} THEN '{k}'" for k, v in valency.BORROWED_SUFFIXES.items()) + " " + " ".join(f"WHEN {' OR '.join(f'lemma LIKE {chr(39)}{x}%{chr(39)}' for x in v)} THEN '{k}'" for k, v in valency.BORROWED_PREFIXES.items()) + " ELSE 'native' END"
+
+
+@query("verb_origins", f"WITH {base.TOK} SELECT {_ORIGIN} AS origin, count(*) AS n, count(DISTINCT lemma) AS verbs FROM tok WHERE upos = 'VERB' AND lemma IS NOT NULL GROUP BY 1")
+def verb_origins(spark, d):
+    v = base.tokens(spark, d).where("upos = 'VERB' and lemma is not null").groupBy("lemma").agg(F.count("*").alias("n"))
+    return v.groupBy(valency.origin(F.col("lemma")).alias("origin")).agg(F.sum("n").alias("n"), F.count("*").alias("verbs"))
+
+
+@query("valency_change_types", f"""WITH {corpus._FRAMES}, {base.DOC}, p AS (SELECT DISTINCT f.lemma, f.pattern, d.period FROM frame f JOIN doc d USING (document_id) WHERE d.period IN ('classical', 'koine')),
+ a AS (SELECT lemma, pattern FROM p WHERE period = 'classical'), b AS (SELECT lemma, pattern FROM p WHERE period = 'koine'), lost AS (SELECT * FROM a EXCEPT SELECT * FROM b), gained AS (SELECT * FROM b EXCEPT SELECT * FROM a)
+SELECT lemma, lost.pattern AS old_pattern, gained.pattern AS new_pattern, CASE WHEN len(string_split(gained.pattern, ' ')) > len(string_split(lost.pattern, ' ')) THEN 'extension' WHEN len(string_split(gained.pattern, ' ')) < len(string_split(lost.pattern, ' ')) THEN 'reduction' ELSE 'alternation' END AS type FROM lost JOIN gained USING (lemma)""")
+def valency_change_types(spark, d):
+    f = valency.instances(base.tokens(spark, d)).join(base.documents(spark, d).select("document_id", "period"), "document_id")
+    return valency.change_types(f, "period", "classical", "koine")
+
+
+@query("lexicon_lemmas", f"""WITH {base.TOK}, lx AS (SELECT lower(form) AS f, min(lemma) AS l FROM tok WHERE form IS NOT NULL AND lemma IS NOT NULL AND document_id % 2 = 0 GROUP BY 1), lp AS (SELECT strip_accents(lower(form)) AS f, min(lemma) AS l FROM tok WHERE form IS NOT NULL AND lemma IS NOT NULL AND document_id % 2 = 0 AND regexp_matches(form, '^[A-Za-z]+$') GROUP BY 1)
+SELECT coalesce(lx.l, lp.l, lower(t.form)) AS lemma, count(*) AS n FROM tok t LEFT JOIN lx ON lx.f = lower(t.form) LEFT JOIN lp ON lp.f = lower(t.form) WHERE t.document_id % 2 = 1 AND regexp_matches(t.form, '^[A-Za-z]+$') GROUP BY 1""")
+def lexicon_lemmas(spark, d):
+    """Lemmas of one half of the documents from a lexicon of the other half's annotations: held-out look-up, whole tables."""
+    t = base.tokens(spark, d)
+    latin = F.col("form").rlike("^[A-Za-z]+$")
+    lexicon = t.where("form is not null and lemma is not null and document_id % 2 = 0").select("form", "lemma").where(latin)
+    return annotate.lexicon_lemmas(t.where("document_id % 2 = 1").where(latin), lexicon).groupBy("lemma").agg(F.count("*").alias("n"))
