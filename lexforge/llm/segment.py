@@ -2,13 +2,14 @@
 
 Blank lines end units. In scripts with spaces every terminator is a node of a lattice: an edge is a sentence, its cost tells how well it
 is closed (quotes, brackets) and how its end looks (abbreviation, initial, date, case of what follows); the cheapest path gives the
-sentences. In scripts without spaces a text is first cut into dictionary words by the best path through a word lattice; terminators end
-sentences, and in long stretches without punctuation the gap between two words ends one when a final particle stands before it or an opening
-word behind it.
+sentences. Devanagari has the same lattice with its own terminators. In scripts without spaces a text is first cut into dictionary words by the
+best path through a word lattice; every gap between two words is classified by its mark, a final particle before it, an opening word behind it
+and the distance of the marks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,12 +45,20 @@ _TERMINATOR = regex.compile(r"(?:\.{2,}|…+|[.!?．！？;；\u037e]+)")
 _DANDA = regex.compile(r"(?:॥|\|\|)\s*[०-९0-9]+\s*(?:॥|\|\|)|[।॥]+|(?<=[ऀ-ॿ]\s?)[.!?|]+(?=\s|$)")
 _HAN_END = regex.compile(r"(?:……|[。！？!?]+)[”’」』》）\"]*")
 _HAN = regex.compile(r"[㐀-䶿一-鿿]")
+_HAN_RUN = regex.compile(r"[㐀-䶿一-鿿]+")
+_INTRODUCED = regex.compile(r"[：:]\s*[“「『]")
+#: Words of one syllable that can stand before a full stop (fixed values).
+SHORT_WORDS = set("च न हि तु वा मा ह".split())
+_SHORT_INDIC = regex.compile(r"(?<![\p{L}\p{M}])[क-ह]\p{M}?$")
 #: Words of running Chinese, ancient and modern, the final particles and the openers among them (fixed values).
-FINAL_SIGNS = set("也矣乎哉焉耳兮耶欤尔了吗呢吧啊呀嘛")
-OPENING_SIGNS = "夫 盖 故 然 且 若 则 是故 于是 然则 今 昔 初 但是 因为 所以 虽然 而且 于是 然而 如果 当时 后来 因此 有一天 其后 子曰 或曰".split()
+FINAL_SIGNS = set("也矣乎哉焉耳兮耶欤歟尔爾了吗嗎呢吧啊呀嘛")
+OPENING_SIGNS = "夫 盖 蓋 故 然 且 若 则 則 是故 于是 於是 然则 然則 今 昔 初 但是 因为 因為 所以 虽然 雖然 而且 然而 如果 当时 當時 后来 後來 因此 有一天 其后 其後 子曰 或曰".split()
 COMMON_SIGNS = "的 是 在 不 了 有 和 人 这 中 大 为 上 个 国 我 以 要 他 时 来 用 们 生 到 作 地 于 出 就 分 对 成 会 可 主 发 年 动 同 工 也 能 下 过 子 说 产 种 面 而 方 后 多 定 行 学 法 所 民 得 经 之 其 者 曰 与 何 无 乃 天下 君子 小人 先生 我们 他们 没有 什么 知道 可以 自己 学生 老师 方言 手稿 城墙".split()
 DICTIONARY = {w: 3.0 if len(w) > 1 else 5.0 for w in [*OPENING_SIGNS, *COMMON_SIGNS]} | {w: 4.0 for w in FINAL_SIGNS}
-UNPUNCTUATED = 40  # signs in a row without any mark
+#: Signs that mostly carry an aspect or a tone inside a sentence, and openers that mostly join clauses: weaker evidence (fixed values).
+WEAK_FINALS = set("尔爾了啊呀嘛")
+WEAK_OPENERS = set("且 若 则 則 故 然 初 但是 因为 因為 所以 虽然 雖然 而且 于是 於是 然而 如果 当时 當時 因此".split())
+UNPUNCTUATED, SPARSE = 40, 20  # signs in a row without any mark: such a stretch alone, or the mean of its paragraph
 
 
 _BLANKS = " \n\t\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u3000" + _IGNORED
@@ -79,33 +88,56 @@ def words_of(run: str) -> list[int]:
 
 
 def _spaceless(part: str) -> list[int]:
-    """End offsets of the sentences of a paragraph in Chinese signs."""
-    ends, at = [], 0
-    for m in _HAN_END.finditer(part):
-        s, e = at, m.end()
-        inside = part[s:e]
-        opened = sum(map(inside.count, "“「『")) - sum(map(inside.count, "”」』"))
-        if opened > 0:
-            continue  # within a quotation
-        if part[e - 1] in "”」』" and SAYING_SIGNS.match(part[e:]) and not regex.search(r"[：:]\s*[“「『]", inside):
-            continue  # its verb of saying follows
-        ends.append(e)
-        at = e
-    out, at = [], 0
-    for e in [*ends, len(part)]:
-        for run in regex.finditer(r"[㐀-䶿一-鿿]{%d,}" % UNPUNCTUATED, part[at:e]):
-            words = words_of(run.group())
-            for a, b in zip(words, words[1:]):
-                if run.group()[a - 1 : a] in FINAL_SIGNS or (run.group()[a:b] in OPENING_SIGNS and a > 8):
-                    out.append(at + run.start() + a)
-        if e > at:
-            out.append(e)
-        at = e
-    return out
+    """End offsets of the sentences of a paragraph in Chinese signs: the log-odds of every gap between two words of the lattice and of every
+    mark decide, from punctuation, final particles, opening words and how far the marks are apart."""
+    marks = {m.end(): m.start() for m in _HAN_END.finditer(part)}
+    runs = {m.end(): m.start() for m in _HAN_RUN.finditer(part)}
+    mean = sum(e - s for e, s in runs.items()) / max(1, len(runs))
+    gaps: list[tuple[int, float, bool]] = []  # end, log-odds, whether an opening word follows
+    for e, s in runs.items():
+        run = part[s:e]
+        words = words_of(run)
+        length = e - s if e - s >= UNPUNCTUATED or (e - s >= SPARSE and mean >= SPARSE) else 0
+        prior = 2 * math.log2(length / SPARSE) - 4 if length else -20.0  # between marks that stand close a gap without one ends nothing
+        for a, b in zip(words, words[1:]):
+            odds, sign, word = prior, run[a - 1], run[a:b]
+            if sign in FINAL_SIGNS:
+                odds += (3 if sign in WEAK_FINALS else 5) - (6 if word in FINAL_SIGNS else 0)
+            if word in OPENING_SIGNS:
+                odds += 2.5 if word in WEAK_OPENERS else 3.5
+            gaps.append((s + a, odds, word in OPENING_SIGNS and sign not in FINAL_SIGNS))
+    ends, at, sentence = [], 0, 0  # the last end, and the last one by a mark
+    for e, odds, opener in sorted([*gaps, *((e, 8.0, False) for e in marks)]):
+        if e in marks:
+            inside = part[sentence:e]
+            if sum(map(inside.count, "“「『")) > sum(map(inside.count, "”」』")):
+                odds -= 20  # within a quotation
+            elif part[e - 1] in "”」』" and SAYING_SIGNS.match(part[e:]) and not _INTRODUCED.search(inside):
+                odds -= 20  # its verb of saying follows
+        elif opener and e - at <= 8:
+            odds -= 4
+        if odds > 0:
+            ends.append(e)
+            at = e
+            sentence = e if e in marks else sentence
+    return ends
 
 
 def _danda(part: str) -> list[int]:
-    return [m.end() for m in _DANDA.finditer(part)]
+    """End offsets by the cheapest path through the lattice of terminators of a paragraph in Devanagari."""
+    nodes = []
+    for m in _DANDA.finditer(part):
+        mark, end = m.group(), m.end()
+        while end < len(part) and part[end] in "”’»)\"":
+            end += 1
+        odds = 6.0 if mark[0] in "।॥" or mark.startswith("||") else 5.0
+        short = _SHORT_INDIC.search(part, max(0, m.start() - 4), m.start()) if mark == "." else None
+        if short and short.group() not in SHORT_WORDS:
+            odds = -5.0  # one syllable and a full stop: an abbreviation
+        elif end > m.end() and part[end : end + 8].lstrip().startswith("इति"):
+            odds = -6.0  # the mark of quotation follows
+        nodes.append((end, odds))
+    return _path(part, nodes)
 
 
 def _doubt(part: str, m: regex.Match, end: int) -> float | None:
@@ -178,41 +210,40 @@ def _spaced(part: str) -> list[int]:
         odds = _doubt(part, m, end)
         if odds is not None and (not nodes or nodes[-1][0] != end):
             nodes.append((end, odds))
-    if not nodes:
-        return []
-    starts = [0, *(e for e, _ in nodes)]
+    return _path(part, nodes)
+
+
+def _path(part: str, nodes: list[tuple[int, float]]) -> list[int]:
+    """End offsets of the sentences on the cheapest path through (end, log-odds) of terminators; any number of them may lie in one sentence."""
     n = len(nodes)
-    level, deep = [0] * (n + 1), 0
+    level, deep, at = [0] * (n + 1), [], 0
     marks = [(m.start(), m.group()) for m in _LEVEL.finditer(part)]
-    at = 0
     for k, (e, _) in enumerate(nodes):
         while at < len(marks) and marks[at][0] < e:
             c = marks[at][1]
-            if c in "«(„" or (c == "“" and deep == 0):
-                deep += 1
-            else:
-                deep = max(0, deep - 1)
+            if c in "«(„" or (c == "“" and not deep):
+                deep.append(k + 1)
+            elif deep:
+                deep.pop()
             at += 1
-        level[k + 1] = deep
-    best, back = [0.0] + [1e18] * n, [0] * (n + 1)
+        level[k + 1] = len(deep)
+    for _, c in marks[at:]:
+        if deep and c not in "«(„":
+            deep.pop()
+    for k in deep:  # a mark that is never closed holds nothing together
+        level[k:] = [x - 1 for x in level[k:]]
+    best, back = [0.0] * (n + 1), [0] * (n + 1)
+    skipped, least, origin = 0.0, 0.0, 0  # log-odds of all terminators up to here; the lowest cost less them, and where it is
     for j in range(1, n + 1):
-        skipped = 0.0
-        for i in range(j - 1, max(-1, j - 40), -1):
-            cost = best[i] + skipped - nodes[j - 1][1] + (20.0 if level[j] > 0 else 0.0)
-            if cost < best[j]:
-                best[j], back[j] = cost, i
-            skipped += max(0.0, nodes[i - 1][1]) if i else 0.0
-    # the end of the paragraph closes the path: take the best last node
-    ends, j, tail = [], n, 0.0
-    finish, last = 1e18, n
-    for k in range(n, -1, -1):
-        if best[k] + tail < finish:
-            finish, last = best[k] + tail, k
-        tail += max(0.0, nodes[k - 1][1]) if k else 0.0
-    j = last
-    while j:
-        ends.append(nodes[j - 1][0])
-        j = back[j]
+        odds = nodes[j - 1][1]
+        best[j], back[j] = least + skipped - odds + (20.0 if level[j] > 0 else 0.0), origin
+        skipped += max(0.0, odds)
+        if best[j] - skipped <= least:
+            least, origin = best[j] - skipped, j
+    ends = []
+    while origin:
+        ends.append(nodes[origin - 1][0])
+        origin = back[origin]
     return ends[::-1]
 
 

@@ -141,6 +141,27 @@ def test_unpunctuated_signs_are_cut_at_particles():
     assert len(segment.sentences(text)) > 2
 
 
+def test_every_gap_between_chinese_words_is_classified(monkeypatch):
+    seen, lattice = [], segment.words_of
+    monkeypatch.setattr(segment, "words_of", lambda run: seen.append(run) or lattice(run))
+    text = "商人寻找誓言，而且学生记得城墙。水手到达！"
+    assert [text[s:e] for s, e in segment.sentences(text)] == ["商人寻找誓言，而且学生记得城墙。", "水手到达！"]
+    assert seen == ["商人寻找誓言", "而且学生记得城墙", "水手到达"]
+    short = "學而時習之不亦說乎有朋自遠方來不亦樂乎人不知而不慍"  # 25 signs without a mark
+    assert [short[s:e] for s, e in segment.sentences(short)] == ["學而時習之不亦說乎", "有朋自遠方來不亦樂乎", "人不知而不慍"]
+
+
+def test_devanagari_has_the_lattice():
+    text = "“राजा वदति ।” इति गुरुः अवदत् । “नदी गच्छति । वनं पश्यति” कविः वदति । पृ. ७ पश्य ॥ ८ ॥"
+    assert [text[s:e] for s, e in segment.sentences(text)] == ["“राजा वदति ।” इति गुरुः अवदत् ।", "“नदी गच्छति । वनं पश्यति” कविः वदति ।", "पृ. ७ पश्य ॥ ८ ॥"]
+
+
+def test_a_sentence_spans_any_number_of_terminators():
+    long = "Er sagte: „" + "Der Weg fiel. " * 60 + "Dann ging er.“"
+    assert [s for s, _ in segment.sentences(long + " Es war spät.")] == [0, len(long) + 1]
+    assert len(segment.sentences("Er kam. „Der Weg fiel. " + "Sie ging. " * 60)) == 62  # never closed
+
+
 def test_sentence_positions(edges):
     rows = segment.split_sentences(edges, "id", "content").collect()
     assert [(r["start_pos"], r["end_pos"]) for r in rows if r["id"] == 5] == [(1, 11), (1, 11)]
