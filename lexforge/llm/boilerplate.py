@@ -135,7 +135,11 @@ You may also like|Recent comments (0)|Related texts|Most read this week|Πρόσ
 Commentaires récents (0)|Textes liés|Les plus lus|Comentarios recientes (0)|Textos relacionados|Lo más leído|Commenti recenti (0)|Testi correlati|I più letti|Новые комментарии (0)|Похожие тексты|Популярное|最新评论（0）|相关文本|本周热门
 """
 MENU_WEIGHT, NOTICE_WEIGHT, HEAD_WEIGHT, ENTRY_WEIGHT, TEXT_WEIGHT = -8.0, -12.0, -10.0, -6.0, 1.0
+#: Log-odds of a side list for a line after its head: a teaser, a title, a line that is none (fixed values).
+TEASER, TITLE, NO_ENTRY = 5.0, 4.0, -4.0
 MOST_ENTRIES = 5
+#: What a short line without an end is worth by itself, what a run of text must be worth, and what lines of the page take from a run that goes on behind them.
+WEAK, RUN, RESUMED, BETWEEN = 1.0, 2.5, 0.5, {"notice": 0.25, "menu": 1.0, "head": 2.0}
 _LIST_MARK = regex.compile(r"^[*•\-–·▪‣]\s+")
 _NUMBERED = regex.compile(r"^(?:\p{N}+[.)]|[IVXLCDM]+[.)]|§|\p{L}{1,3}ʹ|\(\p{N}+\))\s?")
 _ENDED = regex.compile(r"[.!?;:。！？；।॥|·,，»”\"“)]$")
@@ -255,25 +259,63 @@ def _score(line: str, plain: str | None, site: str) -> tuple[str, float]:
         value += sum(w.words.get(x, 0.0) for x in {fold(x) for x in words if len(x) > 6})
         if "©" in s:
             value -= 4 + len(words)
-    return ("text", max(value, 0.5)) if value > -1.5 else ("notice", value)
+    if value <= -1.5:
+        return "notice", value
+    return "text", min(value, WEAK) if _weak(s if plain is None else plain) else value
 
 
-def _entry(s: str) -> bool:
-    """A line that can be an entry of a side list: a short title or teaser."""
+def _weak(s: str) -> bool:
+    """A short line without an end or a number: a heading, a verse, an entry or an unknown line of the page, which only its surroundings tell."""
+    return s.endswith(("…", "...")) and len(s) <= LONG or len(s) <= 60 and not _ENDED.search(s) and not _NUMBERED.match(s)
+
+
+def _entry(s: str) -> float:
+    """Log-odds that a line after the head of a side list is an entry: a title or teaser."""
     if _NUMBERED.match(s):
-        return False
+        return NO_ENTRY
     teaser = s.endswith(("…", "..."))
-    if not teaser and (_ENDED.search(s) or len(s) > 60):
-        return False
+    if not teaser and (_ENDED.search(s) or len(s) > 90):
+        return NO_ENTRY
     han = len(_HAN.findall(s))
     if han:
-        return 3 < han <= (30 if teaser else 9)
+        return (TEASER if teaser else TITLE if han <= 9 else NO_ENTRY) if han > 3 else NO_ENTRY
     words = _WORDS.findall(s)
-    if not 1 < len(words) <= (12 if teaser else 4):
-        return False
-    if _INDIC.search(s):
-        return teaser or len(words) <= 3
-    return words[0][0].isupper() or not words[0][0].islower()
+    if len(words) < 2:
+        return NO_ENTRY
+    if _INDIC.search(s):  # no capitals tell a title from a verse
+        return TEASER if teaser else TITLE if len(words) <= 3 else NO_ENTRY
+    if words[0][0].islower() and not teaser:
+        return NO_ENTRY
+    return TEASER if teaser else TITLE if len(words) <= 4 else NO_ENTRY
+
+
+def _best(lines: list[tuple[int, str, float, float]]) -> set[int]:
+    """Numbers of the lines of text on the best path of (number, role, value, value as an entry) through four states: outside, in a run of text, and in
+    a side list that interrupts either. A run counts its lines and takes RUN to begin, so weak lines alone between lines of the page make none; lists
+    begin at heads only and last while their sum grows, and a run goes on behind them."""
+    never = -math.inf
+    outside, inside = 0, 1
+    state = [0.0, -RUN if any(role != "text" for _, role, _, _ in lines) else 0.0, never, never]  # outside, run, list outside, list in a run
+    back = []
+    for _, role, value, entry in lines:
+        if role == "text":
+            gone = max((outside, inside, 2, 3), key=state.__getitem__)
+            goes = max(((state[1], 1), (state[0] - RUN, 0), (state[3] - RESUMED, 3), (state[2] - RUN, 2)), key=lambda x: x[0])
+            back.append((gone, goes[1], 2, 3))
+            state = [state[gone], goes[0] + value, state[2] + entry, state[3] + entry]
+        else:
+            gone = max((outside, inside, 2, 3), key=state.__getitem__)
+            a, b = max((0, 2), key=state.__getitem__), max((1, 3), key=state.__getitem__)
+            less = BETWEEN.get(role, 1.0)
+            on = max(((state[1] - less, 1), (state[3] - less, 3)), key=lambda x: x[0])
+            back.append((gone, on[1], a, b))
+            state = [state[gone], on[0], *((state[a], state[b]) if role == "head" else (never, never))]
+    kept, at = set(), max((inside, outside, 3, 2), key=state.__getitem__)
+    for (n, role, _, _), whence in zip(reversed(lines), reversed(back)):
+        if at == inside and role == "text":
+            kept.add(n)
+        at = whence[at]
+    return kept
 
 
 def page_lines(text: str, site: str = "") -> list[int]:
@@ -285,39 +327,25 @@ def page_lines(text: str, site: str = "") -> list[int]:
         restored = repairer().repair(text)[0].split("\n")
         if len(restored) != len(lines):
             restored = [repairer().repair(x)[0] for x in lines]
-    roles: list[tuple[int, str, float]] = []
-    within = 0  # entries of a side list still expected
+    roles: list[tuple[int, str, float, float]] = []
+    headed, count = False, 0  # within a side list, and its entries so far
     for n, line in enumerate(lines, 1):
         s = line.strip()
         if not s:
             continue
         plain = restored[n - 1].strip() if restored else None
         role, value = _score(s, plain, site)
-        if role == "head":
-            within = MOST_ENTRIES
-        elif role == "text" and within:
-            if _entry(s if plain is None else normalise(plain)[0].strip()):
-                role, value, within = "entry", ENTRY_WEIGHT, within - 1
-            else:
-                within = 0
-        elif role != "text":
-            within = 0
-        roles.append((n, role, value))
-    # maximum-scoring runs in one scan: a run ends where its sum falls to nothing
-    kept: set[int] = set()
-    run, total, best, upto = [], 0.0, 0.0, 0
-    for n, role, value in [*roles, (0, "end", -math.inf)]:
-        if total + value <= 0:
-            kept.update(k for k, v in run[:upto] if v > 0)
-            run, total, best, upto = [], 0.0, 0.0, 0
-            if value <= 0:
-                continue
-        run.append((n, value))
-        total += value
-        # a later positive line is always worth keeping: it begins a run of its own if this one had ended
-        upto = len(run) if value > 0 else upto
-        best = max(best, total)
-    return [n for n, _, _ in roles if n not in kept]
+        if role != "text":
+            headed, count = role == "head", 0
+        entry = NO_ENTRY
+        if headed and role == "text":
+            entry = _entry(s if plain is None else normalise(plain)[0].strip())
+            entry = entry if count < MOST_ENTRIES else NO_ENTRY
+            count += 1
+            headed = entry > 0  # a list ends at its first line that is none, for nothing behind it is an entry
+        roles.append((n, role, value, entry))
+    kept = _best(roles)
+    return [n for n, _, _, _ in roles if n not in kept]
 
 
 def strip_pages(df: DataFrame, key: str, text: str, url: str | None = None) -> DataFrame:

@@ -113,6 +113,17 @@ def test_page_lines():
     assert boilerplate.page_lines("", "x") == [] and boilerplate.page_lines("\n\n") == []
 
 
+def test_runs_of_lines_decide():
+    text = "A quiet river reached the meadow, and the scribe recorded it in full."
+    # the same unknown short line alone between lines of the page, and inside the text
+    page = "\n".join(["Search", "Colour scheme", "Help", "Contact", "The northern margins", text, "Colour scheme", text, "Back to top", "Help", "Colour scheme", "Contact"])
+    assert boilerplate.page_lines(page) == [1, 2, 3, 4, 9, 10, 11, 12]
+    # a title before a list or a notice belongs to the text behind them
+    page = "\n".join(["Help", "The northern margins", "Related texts", "The northern winter", "Advertisement – the text continues below", text])
+    assert boilerplate.page_lines(page) == [1, 3, 4, 5]
+    assert boilerplate.page_lines("A heading") == []
+
+
 def test_pages_edges(edges):
     rows = {r["id"]: r for r in boilerplate.strip_pages(edges, "id", "content").collect()}
     assert rows[1]["main_text"] is None and rows[2]["main_text"] == "" and rows[5]["page_lines"] == [] and len(rows[4]["main_text"]) == 300_000
