@@ -135,9 +135,8 @@ You may also like|Recent comments (0)|Related texts|Most read this week|Πρόσ
 Commentaires récents (0)|Textes liés|Les plus lus|Comentarios recientes (0)|Textos relacionados|Lo más leído|Commenti recenti (0)|Testi correlati|I più letti|Новые комментарии (0)|Похожие тексты|Популярное|最新评论（0）|相关文本|本周热门
 """
 MENU_WEIGHT, NOTICE_WEIGHT, HEAD_WEIGHT, ENTRY_WEIGHT, TEXT_WEIGHT = -8.0, -12.0, -10.0, -6.0, 1.0
-#: Log-odds of a side list for a line after its head: a teaser, a title, a line that is none (fixed values).
-TEASER, TITLE, NO_ENTRY = 5.0, 4.0, -4.0
-MOST_ENTRIES = 5
+#: Log-odds of a side list for a line after its head: a teaser, a short title, a longer one, a line that is none (fixed values).
+TEASER, TITLE, LONG_TITLE, NO_ENTRY = 5.0, 4.0, 2.0, -4.0
 #: What a short line without an end is worth by itself, what a run of text must be worth, and what lines of the page take from a run that goes on behind them.
 WEAK, RUN, RESUMED, BETWEEN = 1.0, 2.5, 0.5, {"notice": 0.25, "menu": 1.0, "head": 2.0}
 _LIST_MARK = regex.compile(r"^[*•\-–·▪‣]\s+")
@@ -278,7 +277,7 @@ def _entry(s: str) -> float:
         return NO_ENTRY
     han = len(_HAN.findall(s))
     if han:
-        return (TEASER if teaser else TITLE if han <= 9 else NO_ENTRY) if han > 3 else NO_ENTRY
+        return (TEASER if teaser else TITLE if han <= 9 else LONG_TITLE if han <= 24 else NO_ENTRY) if han > 3 else NO_ENTRY
     words = _WORDS.findall(s)
     if len(words) < 2:
         return NO_ENTRY
@@ -286,7 +285,7 @@ def _entry(s: str) -> float:
         return TEASER if teaser else TITLE if len(words) <= 3 else NO_ENTRY
     if words[0][0].islower() and not teaser:
         return NO_ENTRY
-    return TEASER if teaser else TITLE if len(words) <= 4 else NO_ENTRY
+    return TEASER if teaser else TITLE if len(words) <= 4 else LONG_TITLE if len(words) <= 10 else NO_ENTRY
 
 
 def _best(lines: list[tuple[int, str, float, float]]) -> set[int]:
@@ -328,7 +327,7 @@ def page_lines(text: str, site: str = "") -> list[int]:
         if len(restored) != len(lines):
             restored = [repairer().repair(x)[0] for x in lines]
     roles: list[tuple[int, str, float, float]] = []
-    headed, count = False, 0  # within a side list, and its entries so far
+    headed, style = False, 0.0  # within a side list, and what its last title was
     for n, line in enumerate(lines, 1):
         s = line.strip()
         if not s:
@@ -336,12 +335,13 @@ def page_lines(text: str, site: str = "") -> list[int]:
         plain = restored[n - 1].strip() if restored else None
         role, value = _score(s, plain, site)
         if role != "text":
-            headed, count = role == "head", 0
+            headed, style = role == "head", 0.0
         entry = NO_ENTRY
         if headed and role == "text":
             entry = _entry(s if plain is None else normalise(plain)[0].strip())
-            entry = entry if count < MOST_ENTRIES else NO_ENTRY
-            count += 1
+            if entry == LONG_TITLE and style == TITLE:
+                entry = NO_ENTRY  # behind short titles a long one is a verse or a heading
+            style = entry if entry != TEASER else style
             headed = entry > 0  # a list ends at its first line that is none, for nothing behind it is an entry
         roles.append((n, role, value, entry))
     kept = _best(roles)

@@ -124,6 +124,16 @@ def test_runs_of_lines_decide():
     assert boilerplate.page_lines("A heading") == []
 
 
+def test_side_lists_have_any_number_of_entries():
+    text = "A quiet river reached the meadow, and the scribe recorded it in full."
+    short = [f"The northern {x}" for x in "winter summer river road hill town gate bridge lamp well field".split()]
+    page = "\n".join([text, "Related texts", *short, text, "a verse of a song"])
+    assert boilerplate.page_lines(page) == list(range(2, 14))
+    long = [f"How the old {x} of the northern margins was measured" for x in "road hill town gate bridge lamp well".split()]
+    page = "\n".join([text, "Most read this week", *long, text])
+    assert boilerplate.page_lines(page) == list(range(2, 10))
+
+
 def test_pages_edges(edges):
     rows = {r["id"]: r for r in boilerplate.strip_pages(edges, "id", "content").collect()}
     assert rows[1]["main_text"] is None and rows[2]["main_text"] == "" and rows[5]["page_lines"] == [] and len(rows[4]["main_text"]) == 300_000
