@@ -143,7 +143,10 @@ class Items:
         done: list[tuple[int, int]] = []
         slack = max(8, len(test) // EDITS + 2)
         diagonal = hits[:, 0] - hits[:, 1]
-        for d in np.unique(diagonal):
+        each = np.unique(diagonal)
+        if any(self._exact(ids, test, int(d), exact) for d in each):
+            return True
+        for d in each:
             if any(a <= d <= b for a, b in done):
                 continue
             near = np.abs(diagonal - d) <= slack
@@ -153,7 +156,7 @@ class Items:
             if covered.sum() < min(exact, long // 2):
                 continue
             done.append((d - 2, d + 2))
-            if self._exact(ids, test, int(d), exact) or self._edited(ids, test, int(np.median(diagonal[near])), slack, long):
+            if self._edited(ids, test, int(np.median(diagonal[near])), slack, long):
                 return True
         return False
 

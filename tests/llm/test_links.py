@@ -98,6 +98,13 @@ def test_leaks_by_both_rules(spark):
     assert leakage.leaks(d.limit(0), q).count() == 0 and leakage.leaks(d, q.limit(0)).count() == 0
 
 
+def test_the_exact_rule_holds_on_every_diagonal():
+    w = [f"word{c}" for c in "abcdefghijklmnopqrstuvwx"]
+    index = leakage.Items([(1, " ".join(w))])
+    ids = index.encode(" ".join([*w[:8], "added", *w[8:]]))
+    assert [index.contains(ids, n, hits) for _, n, hits in index.candidates([ids])] == [True]
+
+
 def test_gradients():
     g = np.random.default_rng(1)
     net = langid.Network(classes=3, hidden=4, seed=2)
