@@ -1,4 +1,4 @@
-"""Passages of held-out items inside documents: spaced seeds find candidates, an alignment with substitutions verifies them."""
+"""Passages of held-out items inside documents: seeds of four units find candidates, an alignment with substitutions verifies them."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Positions that a seed compares (1) and ignores (0). Words: five out of five to eight; ideographs: eight, runs of two ignored.
-WORD_MASKS = ("11111", "110111", "111011", "1101011", "1011101", "11100011")
-SIGN_MASKS = ("11111111", "1111001111", "111100001111", "11001111011")
+#: Words or ideographs of a seed. With one edit in six, L of them hold L - L/6 unchanged ones in L/6 + 1 runs at most; runs too short for a seed
+#: of four take up to half of L, so seeds always cover a third of L or more (q-gram lemma): no passage within the rule is missed for want of seeds.
+SEED = 4
 EXACT, LONG, EDITS = (15, 30), (30, 60), 6  # words and ideographs; one edit in EDITS
 #: Test items up to this many bytes of text are held in every task; beyond it seeds are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -69,28 +69,26 @@ class Items:
         self.known: dict[str, tuple[int, ...]] = {}
         self.factors = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.tables = []
-        for signs, masks in ((False, WORD_MASKS), (True, SIGN_MASKS)):
-            for m in masks:
-                picks = np.flatnonzero(np.frombuffer(m.encode(), dtype=np.uint8) == 49)
-                keys, where = [], []
-                for n, (_, ids, s) in enumerate(self.items):
-                    if s == signs and len(ids) >= len(m):
-                        h = self.hashes(ids, picks, len(m))
-                        keys.append(h)
-                        where.append(np.stack([np.full(len(h), n), np.arange(len(h))], 1))
-                if keys:
-                    h, w = np.concatenate(keys), np.concatenate(where)
-                    order = np.argsort(h, kind="stable")
-                    some = np.zeros(1 << 20, dtype=bool)
-                    some[h >> np.uint64(44)] = True
-                    self.tables.append((signs, len(m), picks, h[order], w[order], some))
-
-    def hashes(self, ids: np.ndarray, picks: np.ndarray, width: int) -> np.ndarray:
-        """A hash for each placing of a mask: the picked words, each times its own factor."""
-        n = max(0, len(ids) - width + 1)
+        keys, where = [], []
+        for n, (_, ids, _) in enumerate(self.items):
+            if len(ids) >= SEED:
+                h = self.hashes(ids)
+                keys.append(h)
+                where.append(np.stack([np.full(len(h), n), np.arange(len(h))], 1))
+        h = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.keys, self.where = h[order], np.concatenate(where)[order] if keys else np.zeros((0, 2), dtype=np.int64)
+        self.some = np.zeros(1 << 20, dtype=bool)
+        self.some[h >> np.uint64(44)] = True
+        #: Seeds that a passage has at least: by the exact rule, and by the edited one (a third of its length, four units a seed)
+        self.least = np.array([min(EXACT[s] - SEED + 1, -(-LONG[s] // (3 * SEED))) for _, _, s in self.items], dtype=np.int64)
+
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        """A hash for each seed: its units, each times its own factor."""
+        n = max(0, len(ids) - SEED + 1)
         x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
         h = np.zeros(n, dtype=np.uint64)
-        for p in picks:
+        for p in range(SEED):
             h += x[p : p + n] * self.factors[p]
         h ^= h >> np.uint64(31)
         return h * self.factors[63]
@@ -107,7 +105,7 @@ class Items:
         return out
 
     def candidates(self, texts: list[list[int]]) -> list[tuple[int, int, np.ndarray]]:
-        """(text, item, hits) with hits = (position in text, position in item, width); all texts of a batch are hashed at once."""
+        """(text, item, hits) with hits = (position in text, position in item); all texts of a batch are hashed at once."""
         sizes = np.array([len(t) + 12 for t in texts], dtype=np.int64)
         begins = np.r_[0, np.cumsum(sizes)]
         ids = np.full(int(begins[-1]), -1, dtype=np.int64)
@@ -115,48 +113,50 @@ class Items:
             ids[at : at + len(t)] = t
         lone = ids < 0
         ids[lone] = -2 - np.flatnonzero(lone)  # words outside the vocabulary match nothing, not even one another
-        found = []
-        for _, width, picks, keys, where, some in self.tables:
-            h = self.hashes(ids, picks, width)
-            hit = np.flatnonzero(some[h >> np.uint64(44)])
-            a, b = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-            n = b - a
-            if n.sum():
-                rows = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                at = np.repeat(hit, n)
-                text = np.searchsorted(begins, at, "right") - 1
-                found.append(np.column_stack([text, where[rows, 0], at - begins[text], where[rows, 1], np.full(len(rows), width)]))
-        if not found:
+        h = self.hashes(ids)
+        hit = np.flatnonzero(self.some[h >> np.uint64(44)])
+        a, b = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
+        n = b - a
+        if not n.sum():
             return []
-        hits = np.concatenate(found)
-        hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+        rows = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        at = np.repeat(hit, n)
+        text = np.searchsorted(begins, at, "right") - 1
+        hits = np.column_stack([text, self.where[rows, 0], at - begins[text], self.where[rows, 1]])
+        hits = hits[np.lexsort((hits[:, 2] - hits[:, 3], hits[:, 1], hits[:, 0]))]
         cuts = np.flatnonzero((np.diff(hits[:, 0]) != 0) | (np.diff(hits[:, 1]) != 0)) + 1
-        return [(int(p[0, 0]), int(p[0, 1]), p[:, 2:]) for p in np.split(hits, cuts)]
+        first, last = np.r_[0, cuts], np.r_[cuts, len(hits)]
+        enough = last - first >= self.least[hits[first, 1]]
+        return [(int(hits[s, 0]), int(hits[s, 1]), hits[s:e, 2:]) for s, e in zip(first[enough], last[enough])]
 
     def contains(self, ids: list[int], item: int, hits: np.ndarray) -> bool:
-        """Whether the text holds the passage, by the exact or the edited rule, on a band around any group of hits."""
+        """Whether the text holds the passage: by the exact rule on every diagonal with seeds enough, by the edited rule on a band around each group
+        of them. `hits` are in the order of their diagonals."""
         _, test, signs = self.items[item]
         ids = np.asarray(ids, dtype=np.int64)
         exact, long = EXACT[signs], LONG[signs]
         if len(test) < exact:
             return False
-        done: list[tuple[int, int]] = []
-        slack = max(8, len(test) // EDITS + 2)
         diagonal = hits[:, 0] - hits[:, 1]
-        each = np.unique(diagonal)
-        if any(self._exact(ids, test, int(d), exact) for d in each):
+        each, count = np.unique(diagonal, return_counts=True)
+        if any(self._exact(ids, test, int(d), exact) for d in each[count > exact - SEED]):
             return True
-        for d in each:
-            if any(a <= d <= b for a, b in done):
+        if len(test) < long:
+            return False
+        done = -(1 << 60)  # diagonals up to here need no alignment of their own
+        slack = max(8, len(test) // EDITS + 2)
+        first, last = np.searchsorted(diagonal, each - slack, "left"), np.searchsorted(diagonal, each + slack, "right")
+        for d, a, b in zip(each, first, last):
+            if d <= done or b - a < -(-long // (3 * SEED)):
                 continue
-            near = np.abs(diagonal - d) <= slack
-            covered = np.zeros(len(test), dtype=bool)
-            for _, q, w in hits[near]:
-                covered[q : q + w] = True
-            if covered.sum() < min(exact, long // 2):
+            covered = np.zeros(len(test) + SEED, dtype=np.int64)
+            for k in range(SEED):
+                covered[hits[a:b, 1] + k] = 1
+            value = 3 * np.r_[0, np.cumsum(covered[: len(test)])] - np.arange(len(test) + 1)  # a third of a stretch is covered, or it is none
+            if not (value[long:] >= np.minimum.accumulate(value[: len(test) + 1 - long])).any():
                 continue
-            done.append((d - 2, d + 2))
-            if self._edited(ids, test, int(np.median(diagonal[near])), slack, long):
+            done = d + 2
+            if self._edited(ids, test, int(d), slack, long):
                 return True
         return False
 
@@ -175,30 +175,26 @@ class Items:
         if n < least:
             return False
         width = 2 * slack + 1
-        text = ids.tolist()
-        size = len(text)
-        big = 1 << 30
-        previous = [0] * width  # cost at (0 item words, text position d - slack + j): free start
+        size = len(ids)
+        places = np.arange(width)
+        padded = np.full(size + n + 2 * width + 2 * abs(d), -1, dtype=np.int64)  # no word stands before or behind the text
+        before = width + abs(d)
+        padded[before : before + size] = ids
+        previous = np.zeros(width, dtype=np.int64)  # cost at (0 item words, text position d - slack + j): free start
         back = []
         for i in range(1, n + 1):
-            w = test[i - 1]
-            row, moves = [big] * width, [0] * width
-            base = i - 1 + d - slack
-            for j in range(width):
-                p = base + j  # text index matched with item word i - 1
-                best, move = big, 0
-                if 0 <= p < size:
-                    best, move = previous[j] + (text[p] != w), 1
-                elif previous[j] < big:
-                    best, move = previous[j] + 1, 1
-                if j + 1 < width and previous[j + 1] + 1 < best:
-                    best, move = previous[j + 1] + 1, 2  # item word dropped
-                if j and row[j - 1] + 1 < best:
-                    best, move = row[j - 1] + 1, 3  # text word added
-                row[j], moves[j] = best, move
+            base = before + i - 1 + d - slack
+            row = previous + (padded[base : base + width] != test[i - 1])
+            moves = np.ones(width, dtype=np.int8)
+            dropped = np.r_[previous[1:] + 1, 1 << 30]  # item word dropped
+            moves[dropped < row] = 2
+            row = np.minimum(row, dropped)
+            added = np.minimum.accumulate(row - places) + places  # text words added
+            moves[added < row] = 3
             back.append(moves)
-            previous = row
-        j = min(range(width), key=previous.__getitem__)
+            previous = added
+        text = ids
+        j = min(range(width), key=previous.tolist().__getitem__)
         i, cost = n, [0] * n
         while i:
             move = back[i - 1][j]
@@ -215,7 +211,22 @@ class Items:
         edits = np.r_[0, np.cumsum(cost)]
         value = np.arange(n + 1) - EDITS * edits  # words less six for each edit, up to each place
         low = np.minimum.accumulate(value[: n + 1 - least])
-        return bool((value[least:] >= low).any())
+        most = (value[least:] - low).max()
+        if most >= 0 or most < -4 * EDITS:
+            return bool(most >= 0)
+        # close to the limit the cheapest path of the whole item may lay an edit to the wrong side of the stretch's end: try every beginning
+        starts = np.arange(n + 1 - least)[:, None]
+        costs = np.zeros((len(starts), width), dtype=np.int64)
+        for i in range(1, n + 1):
+            base = before + i - 1 + d - slack
+            row = costs + (padded[base : base + width] != test[i - 1])
+            row[:, :-1] = np.minimum(row[:, :-1], costs[:, 1:] + 1)
+            row = np.minimum.accumulate(row - places, axis=1) + places
+            costs = np.where(starts < i, row, 0)
+            length = i - starts[:, 0]
+            if ((length >= least) & (costs.min(axis=1) * EDITS <= length)).any():
+                return True
+        return False
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -105,6 +105,21 @@ def test_the_exact_rule_holds_on_every_diagonal():
     assert [index.contains(ids, n, hits) for _, n, hits in index.candidates([ids])] == [True]
 
 
+def test_edited_passages_of_signs_are_found_at_the_limit():
+    g = random.Random(3)
+    sign = lambda: chr(0x4E00 + g.randrange(3000))
+    items = [[sign() for _ in range(60 if k % 2 else 187)] for k in range(24)]
+    index = leakage.Items([(k, "".join(w)) for k, w in enumerate(items)])
+    for k, w in enumerate(items):
+        at = g.randrange(len(w) - 59)
+        even = [x for n, x in enumerate(w[at : at + 60]) if n % 6 != 5]  # each sixth dropped
+        lone = [y for n, x in enumerate(w[at : at + 60]) for y in ([x, sign()] if n % 6 == 2 else [x])]  # one added in each six
+        many = [x for n, x in enumerate(w[at : at + 60]) if n % 4 != 3]  # each fourth dropped
+        for middle, found in ((even, True), (lone, True), (many, False)):
+            ids = index.encode("".join([sign() for _ in range(80)] + middle + [sign() for _ in range(80)]))
+            assert any(n == k and index.contains(ids, n, hits) for _, n, hits in index.candidates([ids])) is found
+
+
 def test_gradients():
     g = np.random.default_rng(1)
     net = langid.Network(classes=3, hidden=4, seed=2)
