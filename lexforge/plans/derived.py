@@ -105,8 +105,15 @@ def valency_change_types(spark, d):
 @query("lexicon_lemmas", f"""WITH {base.TOK}, lx AS (SELECT lower(form) AS f, min(lemma) AS l FROM tok WHERE form IS NOT NULL AND lemma IS NOT NULL AND document_id % 2 = 0 GROUP BY 1), lp AS (SELECT strip_accents(lower(form)) AS f, min(lemma) AS l FROM tok WHERE form IS NOT NULL AND lemma IS NOT NULL AND document_id % 2 = 0 AND regexp_matches(form, '^[A-Za-z]+$') GROUP BY 1)
 SELECT coalesce(lx.l, lp.l, lower(t.form)) AS lemma, count(*) AS n FROM tok t LEFT JOIN lx ON lx.f = lower(t.form) LEFT JOIN lp ON lp.f = lower(t.form) WHERE t.document_id % 2 = 1 AND regexp_matches(t.form, '^[A-Za-z]+$') GROUP BY 1""")
 def lexicon_lemmas(spark, d):
-    """Lemmas of one half of the documents from a lexicon of the other half's annotations: held-out look-up, whole tables."""
+    """Lemmas of the ASCII forms of one half of the documents from a lexicon of the other half's: what SQL can follow. All forms: lexicon_lemmas_whole."""
     t = base.tokens(spark, d)
     latin = F.col("form").rlike("^[A-Za-z]+$")
     lexicon = t.where("form is not null and lemma is not null and document_id % 2 = 0").select("form", "lemma").where(latin)
     return annotate.lexicon_lemmas(t.where("document_id % 2 = 1").where(latin), lexicon).groupBy("lemma").agg(F.count("*").alias("n"))
+
+
+@query("lexicon_lemmas_whole")
+def lexicon_lemmas_whole(spark, d):
+    """Lemmas of all forms of all documents, in every script, from a lexicon of the whole table's annotations."""
+    t = base.tokens(spark, d).where("form is not null")
+    return annotate.lexicon_lemmas(t, t.where("lemma is not null").select("form", "lemma")).groupBy("lemma").agg(F.count("*").alias("n"))

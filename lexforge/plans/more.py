@@ -43,6 +43,13 @@ def stems(spark, d):
     return t.groupBy(lg.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
+@query("stems_whole")
+def stems_whole(spark, d):
+    """Stems of all forms in every script; forms without a known ending are their own stem."""
+    t = base.tokens(spark, d).where("form is not null").groupBy(F.lower("form").alias("w")).agg(F.count("*").alias("n"))
+    return t.groupBy(lg.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
+
+
 @query("relations_mapped", f"WITH {TOK} SELECT coalesce(CASE deprel " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in lg.UD_TO_PROIEL.items()) + " END, deprel) AS relation, count(*) AS n FROM tok WHERE deprel IS NOT NULL GROUP BY 1")
 def relations_mapped(spark, d):
     t = base.tokens(spark, d).where("deprel is not null").groupBy("deprel").agg(F.count("*").alias("n"))

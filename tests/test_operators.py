@@ -147,3 +147,16 @@ def test_text_functions(spark):
     assert r["h"] == "a & b" and r["g"] == "λόγος τος" and r["n"] is None and r["x"] == "&lt;a b=&quot;c&quot;&gt;" and r["w"] == "λογοσ τοσ" and r["f"] == "Sing" and r["t"] == "Untitled"
     page = "<html><nav>menu one two</nav><p>" + "word " * 30 + "</p><p><a href='#'>" + "link " * 30 + "</a></p></html>"
     assert html.blocks(page) == ("word " * 30).strip()
+
+
+def test_lemmas_and_stems_of_all_scripts(spark, tmp_path):
+    from lexforge.plans import catalog
+
+    rows = [("ΛΌΓΟΣ", "λόγος"), ("λογος", None), ("книги", "книга"), ("手稿", "手稿"), ("नदी", "नदी"), ("été", "été"), ("ete", None), ("walking", "walk"), ("neu", None), (None, "x")]
+    kinds = "token_id long, sentence_id long, document_id long, token_index long, form string, lemma string, upos string, head long, deprel string, feats string"
+    data = [(k, k, k % 3, 1, form, lemma, None, 0, None, None) for k, (form, lemma) in enumerate(rows)]
+    spark.createDataFrame([*data, data[0]], kinds).write.parquet(f"{tmp_path}/tokens.parquet")
+    lemmas = {r["lemma"]: r["n"] for r in catalog.queries()["lexicon_lemmas_whole"](spark, str(tmp_path)).collect()}
+    assert lemmas == {"λόγος": 2, "книга": 1, "手稿": 1, "नदी": 1, "été": 2, "walk": 1, "neu": 1}
+    stems = {r["stem"]: (r["n"], r["forms"]) for r in catalog.queries()["stems_whole"](spark, str(tmp_path)).collect()}
+    assert stems["walk"] == (1, 1) and {"книги", "手稿", "नदी", "été", "ete"} <= set(stems) and sum(n for n, _ in stems.values()) == 9
