@@ -138,6 +138,12 @@ def test_gradients():
         assert abs((values[0] - values[1]) / 2e-3 - grads[k][i]) < 2e-2 * max(1e-2, abs(grads[k][i])), k
 
 
+def test_lookalikes_reach_the_network_restored():
+    assert langid.HIDDEN == 20
+    text = "The quiet rivеr rеaсhed thе meadow, and the sсribе recorded it in full.​"  # Cyrillic letters in Latin words
+    assert "".join(s for _, s in langid.prose(text)) == "The quiet river reached the meadow, and the scribe recorded it in full."
+
+
 def test_languages_on_held_out_text(spark, small):
     rows = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").where("text is not null and lang is not null and length(text) < 4000").select("text", "lang").limit(700).collect()
     cut = int(len(rows) * 0.75)
