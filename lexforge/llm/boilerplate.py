@@ -1,152 +1,51 @@
 """Tell the text of a web page from its menus, notices, side lists and footers.
 
-Every line is scored: words of running text count positive, page parts (the "tags" of a page reduced to lines) negative, by weights that
-come from labelled lines of pages. One linear scan finds the maximum-scoring runs of lines; what lies outside them, and the negative lines they
-span, belongs to the page.
+Every line is scored: its words and its shape (length, end, separators, list marks: what is left of a page's tags once it is stored as lines)
+add up to the log-odds that it is text. The weights are fitted to a bounded sample of pages that label one another: a line that
+comes again on pages with other texts belongs to the page. A linear scan then finds the runs of lines with the highest total; a run
+takes its price to begin, so a doubtful line inside the text is kept and the same line between lines of the page is dropped. The heads of side
+lists, and what their entries look like, are learned from the same pages.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm import sampling
 from lexforge.llm.confusables import _CLEAN, normalise
-from lexforge.llm.mojibake import _SUSPECT, repairer
-
-#: Lines of labelled pages: entries of menus (fixed values).
-MENU = """
-Home|Search|Help|Contact|Authors|Languages|Log in|Downloads|About the project|Donate|Blog|Browse texts
-Αρχική|Αναζήτηση|Βοήθεια|Επικοινωνία|Συγγραφείς|Σύνδεση|Κείμενα|Σχετικά
-Startseite|Suche|Hilfe|Kontakt|Autoren|Anmelden|Texte|Über uns|Spenden
-Accueil|Recherche|Aide|Contact|Auteurs|Connexion|Textes|À propos|Faire un don
-Inicio|Buscar|Ayuda|Contacto|Autores|Entrar|Textos|Acerca de
-Pagina iniziale|Cerca|Aiuto|Contatti|Autori|Accedi|Testi|Chi siamo
-Главная|Поиск|Помощь|Контакты|Авторы|Войти|Тексты|О проекте
-首页|搜索|帮助|联系|作者|登录|文本|关于我们
-"""
-#: Lines of labelled pages: notices, prompts, marks and footers; @ stands for the site's name, 0 for a number (fixed values).
-NOTICES = """
-@ is supported by readers like you and by the Foundation for Quiet Libraries.
-Texts offered under an open licence unless noted otherwise.
-Page last changed on 0.0.0
-© 0 @. All rights reserved.
-Imprint | Privacy | Terms of use | Accessibility
-We use small files on your device to remember your settings; by staying on @ you agree to this.
-Your privacy matters to @: choose which optional files we may keep and press Save to continue reading.
-This site stores preferences in your browser. Accept all | Only necessary | Settings
-Back to top
-0 readers liked this
-Share this page
-Sign up for our monthly letter
-Report an error on this page
-Print · Cite · Download as plain text
-Jump to: navigation, search
-Create a free account to save your place
-Advertisement – the text continues below
-Next page »
-Τελευταία ενημέρωση: 0.0.0
-© 0 @. Με επιφύλαξη παντός δικαιώματος.
-Όροι χρήσης | Απόρρητο | Χάρτης
-Αποδοχή όλων | Μόνο απαραίτητα | Ρυθμίσεις
-Ο ιστότοπος @ αποθηκεύει τις ρυθμίσεις σας στη συσκευή· συνεχίζοντας αποδέχεστε τη χρήση αυτή.
-Επιστροφή στην κορυφή
-Εκτύπωση · Παραπομπή · Λήψη
-Κοινοποίηση
-Εγγραφή στο ενημερωτικό δελτίο
-Διαφήμιση – το κείμενο συνεχίζεται
-Επόμενη σελίδα »
-Zuletzt geändert am 0.0.0
-© 0 @. Alle Rechte vorbehalten.
-Impressum | Datenschutz | Nutzungsbedingungen
-Alle annehmen | Nur notwendige | Einstellungen ändern
-Diese Seite speichert Einstellungen auf Ihrem Gerät. Mit der weiteren Nutzung von @ stimmen Sie zu.
-Nach oben
-Drucken · Zitieren · Herunterladen
-Seite teilen
-Newsletter bestellen
-Anzeige – der Text geht unten weiter
-Nächste Seite »
-Dernière modification : 0.0.0
-© 0 @. Tous droits réservés.
-Mentions légales | Confidentialité | Plan du site
-Tout accepter | Refuser | Personnaliser
-Ce site garde vos réglages sur votre appareil ; en restant sur @ vous acceptez cet usage.
-Haut de page
-Imprimer · Citer · Télécharger
-Partager cette page
-S’abonner à la lettre
-Publicité – la suite ci-dessous
-Page suivante »
-Última modificación: 0.0.0
-© 0 @. Todos los derechos reservados.
-Aviso legal | Privacidad | Mapa del sitio
-Aceptar todo | Rechazar | Configurar
-Este sitio guarda sus preferencias; si continúa en @ entendemos que acepta.
-Volver arriba
-Imprimir · Citar · Descargar
-Compartir esta página
-Suscríbase al boletín
-Publicidad – el texto sigue abajo
-Página siguiente »
-Ultima modifica: 0.0.0
-© 0 @. Tutti i diritti riservati.
-Note legali | Riservatezza | Mappa del sito
-Accetta tutto | Rifiuta | Impostazioni
-Questo sito conserva le preferenze sul dispositivo; continuando su @ si accetta tale uso.
-Torna su
-Stampa · Cita · Scarica
-Condividi la pagina
-Iscriviti alla lettera mensile
-Pubblicità – il testo continua sotto
-Pagina seguente »
-Последнее изменение: 0.0.0
-© 0 @. Все права защищены.
-Правила | Конфиденциальность | Карта сайта
-Принять все | Отклонить | Настроить
-Сайт @ сохраняет настройки на вашем устройстве; оставаясь здесь, вы соглашаетесь с этим.
-Наверх
-Печать · Цитата · Скачать
-Поделиться
-Подписаться на рассылку
-Реклама – продолжение ниже
-Следующая страница »
-最后更新：0.0.0
-© 0 @ 版权所有
-法律声明 | 隐私 | 网站地图
-全部接受 | 仅必要 | 设置
-本站会在您的设备上保存设置，继续浏览@即表示同意。
-返回顶部
-打印 · 引用 · 下载
-分享本页
-订阅通讯
-广告——正文在下方继续
-下一页 »
-"""
-#: Lines of labelled pages: the heads of side lists, whose entries follow (fixed values).
-HEADS = """
-You may also like|Recent comments (0)|Related texts|Most read this week|Πρόσφατα σχόλια (0)|Δημοφιλή|Σχετικά κείμενα|Neueste Kommentare (0)|Verwandte Texte|Meistgelesen
-Commentaires récents (0)|Textes liés|Les plus lus|Comentarios recientes (0)|Textos relacionados|Lo más leído|Commenti recenti (0)|Testi correlati|I più letti|Новые комментарии (0)|Похожие тексты|Популярное|最新评论（0）|相关文本|本周热门
-"""
-MENU_WEIGHT, NOTICE_WEIGHT, HEAD_WEIGHT, ENTRY_WEIGHT, TEXT_WEIGHT = -8.0, -12.0, -10.0, -6.0, 1.0
-#: Log-odds of a side list for a line after its head: a teaser, a short title, a longer one, a line that is none (fixed values).
-TEASER, TITLE, LONG_TITLE, NO_ENTRY = 5.0, 4.0, 2.0, -4.0
-#: What a short line without an end is worth by itself, what a run of text must be worth, and what lines of the page take from a run that goes on behind them.
-WEAK, RUN, RESUMED, BETWEEN = 1.0, 2.5, 0.5, {"notice": 0.25, "menu": 1.0, "head": 2.0}
+from lexforge.llm.mojibake import repairer, suspect
+
+#: The bounded sample that the weights are fitted to: pages, and the longest of them in bytes (longer ones are scored, not learned from).
+SAMPLE_PAGES, SAMPLE_BYTES = 6000, 200_000
+#: A line is one of the page's if it comes again with so many other texts: this share of the sampled pages, and at least so many of them.
+#: A sentence of this length without the site's name may be a quotation: its share must be greater.
+SHARE, LEAST, SENTENCE, SENTENCE_SHARE = 0.001, 3, 60, 0.01
+#: A line of the page is the head of a side list if two short lines of their own follow it so often.
+HEADS = 0.85
+#: What a run of text must be worth, what it takes to go on behind lines of the page, and the odds that a side list has a further entry.
+RUN, RESUMED, FURTHER = 2.0, 0.5, 1.0
+PENALTY, ROUNDS = 0.05, 250
+#: Lines beyond this length have no shape but their end, and are read as they are stored.
+LONG = 160
+#: Evidence of a single line is bounded, as its words don't speak independently.
+MOST = 12.0
+
 _LIST_MARK = regex.compile(r"^[*•\-–·▪‣]\s+")
 _NUMBERED = regex.compile(r"^(?:\p{N}+[.)]|[IVXLCDM]+[.)]|§|\p{L}{1,3}ʹ|\(\p{N}+\))\s?")
 _ENDED = regex.compile(r"[.!?;:。！？；।॥|·,，»”\"“)]$")
-_DAMAGE = regex.compile(r"[\u0080-\u009f�­​-‏⁠﻿  -  ０-～ÃÂÎÏÐÑâå┬├╬╨╤Œœ√]")
-_WORD = regex.compile(r"\p{Han}|[\p{L}\p{M}]+")
-_BLANK, _DIGITS, _HAN, _WORDS = regex.compile(r"\s+"), regex.compile(r"\p{N}+"), regex.compile(r"\p{Han}"), regex.compile(r"[\p{L}\p{M}]+")
-_INDIC, _HOST, _HOLES = regex.compile(r"[ऀ-ॿ]"), regex.compile(r"^[a-z]+://([^/:]+)"), regex.compile(r"[^\x20-\x7eΆ-ώЀ-џ一-鿿]+")
-LONG = 130
+_TOKEN = regex.compile(r"\p{Han}+|[\p{L}\p{M}]+")
+_BLANK, _DIGITS, _DIGIT = regex.compile(r"\s+"), regex.compile(r"\p{N}+"), regex.compile(r"\p{N}")
+_HAN, _INDIC, _HOST = regex.compile(r"\p{Han}"), regex.compile(r"[ऀ-ॿ]"), regex.compile(r"^[a-z]+://([^/:]+)")
+_SEPARATOR = regex.compile(r"\s[|·»•/›>]\s|\s[|»›>]$|:\s")
 
 
 def fold(line: str) -> str:
@@ -157,214 +56,327 @@ def fold(line: str) -> str:
     return _BLANK.sub(" ", _DIGITS.sub("0", line)).strip().replace("ς", "σ")
 
 
+def site_of(url: str | None) -> str:
+    """The name of the site in a url's host, folded."""
+    host = _HOST.match(url) if isinstance(url, str) else None
+    return fold(host.group(1).removeprefix("www.").split(".")[0]) if host else ""
+
+
+def _terms(token: str) -> list[str]:
+    """What is weighed of a token: a folded word, or the pairs of neighbouring ideographs."""
+    if _HAN.match(token):
+        return [token[k : k + 2] for k in range(len(token) - 1)] or [token]
+    return [fold(token)]
+
+
+def _shape(s: str, words: int) -> tuple[str, ...]:
+    """Names of the features of a line's shape."""
+    end = "…" if s.endswith(("…", "...")) else "." if _ENDED.search(s) else "-"
+    if len(s) > LONG:
+        return (f"end {end}", f"long end {end}", "long")
+    size = len(s) // 2 if words and _HAN.search(s) else words
+    step = next((str(k) for k in (1, 2, 3, 4, 6, 10, 16) if size <= k), "+")
+    out = [f"end {end}", f"words {step} end {end}", f"words {step}"]
+    if _LIST_MARK.match(s):
+        out.append("list mark")
+    if _NUMBERED.match(s):
+        out.append("numbered")
+    if (m := _SEPARATOR.search(s)) and (mark := m.group().strip()) != ":":
+        out.append(f"separator {mark}")
+        if s.endswith("cod."):
+            out.append("apparatus")
+    elif m and m.start() < 24:
+        out.append("label")
+    if "©" in s:
+        out.append("©")
+    if _DIGIT.search(s):
+        out.append("digit")
+    if s[0].islower():
+        out.append("small")
+    return tuple(out)
+
+
+def _entry_traits(s: str) -> tuple[tuple, ...]:
+    """What tells an entry of a side list from other lines: its end and beginning, and the length of a line without an end."""
+    end = "…" if s.endswith(("…", "...")) else "." if _ENDED.search(s) else "-"
+    out = [("end", end), ("numbered", bool(_NUMBERED.match(s))), ("small", s[:1].islower())]
+    if end == "-":
+        han = len(_HAN.findall(s))
+        size = han if han else len(_TOKEN.findall(s))
+        cuts = (3, 9, 16, 24, 40) if han else (1, 2, 3, 4, 5, 7, 10, 16)
+        out.append(("han" if han else "indic" if _INDIC.search(s) else "size", next((k for k in cuts if size <= k), 99)))
+    return tuple(out)
+
+
+def _lines(text: str) -> list[tuple[int, str]]:
+    """(number, restored form without white space around) of the non-empty lines."""
+    raw = text.split("\n")
+    plain = raw
+    if suspect(text):
+        fix = repairer().repair
+        plain = fix(text)[0].split("\n")
+        if len(plain) != len(raw):
+            plain = [fix(x)[0] for x in raw]
+        plain = [x if len(x) > LONG or _CLEAN.fullmatch(x) else normalise(x)[0] for x in plain]
+    return [(n, p.strip() or r.strip()) for n, (r, p) in enumerate(zip(raw, plain), 1) if r.strip()]
+
+
+def _logistic(rows: list[list[int]], size: int, target: np.ndarray, weight: np.ndarray, free: int, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
+    """Weights of a logistic regression on 0/1 features by Adam over the whole sample; the first `free` weights aren't held down."""
+    col = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    hold = np.full(size, penalty)
+    hold[:free] = penalty / 20
+    for i in range(1, rounds + 1):
+        z = np.bincount(row, weights=w[col], minlength=len(rows))
+        off = weight * (1 / (1 + np.exp(-z)) - target)
+        g = np.bincount(col, weights=off[row], minlength=size) + hold * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.25 * (1 - 0.9 * i / rounds) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
+    return w
+
+
 class Weights:
-    """Line and word weights from the labelled lines."""
+    """Log-odds of words and shapes for text against page, of words and shapes for heads of side lists, and of the classes of lines for entries."""
 
     def __init__(self):
-        self.lines: dict[str, tuple[str, float]] = {}
-        self.menu = set()
-        words = Counter()
-        for row in MENU.strip().split("\n"):
-            for w in row.split("|"):
-                self.lines[fold(w)] = ("menu", MENU_WEIGHT)
-                self.menu.add(fold(w))
-        for row in NOTICES.strip().split("\n"):
-            self.lines[fold(row)] = ("notice", NOTICE_WEIGHT)
-            words.update(set(_WORD.findall(fold(row))))
-        for row in HEADS.strip().replace("\n", "|").split("|"):
-            self.lines[fold(row)] = ("head", HEAD_WEIGHT)
-        # a word of notices weighs against a line by its share among them; long words are the telling ones
-        total = sum(words.values())
-        self.words = {w: -2.0 - math.log(1 + 100 * n / total) for w, n in words.items() if len(w) > 6}
-
-    def known(self, line: str, site: str) -> tuple[str, float] | None:
-        f = fold(line)
-        hit = self.lines.get(f)
-        if hit or not f:
-            return hit
-        if site:
-            if f == site or f.startswith(site + " ") and f[len(site) + 1 :] in self.menu:
-                return "menu", MENU_WEIGHT
-            if site in f and (hit := self.lines.get(f.replace(site, "@"))):
-                return hit
-        bare = _LIST_MARK.sub("", f)
-        if bare != f and bare in self.menu:
-            return "menu", MENU_WEIGHT
-        for mark in ("|", "·", "»", "•", "/", "›", ">"):
-            if mark in bare:
-                parts = [p.strip() for p in bare.split(mark) if p.strip()]
-                if len(parts) > 1:
-                    if all(p in self.menu for p in parts):
-                        return "menu", MENU_WEIGHT
-                    if mark in "»›>/" and all(p in self.menu for p in parts[:-1]):
-                        return "menu", MENU_WEIGHT
-        return None
-
-    def damaged(self, line: str, site: str) -> tuple[str, float] | None:
-        """A known line of which characters are lost: what is left must agree, in order and mostly."""
-        f = fold(line)
-        holes = _HOLES.sub("\0", f.replace(site, "@") if site else f)
-        kept = len(holes.replace("\0", "").replace(" ", ""))
-        if "\0" not in holes or kept < 3:
-            return None
-        pattern = regex.compile(r".{0,3}?".join(regex.escape(p) for p in holes.split("\0")) + r".{0,2}")
-        for known, hit in self.lines.items():
-            if kept * 2 >= len(known.replace(" ", "")) and pattern.fullmatch(known):
-                return hit
-        for mark in ("|", "·", "»"):
-            if mark in holes:
-                parts = [p.strip() for p in f.split(mark) if p.strip()]
-                if len(parts) > 1:
-                    fits = [p in self.menu or bool(len(p) < 30 and self.damaged(p, "")) for p in parts]
-                    if all(fits[:-1]) and (fits[-1] or mark == "»"):
-                        return "menu", MENU_WEIGHT
-        return None
-
-
-_WEIGHTS: list[Weights] = []
-
-
-def weights() -> Weights:
-    if not _WEIGHTS:
-        _WEIGHTS.append(Weights())
-    return _WEIGHTS[0]
-
-
-def _score(line: str, plain: str | None, site: str) -> tuple[str, float]:
-    """Role and score of a line; `plain` is its restored form on a page that needs restoring."""
-    w = weights()
-    s = line.strip()
-    if len(s) <= LONG:
-        hit = w.known(s, site)
-        if hit:
-            return hit
-    if plain is not None and len(plain) <= 2 * LONG and not plain.endswith("cod."):
-        if plain != s:
-            hit = w.known(plain, site)
-            if hit:
-                return hit
-        if not _CLEAN.fullmatch(plain):
-            even = normalise(plain)[0].strip()
-            hit = w.known(even, site) or (w.damaged(even, site) if _DAMAGE.search(even) else None)
-            if hit:
-                return hit
-        if len(s) <= LONG and not s.isascii():
-            for reading in repairer().readings(s):
-                if hit := w.known(reading, site):
-                    return hit
-    words = _WORD.findall(s) if len(s) <= LONG else []
-    value = TEXT_WEIGHT * (len(words) if words else max(1, len(s) // 6))
-    if words:
-        value += sum(w.words.get(x, 0.0) for x in {fold(x) for x in words if len(x) > 6})
-        if "©" in s:
-            value -= 4 + len(words)
-    if value <= -1.5:
-        return "notice", value
-    return "text", min(value, WEAK) if _weak(s if plain is None else plain) else value
-
-
-def _weak(s: str) -> bool:
-    """A short line without an end or a number: a heading, a verse, an entry or an unknown line of the page, which only its surroundings tell."""
-    return s.endswith(("…", "...")) and len(s) <= LONG or len(s) <= 60 and not _ENDED.search(s) and not _NUMBERED.match(s)
-
-
-def _entry(s: str) -> float:
-    """Log-odds that a line after the head of a side list is an entry: a title or teaser."""
-    if _NUMBERED.match(s):
-        return NO_ENTRY
-    teaser = s.endswith(("…", "..."))
-    if not teaser and (_ENDED.search(s) or len(s) > 90):
-        return NO_ENTRY
-    han = len(_HAN.findall(s))
-    if han:
-        return (TEASER if teaser else TITLE if han <= 9 else LONG_TITLE if han <= 24 else NO_ENTRY) if han > 3 else NO_ENTRY
-    words = _WORDS.findall(s)
-    if len(words) < 2:
-        return NO_ENTRY
-    if _INDIC.search(s):  # no capitals tell a title from a verse
-        return TEASER if teaser else TITLE if len(words) <= 3 else NO_ENTRY
-    if words[0][0].islower() and not teaser:
-        return NO_ENTRY
-    return TEASER if teaser else TITLE if len(words) <= 4 else LONG_TITLE if len(words) <= 10 else NO_ENTRY
-
-
-def _best(lines: list[tuple[int, str, float, float]]) -> set[int]:
-    """Numbers of the lines of text on the best path of (number, role, value, value as an entry) through four states: outside, in a run of text, and in
-    a side list that interrupts either. A run counts its lines and takes RUN to begin, so weak lines alone between lines of the page make none; lists
-    begin at heads only and last while their sum grows, and a run goes on behind them."""
-    never = -math.inf
-    outside, inside = 0, 1
-    state = [0.0, -RUN if any(role != "text" for _, role, _, _ in lines) else 0.0, never, never]  # outside, run, list outside, list in a run
-    back = []
-    for _, role, value, entry in lines:
-        if role == "text":
-            gone = max((outside, inside, 2, 3), key=state.__getitem__)
-            goes = max(((state[1], 1), (state[0] - RUN, 0), (state[3] - RESUMED, 3), (state[2] - RUN, 2)), key=lambda x: x[0])
-            back.append((gone, goes[1], 2, 3))
-            state = [state[gone], goes[0] + value, state[2] + entry, state[3] + entry]
+        self.text: dict[str, float] = {}
+        self.head: dict[str, float] = {}
+        self.entry: dict[tuple, float] = {}
+        self.bias, self.head_bias = 1.0, -3.0
+        self._known: dict[str, float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": {}}
+
+    def _sum(self, weights: dict[str, float], bias: float, tokens: set[str], shape: tuple[str, ...], site: str) -> float:
+        own = [t for token in tokens for t in _terms(token)]
+        return bias + sum(weights.get("@" if site and t == site else t, 0.0) for t in own) + sum(weights.get("\0" + f, 0.0) for f in shape)
+
+    def score(self, s: str, site: str = "") -> float:
+        """Log-odds that a line is text; the weights of tokens that were met are kept."""
+        if len(s) <= LONG:
+            tokens = set(_TOKEN.findall(s))
+            shape = _shape(s, len(tokens))
+        else:
+            tokens = set(s.split())  # words with the marks beside them, taken apart when they are first met
+            shape = _shape(s, 99)
+        if site and len(s) <= LONG and site in s.casefold():
+            value = self._sum(self.text, self.bias, tokens, shape, site)
         else:
-            gone = max((outside, inside, 2, 3), key=state.__getitem__)
-            a, b = max((0, 2), key=state.__getitem__), max((1, 3), key=state.__getitem__)
-            less = BETWEEN.get(role, 1.0)
-            on = max(((state[1] - less, 1), (state[3] - less, 3)), key=lambda x: x[0])
-            back.append((gone, on[1], a, b))
-            state = [state[gone], on[0], *((state[a], state[b]) if role == "head" else (never, never))]
-    kept, at = set(), max((inside, outside, 3, 2), key=state.__getitem__)
-    for (n, role, _, _), whence in zip(reversed(lines), reversed(back)):
-        if at == inside and role == "text":
+            known, value = self._known, self.bias
+            for t in tokens:
+                got = known.get(t)
+                if got is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    got = known[t] = sum(self.text.get(x, 0.0) for w in _TOKEN.findall(t) for x in _terms(w))
+                value += got
+            for f in shape:
+                value += self.text.get("\0" + f, 0.0)
+        return max(-MOST, min(MOST, value))
+
+    def head_odds(self, s: str, site: str = "") -> float:
+        """Log-odds that a line of the page is the head of a side list."""
+        tokens = set(_TOKEN.findall(s))
+        return self._sum(self.head, self.head_bias, tokens, _shape(s, len(tokens)), site)
+
+    def entry_odds(self, s: str) -> float:
+        """Log-odds of a line behind the head of a side list for being one of its entries rather than text."""
+        return sum(self.entry.get(x, 0.0) for x in _entry_traits(s)) if self.entry else -MOST
+
+
+def fit(pages: Iterable[tuple[str, str | None]]) -> Weights:
+    """Weights from (text, url) of pages that label one another; pages with the same longest line count as one. None or empty texts don't count; without
+    pages, or without a line that comes again, all weights are 0 and every line is text."""
+    w = Weights()
+    seen, texts = defaultdict(set), []
+    for text, url in pages:
+        if not isinstance(text, str) or not text.strip():
+            continue
+        site = site_of(url)
+        lines = []
+        for _, s in _lines(text):
+            f = fold(s)
+            lines.append((s, f.replace(site, "@") if site else f, site))
+        longest = hash(max((f for _, f, _ in lines), key=len))
+        texts.append(lines)
+        for _, f, _ in lines:
+            seen[f].add(longest)
+            if m := _SEPARATOR.search(f):
+                if m.start() < 40:
+                    seen[f[: m.end()]].add(longest)
+    least = max(LEAST, SHARE * len(texts))
+    often = max(LEAST, SENTENCE_SHARE * len(texts))
+
+    def again(f: str) -> bool:
+        n = len(seen.get(f, ()))
+        return n >= (often if len(f) >= SENTENCE and "@" not in f else least)
+
+    def page(f: str) -> bool:
+        if again(f):
+            return True
+        m = _SEPARATOR.search(f)  # a path or row of links, or a label with its values, of which the beginning comes again
+        if not m or f.endswith("cod.") or m.start() >= 40:
+            return False
+        return again(f[: m.start()].strip()) if m.group().strip() != ":" else again(f[: m.end()]) and len(seen[f[: m.end()]]) >= often
+
+    def lemma(f: str) -> str:
+        """What comes again of a line of the page: the whole of it, or its beginning."""
+        m = None if again(f) else _SEPARATOR.search(f)
+        return f[: m.end()] if m else f
+
+    verdict = {f: page(f) for f in {f for lines in texts for _, f, _ in lines}}
+    if not any(verdict.values()):
+        return w
+    # the heads: lines of the page that two short lines of their own follow
+    follow = defaultdict(lambda: [0, 0])
+    for lines in texts:
+        for k, (s, f, _) in enumerate(lines):
+            if verdict[f]:
+                x = follow[lemma(f)]
+                x[1] += 1
+                two = lines[k + 1 : k + 3]
+                x[0] += len(two) == 2 and all(not verdict[g] and len(t) <= 90 and (not _ENDED.search(t) or t.endswith(("…", "..."))) for t, g, _ in two)
+    heads = {f for f, (a, n) in follow.items() if n >= LEAST and a >= HEADS * n}
+    heads = {f for f, p in verdict.items() if p and lemma(f) in heads}
+    # the entries: the first line behind a head against lines of text that stand elsewhere
+    after, other = Counter(), Counter()
+    behind = set()
+    for k, lines in enumerate(texts):
+        listed = False
+        for j, (s, f, _) in enumerate(lines):
+            if verdict[f]:
+                listed = f in heads
+                first = listed
+            elif listed:
+                if first:
+                    after.update(_entry_traits(s))
+                first = False
+                behind.add((k, j))  # up to the next line of the page neither text nor page is certain
+            else:
+                other.update(_entry_traits(s))
+    if after:
+        kinds = {"han": "size", "indic": "size"}  # the length is one trait, told for each kind of script
+        a, b = Counter(), Counter()
+        for have, total in ((after, a), (other, b)):
+            for (kind, _), n in have.items():
+                total[kinds.get(kind, kind)] += n
+        w.entry = {
+            x: max(-6.0, min(6.0, math.log((after[x] + 0.5) / (a[k] + 5)) - math.log((other[x] + 0.5) / (b[k] + 5)))) for x in {*after, *other} for k in [kinds.get(x[0], x[0])]
+        }
+    # distinct lines, weighed by their number
+    count: Counter = Counter()
+    kept: dict[tuple, tuple] = {}
+    for k, lines in enumerate(texts):
+        for j, (s, f, site) in enumerate(lines):
+            if (k, j) not in behind:
+                tokens = set(_TOKEN.findall(s))
+                key = (f, _shape(s, len(tokens)))
+                count[key] += 1
+                kept.setdefault(key, (tokens, site))
+    pages_of: Counter = Counter()
+    terms: list[tuple[set[str], tuple, bool, bool, int]] = []
+    memory: dict[str, list[str]] = {}
+    for (f, shape), n in count.items():
+        tokens, site = kept[(f, shape)]
+        own = set()
+        for t in tokens:
+            got = memory.get(t)
+            if got is None:
+                got = memory[t] = _terms(t)
+            own.update("@" if site and x == site else x for x in got)
+        pages_of.update(own)
+        terms.append((own, shape, verdict[f], f in heads, n))
+    total = Counter()
+    for own, _, _, _, n in terms:
+        for x in own:
+            total[x] += n
+    shapes = sorted({"\0" + x for _, shape, _, _, _ in terms for x in shape})
+    vocabulary = {x: k for k, x in enumerate(["", *shapes, *sorted(x for x, n in total.items() if n >= LEAST)])}
+    rows = [[0, *(vocabulary["\0" + x] for x in shape), *(vocabulary[x] for x in own if x in vocabulary)] for own, shape, _, _, _ in terms]
+    weight = np.array([math.sqrt(n) for *_, n in terms])
+    target = np.array([not p for _, _, p, _, _ in terms], dtype=float)
+    got = _logistic(rows, len(vocabulary), target, weight, 1 + len(shapes))
+    names = list(vocabulary)
+    w.bias, w.text = float(got[0]), {names[k]: float(x) for k, x in enumerate(got) if k and abs(x) > 1e-3}
+    at = [k for k, t in enumerate(terms) if t[2]]
+    if heads:
+        got = _logistic([rows[k] for k in at], len(vocabulary), np.array([terms[k][3] for k in at], dtype=float), weight[at], 1, penalty=PENALTY / 3)
+        w.head_bias, w.head = float(got[0]), {names[k]: float(x) for k, x in enumerate(got) if k and abs(x) > 1e-3}
+    return w
+
+
+def sample(items: DataFrame, key: str, text: str, url: str | None = None, by=None, most: int = SAMPLE_PAGES) -> list:
+    """The bounded sample: rows (k, t, u, by) of about `most` pages, by a hash of their key; with `by` (a column expression of few values, such as the
+    language that a label names) as many of each value, so that pages in rare languages label one another too."""
+    held = items.where(F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
+    u = F.col(url) if url else F.lit(None).cast("string")
+    part = F.lit("").alias("by") if by is None else F.coalesce(by, F.lit("")).alias("by")
+    return sampling.rows(held.select(F.col(key).alias("k"), F.col(text).alias("t"), u.alias("u"), part), "k", most, "by")
+
+
+OUTSIDE, INSIDE, ASIDE, WITHIN = range(4)  # outside the text, in a run of it, in a side list outside, in one within a run
+
+
+def _scan(lines: list[tuple[int, float, float, float]]) -> set[int]:
+    """Numbers of the lines of text of (number, log-odds as text, as a head, as an entry): the runs with the highest total, in one linear scan.
+
+    Every run counts the log-odds of its lines and takes RUN to begin; a side list begins behind a line of the page that is a head, counts how much likelier
+    its lines are as entries, and ends where that no longer pays. The best sums up to each line are kept for four states.
+    """
+    never = -math.inf
+    state = (0.0, 0.0, never, never)  # a page may begin with its text
+    back: list[tuple[int, int, int, int]] = []
+    for _, value, head, entry in lines:
+        o, i, a, w = state
+        out = max(((o, OUTSIDE), (i, INSIDE), (a, ASIDE), (w, WITHIN)))
+        goes = max(((i, INSIDE), (o - RUN, OUTSIDE), (w - RESUMED, WITHIN), (a - RUN, ASIDE)))
+        more = entry + FURTHER
+        aside = (a + more + value, ASIDE)
+        within = (w + more + value, WITHIN)
+        if head > 0 > value:  # the list begins with this line; the run goes on behind it
+            aside, within = max(aside, (out[0] + head, out[1])), max(within, (i + head, INSIDE))
+        back.append((out[1], goes[1], aside[1], within[1]))
+        state = (out[0], goes[0] + value, aside[0], within[0])
+    kept, at = set(), max(range(4), key=state.__getitem__)
+    for (n, *_), whence in zip(reversed(lines), reversed(back)):
+        if at == INSIDE:
             kept.add(n)
         at = whence[at]
-    return kept
-
-
-def page_lines(text: str, site: str = "") -> list[int]:
-    """Numbers (from 1, empty lines counted) of the non-empty lines that belong to the page."""
-    lines = text.split("\n")
-    site = fold(site)
-    restored: list[str] | None = None
-    if not text.isascii() and _SUSPECT.search(text):
-        restored = repairer().repair(text)[0].split("\n")
-        if len(restored) != len(lines):
-            restored = [repairer().repair(x)[0] for x in lines]
-    roles: list[tuple[int, str, float, float]] = []
-    headed, style = False, 0.0  # within a side list, and what its last title was
-    for n, line in enumerate(lines, 1):
-        s = line.strip()
-        if not s:
-            continue
-        plain = restored[n - 1].strip() if restored else None
-        role, value = _score(s, plain, site)
-        if role != "text":
-            headed, style = role == "head", 0.0
-        entry = NO_ENTRY
-        if headed and role == "text":
-            entry = _entry(s if plain is None else normalise(plain)[0].strip())
-            if entry == LONG_TITLE and style == TITLE:
-                entry = NO_ENTRY  # behind short titles a long one is a verse or a heading
-            style = entry if entry != TEASER else style
-            headed = entry > 0  # a list ends at its first line that is none, for nothing behind it is an entry
-        roles.append((n, role, value, entry))
-    kept = _best(roles)
-    return [n for n, _, _, _ in roles if n not in kept]
-
-
-def strip_pages(df: DataFrame, key: str, text: str, url: str | None = None) -> DataFrame:
+    return kept or {n for n, value, *_ in lines if value > -RUN}  # where no run is worth its price, doubtful lines are the text
+
+
+def page_lines(text: str, weights: Weights, site: str = "", lines: list[tuple[int, str]] | None = None) -> list[int]:
+    """Numbers (from 1, empty lines counted) of the non-empty lines that belong to the page; `lines` are those of _lines, if they are known."""
+    rows, listed = [], False
+    for n, s in _lines(text) if lines is None else lines:
+        value = weights.score(s, site)
+        head = weights.head_odds(s, site) if value < 0 and weights.head else -1.0
+        rows.append((n, value, head, weights.entry_odds(s) if listed else -MOST))  # entries only stand behind a head
+        listed = listed or head > 0
+    kept = _scan(rows)
+    return [n for n, *_ in rows if n not in kept]
+
+
+def strip_pages(df: DataFrame, key: str, text: str, weights: Weights, url: str | None = None) -> DataFrame:
     """(key, main_text, page_lines): the text of each page without the lines of the page, and the numbers of those lines.
 
     `url` names the site, whose own name counts as part of the page. Null text gives null and no lines, empty text stays empty; lines are split at "\\n"
-    only. Each row is handled alone; no shuffle.
+    only. Each row is handled alone; no shuffle. The weights (some hundred KB, whatever the input) are broadcast.
     """
+    held = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = held.value
         for b in batches:
             rows = []
             for t, u in zip(b["t"], b["u"]):
                 if not isinstance(t, str):
                     rows.append((None, []))
                     continue
-                host = _HOST.match(u) if isinstance(u, str) else None
-                site = host.group(1).removeprefix("www.").split(".")[0] if host else ""
-                drop = page_lines(t, site)
+                drop = page_lines(t, w, site_of(u))
                 gone = set(drop)
                 rows.append(("\n".join(x for n, x in enumerate(t.split("\n"), 1) if n not in gone), drop))
             out = pd.DataFrame(rows, columns=["main_text", "page_lines"], index=b.index)

@@ -15,9 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.boilerplate import fold, weights
-from lexforge.llm.confusables import normalise
-from lexforge.llm.mojibake import _SUSPECT, repairer
+from lexforge.llm import boilerplate
+from lexforge.llm.boilerplate import Weights, fold, site_of
 from lexforge.llm.segment import sentences
 
 LANGUAGES = ("grc", "la", "en", "el", "de", "fr", "es", "it", "ru", "zh", "sa")
@@ -32,8 +31,9 @@ NO_LABEL = {"", "und", "unknown", "none", "null", "n/a", "mul", "zxx", "mis", "?
 
 FRAME, HIDDEN, WINDOW = 4, 20, 48  # bytes a frame, units a direction, frames a window at inference
 #: The bounded training sample: labelled documents, and windows drawn from each language.
-SAMPLE_DOCUMENTS, STEPS, BATCH, TRAIN_FRAMES = 1500, 260, 176, 20
-SENTENCES_OF_A_SECOND = 3
+#: Of each language so many sentences are read again to find wrong labels.
+SAMPLE_DOCUMENTS, STEPS, BATCH, TRAIN_FRAMES, UNITS = 1500, 260, 176, 20, 3000
+SENTENCES_OF_A_SECOND, STANZA = 3, 6  # so many verses of another language count as three sentences
 _UNIT = regex.compile(r"[^.!?;。！？।॥]*+(?:[.!?;।॥]++(?:[”»“\"’)]*+(?=\s|$)\s*+|)|[。！？]++[”]?+|$)")
 _CLOSED = regex.compile(r"[.!?;。！？।॥…][”»“\"’)]*\s*$")
 
@@ -138,37 +138,43 @@ class Network:
         return loss
 
     def ready(self) -> None:
-        """Tables of byte pairs: a frame of four bytes costs two look-ups."""
-        self.pairs = {}
+        """Tables of byte pairs for the gates and for the candidate state: a frame of four bytes costs two look-ups in each. The gates are
+        halved beforehand, as a sigmoid is taken from tanh of the half."""
+        H = self.h
+        self.tables = {}
         for d in "fb":
-            E, a = self.p["E" + d], self.p["a" + d]
-            self.pairs[d] = [(E[k][:, None, :] + E[k + 1][None, :, :]).reshape(65536, -1) + (a if k == 0 else 0) for k in range(0, FRAME, 2)]
+            E, a, U = self.p["E" + d], self.p["a" + d], self.p["U" + d]
+            pairs = [(E[k][:, None, :] + E[k + 1][None, :, :]).reshape(65536, -1) + (a if k == 0 else 0) for k in range(0, FRAME, 2)]
+            gates = [np.ascontiguousarray(0.5 * x[:, : 2 * H], dtype=np.float32) for x in pairs]
+            state = [np.ascontiguousarray(x[:, 2 * H :], dtype=np.float32) for x in pairs]
+            self.tables[d] = gates, state, np.ascontiguousarray(0.5 * U[:, : 2 * H]), np.ascontiguousarray(0.5 * U[:, 2 * H :])
 
     def positions(self, frames: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log-probabilities (N x T x languages); windows are padded at the end, where both directions idle."""
         p, H = self.p, self.h
         n, t, _ = frames.shape
-        pair = [frames[:, :, 2 * k].astype(np.int32) * 256 + frames[:, :, 2 * k + 1] for k in range(FRAME // 2)]
+        pair = [np.ascontiguousarray((frames[:, :, 2 * k].astype(np.int64) * 256 + frames[:, :, 2 * k + 1]).T) for k in range(FRAME // 2)]
         logits = np.broadcast_to(p["c"], (t, n, len(p["c"]))).copy()
+        zr, more, c, other = (np.empty((n, k * H), np.float32) for k in (2, 2, 1, 1))
         for k, d in enumerate("fb"):
-            U, W = p["U" + d], p["W"][k * H : (k + 1) * H]
+            gates, state, U, V = self.tables[d]
+            W = p["W"][k * H : (k + 1) * H]
             h = np.zeros((n, H), np.float32)
             for s in range(t) if d == "f" else range(t - 1, -1, -1):
-                x = self.pairs[d][0][pair[0][:, s]]
-                for q in range(1, len(pair)):
-                    x += self.pairs[d][q][pair[q][:, s]]
-                u = h @ U
-                zr = x[:, : 2 * H]
-                zr += u[:, : 2 * H]
-                zr *= 0.5
+                np.matmul(h, U, out=zr)
+                for q, table in enumerate(gates):
+                    np.take(table, pair[q][s], axis=0, out=more, mode="clip")
+                    zr += more
                 np.tanh(zr, out=zr)
-                zr += 1
-                zr *= 0.5
-                c = u[:, 2 * H :]
+                zr += 1  # twice the gates: V is halved for the one, h below for the other
+                np.matmul(h, V, out=c)
                 c *= zr[:, H:]
-                c += x[:, 2 * H :]
+                for q, table in enumerate(state):
+                    np.take(table, pair[q][s], axis=0, out=other, mode="clip")
+                    c += other
                 np.tanh(c, out=c)
                 h -= c
+                h *= 0.5
                 h *= zr[:, :H]
                 h += c
                 if d == "b":
@@ -179,15 +185,12 @@ class Network:
         return logits.transpose(1, 0, 2)
 
 
-_PAIRS: dict[int, Network] = {}
-
-
 def _frames(raw: bytes) -> np.ndarray:
     pad = -len(raw) % FRAME
     return np.frombuffer(raw + b" " * pad, dtype=np.uint8).reshape(-1, FRAME)
 
 
-def pool(network: Network, units: list[bytes], block: int = 3072) -> np.ndarray:
+def pool(network: Network, units: list[bytes], block: int = 768) -> np.ndarray:
     """Mean log-probabilities over the positions of each unit (bytes of a sentence)."""
     total = np.zeros((len(units), len(LANGUAGES)))
     count = np.ones(len(units))
@@ -215,47 +218,37 @@ def pool(network: Network, units: list[bytes], block: int = 3072) -> np.ndarray:
 # ---------------------------------------------------------------- sentences of a page
 
 
-def prose(text: str, site: str = "") -> list[tuple[int, str]]:
-    """(offset, sentence) of a text's running lines. Lines known as page parts don't count, short lines only where there are no others."""
-    if not text.isascii() and _SUSPECT.search(text):
-        text = normalise(repairer().repair(text)[0])[0]
-    w, out, short, at = weights(), [], [], 0
-    site = fold(site)
-    running = []  # hard-wrapped lines belong together
-    for line in text.split("\n"):
-        s = line.strip()
-        if not s:
-            pass
-        elif len(s) <= 140 and w.known(s, site):
-            pass
-        elif len(s) >= 60 or (_CLOSED.search(s) and len(s) > 14) or (_HAN.search(s) and len(s) > 5 and s[-1] in "。！？”"):
-            out.append((at, line))
-        else:
-            short.append((at, line))
-        at += len(line) + 1
-    if not out or sum(len(x) for _, x in out) < 60:
-        out = sorted(out + short)
-    for at, line in out:
-        s = 0
-        for m in _UNIT.finditer(line):
-            e = m.end()
-            if e > s and (e == len(line) or line[e - 1].isspace() or line[e - 1] in "。！？”"):
-                if e - s > 20 or e == len(line):  # abbreviations stay with their sentence
-                    running.append((at + s, line[s:e]))
-                    s = e
-    return running
-
-
-_HAN = regex.compile(r"\p{Han}")
-
-
-def train(rows: list[tuple[str, str]], seed: int = 5) -> Network:
-    """A network from (text, language) rows. Labels may be wrong in places: after a first short training, sentences that it
+def prose(text: str, weights: Weights, site: str = "") -> list[tuple[int, str]]:
+    """(offset, sentence) of all lines of a text but those of the page; a verse or heading is a unit of its own. Offsets count in the restored text."""
+    lines = boilerplate._lines(text)
+    gone = set(boilerplate.page_lines(text, weights, site, lines))
+    out, at, last = [], 0, 1
+    for n, line in lines:
+        at += n - last  # line breaks
+        last = n
+        if n not in gone:
+            s = 0
+            for m in _UNIT.finditer(line):
+                e = m.end()
+                if e > s and (e == len(line) or line[e - 1].isspace() or line[e - 1] in "。！？”"):
+                    if e - s > 20 or e == len(line):  # abbreviations stay with their sentence
+                        out.append((at + s, line[s:e]))
+                        s = e
+        at += len(line)
+    return out
+
+
+def train(rows: list[tuple[str, str]], weights: Weights, seed: int = 5) -> Network:
+    """A network from (text, language) rows, at most SAMPLE_DOCUMENTS of them, evenly from the languages. Labels may be wrong in places: after a first short training, sentences that it
     assigns elsewhere with confidence are left out of the second."""
     g = np.random.default_rng(seed)
     pools: list[list[bytes]] = [[] for _ in LANGUAGES]
+    taken = dict.fromkeys(LANGUAGES, 0)
     for text, lang in rows:
-        for _, s in prose(text):
+        taken[lang] += 1
+        if taken[lang] > -(-SAMPLE_DOCUMENTS // len(LANGUAGES)):
+            continue
+        for _, s in prose(text, weights):
             raw = s.strip().encode("utf-8")
             if len(raw) >= 40:
                 pools[LANGUAGES.index(lang)].append(raw)
@@ -282,7 +275,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Network:
     network.ready()
     clean = []
     for k, units in enumerate(pools):
-        some = [units[i] for i in g.permutation(len(units))[:3000]]
+        some = [units[i] for i in g.permutation(len(units))[:UNITS]]
         logs = pool(network, some) if some else np.zeros((0, len(LANGUAGES)))
         good = [u for u, x in zip(some, logs) if x.argmax() == k or x.max() < np.log(0.45)]
         clean.append(good or some)
@@ -290,58 +283,75 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Network:
     return network
 
 
-def sample(items: DataFrame, key: str, text: str, label: str, most: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
-    """The bounded labelled sample: at most `most` documents, by a hash of their key, evenly from the languages that labels name."""
-    from pyspark.sql import Window as W
-
+def named(label: str):
+    """The language that a stored label names, by code or word, as a column; null where it names none."""
     names = F.create_map(*[F.lit(x) for pair in CODE.items() for x in pair])
     plain = F.trim(F.lower(F.regexp_replace(F.col(label), r"[\s_()]+", "-")), F.lit("-"))
-    code = F.coalesce(F.try_element_at(names, plain), F.try_element_at(names, F.split(plain, "-")[0]))
-    named = items.where(F.col(text).isNotNull() & (F.length(text) > 80)).select(F.col(key).alias("k"), code.alias("code"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("h")).where("code is not null")
-    each = -(-most // len(LANGUAGES))
-    # per language a bounded top of each partition first, then of all: a language with most rows never meets in one task
-    part = named.withColumn("_p", F.spark_partition_id())
-    first = part.withColumn("_n", F.row_number().over(W.partitionBy("_p", "code").orderBy("h", "k"))).where(F.col("_n") <= each)
-    # at most `most` keys: a bound that the broadcast below relies on
-    chosen = first.withColumn("_n", F.row_number().over(W.partitionBy("code").orderBy("h", "k"))).where(F.col("_n") <= each).select("k", "code")
-    return [(r["t"], r["code"]) for r in items.select(F.col(key).alias("k"), F.substring(text, 1, 6000).alias("t")).join(F.broadcast(chosen), "k").select("t", "code").collect()]
-
-
-def languages(df: DataFrame, key: str, text: str, network: Network, url: str | None = None) -> DataFrame:
-    """(key, segment_no, start_pos, end_pos, language, confidence, sentences, share): the segments of every text.
+    return F.coalesce(F.try_element_at(names, plain), F.try_element_at(names, F.split(plain, "-")[0]))
 
-    Neighbouring sentences of one language form a segment; a stretch of a language with fewer than SENTENCES_OF_A_SECOND whole sentences in
-    the document takes the language around it. `sentences` and `share` tell of the language in the document. Null, empty and blank texts give no
-    row. Each row is handled alone; no shuffle.
-    """
-    held = df.sparkSession.sparkContext.broadcast(network.p)  # a few hundred KB, whatever the input
+
+def models(items: DataFrame, key: str, text: str, label: str, url: str | None = None) -> tuple[Network, Weights]:
+    """The network and the weights of page lines, both from one bounded sample with as many texts of each language that labels name."""
+    rows = boilerplate.sample(items, key, text, url, named(label))
+    weights = boilerplate.fit((r["t"], r["u"]) for r in rows)
+    return train([(r["t"], r["by"]) for r in rows if r["by"]], weights), weights
+
+
+def _found(df: DataFrame, key: str, text: str, network: Network, weights: Weights, url: str | None, also: str | None, kinds: str, rows_of) -> DataFrame:
+    """mapInPandas over texts: `rows_of` makes the result rows of (key, also, segments of the text)."""
+    held = df.sparkSession.sparkContext.broadcast((network.p, weights))  # some hundred KB, whatever the input
+    names = [x.strip().split()[0].strip("`") for x in kinds.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network()
-        net.p = held.value
+        net.p, w = held.value
         net.ready()
         for whole in batches:
             for at in range(0, len(whole), 512):
                 b = whole.iloc[at : at + 512]
                 docs, units = [], []
-                for k, t, u in zip(b["k"], b["t"], b["u"]):
+                for k, t, u, a in zip(b["k"], b["t"], b["u"], b["a"]):
                     if not isinstance(t, str) or not t.strip():
                         continue
-                    host = regex.match(r"^[a-z]+://([^/:]+)", u) if isinstance(u, str) else None
-                    found = prose(t, host.group(1).split(".")[0] if host else "") or [(0, t)]
-                    docs.append((k, found, len(units)))
+                    found = prose(t, w, site_of(u)) or [(0, t)]
+                    docs.append((k, a, found, len(units)))
                     units += [s.strip().encode("utf-8", "replace") for _, s in found]
                 logs = pool(net, units) if units else []
                 rows = []
-                for k, found, first in docs:
-                    rows += [(k, *x) for x in segments(found, logs[first : first + len(found)])]
-                yield pd.DataFrame(rows, columns=[key, "segment_no", "start_pos", "end_pos", "language", "confidence", "sentences", "share"])
+                for k, a, found, first in docs:
+                    rows += rows_of(k, a, segments(found, logs[first : first + len(found)]))
+                yield pd.DataFrame(rows, columns=names)
+
+    null = F.lit(None).cast("string")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col(url) if url else null).alias("u"), (F.col(also) if also else null).alias("a")).mapInPandas(run, kinds)
+
+
+def languages(df: DataFrame, key: str, text: str, network: Network, weights: Weights, url: str | None = None) -> DataFrame:
+    """(key, segment_no, start_pos, end_pos, language, confidence, sentences, share): the segments of every text.
+
+    Neighbouring sentences of one language form a segment; a stretch of a language with fewer than SENTENCES_OF_A_SECOND whole sentences in
+    the document takes the language around it. `sentences` and `share` tell of the language in the document; positions count in the restored
+    text. Null, empty and blank texts give no row. Each row is handled alone; no shuffle.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    kinds = f"`{key}` {kind}, segment_no int, start_pos long, end_pos long, language string, confidence double, sentences int, share double"
+    return _found(df, key, text, network, weights, url, None, kinds, lambda k, a, found: [(k, *x) for x in found])
+
+
+def document_languages(df: DataFrame, key: str, text: str, label: str, network: Network, weights: Weights, url: str | None = None) -> DataFrame:
+    """(key, label, language, languages, confidence): the main language of every text, all its languages, and the label as it came.
+
+    The main language is that of the largest share, among equals the first by code. Null, empty and blank texts give no row. Each row is handled alone; no shuffle.
+    """
+
+    def rows(k, a, found):
+        share = {x[3]: x[6] for x in found}
+        main = min(share, key=lambda x: (-share[x], x))
+        sure = [(x[4], x[2] - x[1] + 1) for x in found if x[3] == main]
+        return [(k, a, main, sorted(share), sum(c * n for c, n in sure) / sum(n for _, n in sure))]
 
     kind = df.schema[key].dataType.simpleString()
-    site = F.col(url) if url else F.lit(None).cast("string")
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t"), site.alias("u")).mapInPandas(
-        run, f"`{key}` {kind}, segment_no int, start_pos long, end_pos long, language string, confidence double, sentences int, share double"
-    )
+    return _found(df, key, text, network, weights, url, label, f"`{key}` {kind}, label string, language string, languages array<string>, confidence double", rows)
 
 
 def _whole(found: list[tuple[int, str]], own: np.ndarray) -> int:
@@ -353,24 +363,41 @@ def _whole(found: list[tuple[int, str]], own: np.ndarray) -> int:
         else:
             runs.append(found[i][1])
         last = i
-    return sum(1 for r in runs for s, e in sentences(r) if e - s >= 12 and _CLOSED.search(r[s:e]))
+    return sum(1 for r in runs for s, e in sentences(r) if e - s >= 12 and _CLOSED.search(r[max(s, e - 12) : e]))
+
+
+def _stanza(found: list[tuple[int, str]], own: np.ndarray) -> bool:
+    """Whether STANZA neighbouring lines without an end mark (verses) are among the marked pieces."""
+    run = 0
+    for i, x in enumerate(own):
+        run = run + 1 if x and len(found[i][1]) >= 12 else 0
+        if run >= STANZA:
+            return True
+    return False
 
 
 def segments(found: list[tuple[int, str]], logs: np.ndarray) -> list[tuple]:
     """Segments of one document from the pooled log-probabilities of its sentences."""
     size = np.array([len(s) for _, s in found], dtype=float)
-    weight = np.minimum(size, 400)
+    weight = size
     best = logs.argmax(axis=1)
     sure = np.exp(np.partition(logs, -2, axis=1)[:, -2] - logs.max(axis=1)) < 0.5
-    whole = np.array([bool(_CLOSED.search(s)) and len(s.strip()) >= 12 for _, s in found])
-    count = {k: int((whole & sure & (best == k)).sum()) for k in range(len(LANGUAGES))}
+    whole = np.array([len(s) >= 12 and bool(_CLOSED.search(s[-12:])) and len(s.strip()) >= 12 for _, s in found])
+    one = np.unique(best)
+    count = {int(k): int((whole & sure & (best == k)).sum()) for k in one}
+    if len(one) == 1:
+        k = int(one[0])
+        p = np.exp((logs * weight[:, None]).sum(axis=0) / weight.sum())
+        return [(0, found[0][0] + 1, found[-1][0] + len(found[-1][1]), LANGUAGES[k], float(p[k] / p.sum()), count[k], 1.0)]
     main = int((logs * weight[:, None]).sum(axis=0).argmax())
-    votes = {k: weight[best == k].sum() for k in set(best)}
+    votes = {int(k): weight[best == k].sum() for k in one}
     if votes.get(main, 0) < max(votes.values()):
         main = max(votes, key=votes.get)
     for k, n in count.items():
         if k != main and n >= SENTENCES_OF_A_SECOND - 1:
             count[k] = _whole(found, (best == k) & sure)
+        if k != main and count[k] < SENTENCES_OF_A_SECOND and _stanza(found, (best == k) & sure & ~whole):
+            count[k] = SENTENCES_OF_A_SECOND
     kept = {main, *(k for k, n in count.items() if n >= SENTENCES_OF_A_SECOND)}
     label = np.array([k if k in kept else main for k in best])
     # a lone doubtful sentence goes with its neighbours

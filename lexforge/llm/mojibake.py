@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -40,14 +41,48 @@ ROUNDS = 3
 _LETTERS, _LOST = regex.compile(r"\p{L}+"), regex.compile(r"[�\u0080-\u0084\u0086-\u009f]+")
 _ACCENTED = regex.compile(r"[\u0080-\u00ff\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{6,}")
 
-#: A text that may be garbled or spelt with look-alikes somewhere; other texts need no restoring.
-_SUSPECT = re.compile(
-    r"[\u0080-\u009f�­​-‏⁠﻿  -  ０-９Ａ-Ｚａ-ｚ̀-ͅ─-╿ﬀ-ﬆ]"
-    r"|[ÂÃÄÅÎÏÐÑØÙâãäåæçŒœ√¬‚┬├ΞΟΒΓРС][^\x00-\x7fÀ-ÿͰ-Ͽἀ-῿Ѐ-џ«»“”„’‘…–—·ʹऀ-ॿ一-鿿]"
-    r"|[ÂÃÎÏÐÑà-å][¡-¿]|[À-ÿ]{3}|[ΞΟΒΓ][¡-¶¸-º¼-¿‚†‡•΄-Ώ]|[а-я][А-Я]"
-    r"|[a-zA-Z][Ͱ-Ͽἀ-῿Ѐ-ӿ]|[Ͱ-Ͽἀ-῿Ѐ-ӿ][a-zA-Z]|[α-ω][Α-Ω]|[α-ω][Ѐ-ӿ]"
-    r"|[РС][ -º¼-¿‚†‡•]|[άέήίόύώ]"
+#: Characters and neighbours that may be garbled or spelt with look-alikes, as classes of characters; texts without any need no restoring.
+_ODD = (
+    r"[\u0080-\u009f�­​-‏⁠﻿  -  ０-９Ａ-Ｚａ-ｚ̀-ͅ─-╿ﬀ-ﬆ]",
+    r"[άέήίόύώ]",
 )
+_ODD_PAIRS = (
+    (r"[ÂÃÄÅÎÏÐÑØÙâãäåæçŒœ√¬‚┬├ΞΟΒΓРС]", r"[^\x00-\x7fÀ-ÿͰ-Ͽἀ-῿Ѐ-џ«»“”„’‘…–—·ʹऀ-ॿ一-鿿]"),
+    (r"[ÂÃÎÏÐÑà-å]", r"[¡-¿]"),
+    (r"[ΞΟΒΓ]", r"[¡-¶¸-º¼-¿‚†‡•΄-Ώ]"),
+    (r"[а-я]", r"[А-Я]"),
+    (r"[a-zA-Z]", r"[Ͱ-Ͽἀ-῿Ѐ-ӿ]"),
+    (r"[Ͱ-Ͽἀ-῿Ѐ-ӿ]", r"[a-zA-Z]"),
+    (r"[α-ω]", r"[Α-Ω]"),
+    (r"[α-ω]", r"[Ѐ-ӿ]"),
+    (r"[РС]", r"[ -º¼-¿‚†‡•]"),
+)
+_ODD_THREE = r"[À-ÿ]"
+_PLANE = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+
+def _bits(classes) -> np.ndarray:
+    """For every character of the first plane a bit for each class that holds it."""
+    out = np.zeros(0x10000, dtype=np.uint32)
+    for k, x in enumerate(classes):
+        out[[ord(c) for c in re.findall(x, _PLANE)]] |= np.uint32(1 << k)
+    return out
+
+
+_ALONE, _FIRST, _SECOND, _THREE = _bits(_ODD) > 0, _bits(x for x, _ in _ODD_PAIRS), _bits(x for _, x in _ODD_PAIRS), _bits([_ODD_THREE]) > 0
+
+
+def suspect(text: str) -> bool:
+    """Whether a text may be garbled or spelt with look-alikes somewhere: its characters and pairs of neighbours are looked up in tables."""
+    if text.isascii():
+        return False
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    if c.max() > 0xFFFF:
+        c = np.where(c > 0xFFFF, np.uint32(0x20), c)
+    if _ALONE[c].any() or (_FIRST[c[:-1]] & _SECOND[c[1:]]).any():
+        return True
+    three = _THREE[c]
+    return bool((three[:-2] & three[1:-1] & three[2:]).any())
 
 
 def _decode(raw: bytes, wrong: str) -> str:

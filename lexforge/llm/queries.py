@@ -25,38 +25,31 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus_items").where(F.col("content").isNotNull())
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    network = langid.train(langid.sample(items, "id", "content", "language"))
-    return langid.languages(items.select("id", "content", "url"), "id", "content", network, "url")
-
-
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(spark, d)
+    items = _items(spark, d)
+    return langid.languages(items, "id", "content", *langid.models(items, "id", "content", "language", "url"), "url")
 
 
-def _named(label: str):
-    """The language that a stored label names, by code or word."""
-    known = F.create_map(*[F.lit(x) for pair in langid.CODE.items() for x in pair])
-    plain = F.trim(F.lower(F.regexp_replace(F.col(label), r"[\s_()]+", "-")), F.lit("-"))
-    return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, F.split(plain, "-")[0]))
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    found = langid.document_languages(items, "id", "content", "language", *langid.models(items, "id", "content", "language", "url"), "url")
+    label, named = F.lower(F.trim("label")), langid.named("label")
+    case = found.where(label.isNull() | label.isin(*sorted(langid.NO_LABEL)) | named.isNull() | (F.size("languages") > 1) | (named != F.col("language")))
+    return case.select("id", F.explode("languages").alias("language"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    found = _languages(spark, d).groupBy("id").agg(F.collect_set("language").alias("has"), F.max_by("language", "share").alias("main"))
-    labels = _items(spark, d).select("id", _named("language").alias("named"), F.lower(F.trim("language")).alias("label"))
-    missing = F.col("label").isNull() | F.col("label").isin(*sorted(langid.NO_LABEL)) | F.col("named").isNull()
-    case = found.join(labels, "id").where(missing | (F.size("has") > 1) | (F.col("named") != F.col("main")))
-    return case.select("id", F.explode("has").alias("language"))
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    weights = boilerplate.fit((r["t"], r["u"]) for r in boilerplate.sample(items, "id", "content", "url", langid.named("language")))
+    return boilerplate.strip_pages(items, "id", "content", weights, "url")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = boilerplate.strip_pages(_items(spark, d).select("id", "content", "url"), "id", "content", "url")
-    return pages.select("id", F.explode("page_lines").alias("line_no"))
+    return _pages(spark, d).select("id", F.explode("page_lines").alias("line_no"))
 
 
 def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.strip_pages(_items(spark, d).select("id", "content", "url"), "id", "content", "url").select("id", "main_text")
+    return _pages(spark, d).select("id", "main_text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

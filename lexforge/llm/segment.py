@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.mojibake import _SUSPECT, repairer
+from lexforge.llm.mojibake import repairer, suspect
 
 #: Abbreviations that stand before a name, number or quotation (fixed values).
 BEFORE = set("""
@@ -277,7 +277,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def places(text: str) -> list[tuple[int, int]]:
     """(start, end) of the units of a text that may be garbled in places: boundaries are found in the restored text and carried back."""
-    if text.isascii() or not _SUSPECT.search(text):
+    if not suspect(text):
         return sentences(text)
     ends = list(range(1, len(text) + 1))
     plain, spans, _, _ = repairer().repair(text, ends)

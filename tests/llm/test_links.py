@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+import regex
 
-from lexforge.llm import langid, leakage, names
+from lexforge.llm import boilerplate, langid, leakage, names, segment
 
 
 @pytest.mark.parametrize(
@@ -141,15 +142,24 @@ def test_gradients():
 def test_lookalikes_reach_the_network_restored():
     assert langid.HIDDEN == 20
     text = "The quiet rivеr rеaсhed thе meadow, and the sсribе recorded it in full.​"  # Cyrillic letters in Latin words
-    assert "".join(s for _, s in langid.prose(text)) == "The quiet river reached the meadow, and the scribe recorded it in full."
+    assert "".join(s for _, s in langid.prose(text, boilerplate.Weights())) == "The quiet river reached the meadow, and the scribe recorded it in full."
 
 
 def test_languages_on_held_out_text(spark, small):
     rows = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").where("text is not null and lang is not null and length(text) < 4000").select("text", "lang").limit(700).collect()
     cut = int(len(rows) * 0.75)
-    net = langid.train([(r["text"], langid.code_of(r["lang"])) for r in rows[:cut] if langid.code_of(r["lang"])])
+    net, w = langid.train([(r["text"], langid.code_of(r["lang"])) for r in rows[:cut] if langid.code_of(r["lang"])], boilerplate.Weights()), boilerplate.Weights()
     df = spark.createDataFrame([(k, r["text"], r["lang"]) for k, r in enumerate(rows[cut:])] + [(9000, None, None), (9001, "", None), (9002, " \n", None)], "id long, content string, lang string").selectExpr("*", "'z' as language", "1 as segment_no")
-    out = langid.languages(df, "id", "content", net).collect()
+    out = langid.languages(df, "id", "content", net, w).collect()
+    whole = {r["id"]: r for r in langid.document_languages(df, "id", "content", "lang", net, w).collect()}
+    assert all(r["language"] in r["languages"] and 0 <= r["confidence"] <= 1 for r in whole.values()) and not {9000, 9001, 9002} & set(whole)
+    # verses in a second language behind an introduction in the first
+    en = next(r["text"] for r in rows[cut:] if r["lang"] == "en" and len(segment.sentences(r["text"])) > 4)
+    grc = next(r["text"] for r in rows[cut:] if r["lang"] == "grc" and len(r["text"]) > 600)
+    words = regex.findall(r"\p{L}+", grc)
+    verses = "\n".join(" ".join(words[k : k + 6]) for k in range(0, 60, 6))
+    mixed = spark.createDataFrame([(1, en + "\n" + verses, "en")], "id long, content string, lang string")
+    assert langid.document_languages(mixed, "id", "content", "lang", net, w).first()["languages"] == ["en", "grc"]
     main = {}
     for r in out:
         if r["id"] not in main or r["share"] > main[r["id"]][1]:

@@ -85,58 +85,91 @@ def test_consistent_edges(edges, spark):
     assert {r["token_id"] for r in t.where(confusables.worth_a_look("lemma", "form")).collect()} >= {1}
 
 
-PAGE = """Oldscroll
-* Search
-* Help
-
-The northern margins
-
-A quiet river reached the meadow, and the scribe recorded it in full.
-Advertisement – the text continues below
-1. Under the garland
-The cook kept cookies on the menu of the inn, and the newsletter of the guild mentioned them.
-Wenelvale
-the second verse of a song
-The quiet margin | Against a vineyard | cod.
-Related texts
-The early hearth defended the old path …
-The northern winter
-With Saroria this
-Another paragraph follows here, with a full stop at its end.
-372 readers liked this
-© 2017 Oldscroll. All rights reserved."""
-
-
-def test_page_lines():
-    assert boilerplate.page_lines(PAGE, "oldscroll") == [1, 2, 3, 8, 14, 15, 16, 17, 19, 20]
-    assert boilerplate.page_lines(PAGE.replace("Search", "Sеаrсh").replace("©", "Â©"), "oldscroll") == [1, 2, 3, 8, 14, 15, 16, 17, 19, 20]
-    assert boilerplate.page_lines("", "x") == [] and boilerplate.page_lines("\n\n") == []
-
-
-def test_runs_of_lines_decide():
-    text = "A quiet river reached the meadow, and the scribe recorded it in full."
-    # the same unknown short line alone between lines of the page, and inside the text
-    page = "\n".join(["Search", "Colour scheme", "Help", "Contact", "The northern margins", text, "Colour scheme", text, "Back to top", "Help", "Colour scheme", "Contact"])
-    assert boilerplate.page_lines(page) == [1, 2, 3, 4, 9, 10, 11, 12]
-    # a title before a list or a notice belongs to the text behind them
-    page = "\n".join(["Help", "The northern margins", "Related texts", "The northern winter", "Advertisement – the text continues below", text])
-    assert boilerplate.page_lines(page) == [1, 3, 4, 5]
-    assert boilerplate.page_lines("A heading") == []
-
-
-def test_side_lists_have_any_number_of_entries():
-    text = "A quiet river reached the meadow, and the scribe recorded it in full."
-    short = [f"The northern {x}" for x in "winter summer river road hill town gate bridge lamp well field".split()]
-    page = "\n".join([text, "Related texts", *short, text, "a verse of a song"])
-    assert boilerplate.page_lines(page) == list(range(2, 14))
-    long = [f"How the old {x} of the northern margins was measured" for x in "road hill town gate bridge lamp well".split()]
-    page = "\n".join([text, "Most read this week", *long, text])
-    assert boilerplate.page_lines(page) == list(range(2, 10))
+NOUNS = "river meadow scribe winter harbour letter garden bridge stranger teacher festival council shepherd valley lantern island".split()
+NOUNS += [a + b for a in "north stone water moon wood silver thorn copper".split() for b in "field gate hill bell mill path brook song well tower".split()]
+VERBS = "reached recorded measured crossed honours gathered questioned remembers".split()
+MENU = ["Home", "Search", "Help", "Contact", "Authors", "Downloads", "Donate"]
+FOOT = ["Back to top", "Share this page", "© 2017 Oldscroll. All rights reserved.", "Imprint | Privacy | Terms of use", "Print · Cite · Download", "Oldscroll is supported by readers like you."]
+NOTICES = ["Advertisement – the text continues below", "Sign up for our monthly letter", "By staying on Oldscroll you agree to our small files."]
+LISTS = ["Related texts", "Most read this week", "Recent comments (12)"]
+
+
+def sentence(g, n=12):
+    return "The " + " ".join(g.choice(NOUNS if k % 2 == 0 else VERBS) for k in range(n)) + "."
+
+
+def title(g):
+    return f"The {g.choice(NOUNS)} {g.choice(VERBS)} {g.choice(NOUNS)}"
+
+
+def a_page(g):
+    lines = g.sample(MENU, 5) + [title(g)] if g.random() < 0.7 else [title(g)]
+    for _ in range(g.randint(3, 6)):
+        lines.append(" ".join(sentence(g) for _ in range(3)))
+        if g.random() < 0.3:
+            lines.append(g.choice(NOTICES))
+        if g.random() < 0.3:
+            lines += [g.choice(LISTS), *([sentence(g, 6)[:-1] + " …"] if g.random() < 0.5 else []), *(title(g) for _ in range(g.randint(2, 4)))]
+            lines.append(sentence(g))
+    return "\n".join(lines + g.sample(FOOT, 4))
+
+
+@pytest.fixture(scope="module")
+def weights():
+    import random
+
+    g = random.Random(5)
+    return boilerplate.fit((a_page(g), "https://www.oldscroll.example/1") for _ in range(500))
+
+
+def without(page, weights, site="oldscroll"):
+    gone = set(boilerplate.page_lines(page, weights, site))
+    return [x for n, x in enumerate(page.split("\n"), 1) if n not in gone]
+
+
+TEXT = ["The river crossed songfield", "The scribe recorded the winter, and the teacher crossed the bridge. The council gathered.", "The garden honours the lantern; the stranger measured the valley."]
+
+
+def test_page_lines(weights):
+    page = ["Help", "Search", "", "Donate", *TEXT[:2], NOTICES[0], TEXT[2], "Related texts", "The letter reached the island …", "The meadow questioned stonehill", *FOOT]
+    assert without("\n".join(page), weights) == ["", *TEXT]
+    # look-alikes and garbled signs are read as what they stand for
+    assert without("\n".join(page).replace("Search", "Sеаrсh").replace("©", "Â©"), weights) == ["", *TEXT]
+    assert boilerplate.page_lines("", weights, "x") == [] and boilerplate.page_lines("\n\n", weights) == []
+    assert boilerplate.page_lines(TEXT[0], weights) == [] and boilerplate.page_lines("\n".join(TEXT), weights) == []
+
+
+def test_lines_of_the_page_that_no_sample_shows(weights):
+    unseen = ["Manage cookies", "Newsletter", "Log out", "Legal notice | Sitemap", "Powered by quillpress", "© 2031 Quillpress"]
+    assert without("\n".join(["Home", "Search", "Help", *TEXT, *unseen, "Back to top"]), weights) == TEXT
+
+
+def test_runs_of_lines_decide(weights):
+    doubtful = next(x for x in (f"{a} …" for a in NOUNS) if -boilerplate.RUN < weights.score(x) < -0.3)
+    page = "\n".join(["Search", doubtful, "Help", "Contact", *TEXT, doubtful, TEXT[1], "Back to top", doubtful, "Contact", "Help"])
+    kept = without(page, weights)
+    assert kept == [*TEXT, doubtful, TEXT[1]]
+    # each line by its own sign gives something else: all three or none
+    assert kept.count(doubtful) == 1 and page.count(doubtful) == 3
+
+
+def test_side_lists_have_any_number_of_entries(weights):
+    entries = [f"The {x} {y} moongate" for x in NOUNS[-4:] for y in VERBS[:4]]
+    page = "\n".join([TEXT[1], "Related texts", *entries, TEXT[2], "the meadow crossed the valley"])
+    assert boilerplate.page_lines(page, weights) == list(range(2, 19))
+
+
+def test_without_lines_that_come_again_all_is_text():
+    w = boilerplate.fit([("One line.\nHome", None), (None, None), ("", "u"), ("Another one.", "https://x.example")])
+    assert boilerplate.page_lines("Home\nSearch\nOne line.", w) == []
+    assert boilerplate.page_lines("Home", boilerplate.fit([])) == []
 
 
 def test_pages_edges(edges):
-    rows = {r["id"]: r for r in boilerplate.strip_pages(edges, "id", "content").collect()}
+    rows = {r["id"]: r for r in boilerplate.strip_pages(edges, "id", "content", boilerplate.Weights()).collect()}
     assert rows[1]["main_text"] is None and rows[2]["main_text"] == "" and rows[5]["page_lines"] == [] and len(rows[4]["main_text"]) == 300_000
+    assert boilerplate.strip_pages(edges.limit(0), "id", "content", boilerplate.Weights()).count() == 0
+    assert boilerplate.sample(edges.limit(0), "id", "content") == [] and len(boilerplate.sample(edges, "id", "content")) > 1
 
 
 @pytest.mark.parametrize(
