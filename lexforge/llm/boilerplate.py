@@ -28,7 +28,7 @@ from lexforge.llm.mojibake import repairer, suspect
 SAMPLE_PAGES, SAMPLE_BYTES = 6000, 200_000
 #: A line is one of the page's if it comes again with so many other texts: this share of the sampled pages, and at least so many of them.
 #: A sentence of this length without the site's name may be a quotation: its share must be greater.
-SHARE, LEAST, SENTENCE, SENTENCE_SHARE = 0.001, 3, 60, 0.01
+SHARE, LEAST, SENTENCE, SENTENCE_SHARE = 0.0007, 3, 60, 0.01
 #: A line of the page is the head of a side list if two short lines of their own follow it so often.
 HEADS = 0.85
 #: What a run of text must be worth, what it takes to go on behind lines of the page, and the odds that a side list has a further entry.
@@ -165,14 +165,12 @@ class Weights:
         if site and len(s) <= LONG and site in s.casefold():
             value = self._sum(self.text, self.bias, tokens, shape, site)
         else:
-            known, value = self._known, self.bias
-            for t in tokens:
-                got = known.get(t)
-                if got is None:
-                    if len(known) > 300_000:
-                        known.clear()
-                    got = known[t] = sum(self.text.get(x, 0.0) for w in _TOKEN.findall(t) for x in _terms(w))
-                value += got
+            known = self._known
+            if len(known) > 300_000:
+                known.clear()
+            for t in [t for t in tokens if t not in known]:
+                known[t] = sum(self.text.get(x, 0.0) for w in _TOKEN.findall(t) for x in _terms(w))
+            value = self.bias + sum(map(known.__getitem__, tokens))
             for f in shape:
                 value += self.text.get("\0" + f, 0.0)
         return max(-MOST, min(MOST, value))
@@ -220,7 +218,9 @@ def fit(pages: Iterable[tuple[str, str | None]]) -> Weights:
         m = _SEPARATOR.search(f)  # a path or row of links, or a label with its values, of which the beginning comes again
         if not m or f.endswith("cod.") or m.start() >= 40:
             return False
-        return again(f[: m.start()].strip()) if m.group().strip() != ":" else again(f[: m.end()]) and len(seen[f[: m.end()]]) >= often
+        if m.group().strip() == ":":
+            return len(f) <= LONG and not _ENDED.search(f) and len(seen[f[: m.end()]]) >= 2 * least
+        return again(f[: m.start()].strip())
 
     def lemma(f: str) -> str:
         """What comes again of a line of the page: the whole of it, or its beginning."""

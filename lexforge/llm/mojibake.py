@@ -71,6 +71,9 @@ def _bits(classes) -> np.ndarray:
 
 _ALONE, _FIRST, _SECOND, _THREE = _bits(_ODD) > 0, _bits(x for x, _ in _ODD_PAIRS), _bits(x for _, x in _ODD_PAIRS), _bits([_ODD_THREE]) > 0
 
+_LETTER = np.zeros(0x10000, dtype=bool)
+_LETTER[[ord(c) for c in _PLANE if c.isalpha()]] = True
+
 
 def suspect(text: str) -> bool:
     """Whether a text may be garbled or spelt with look-alikes somewhere: its characters and pairs of neighbours are looked up in tables."""
@@ -139,7 +142,7 @@ class Repairer:
         self.automaton.make_automaton()
         self.third = {w: {_decode(bytes([b]), w): b for b in range(0x80, 0xC0)} for w in WRONG}
         self.back = {w: {_decode(bytes([b]), w): b for b in range(0x80, 0x100)} for w in WRONG}
-        self.single = []
+        self.single, self.letters_of = [], []
         for right, wrong in SINGLE:
             table: dict[str, str] = {}
             for b in range(0x80, 0x100):
@@ -149,6 +152,9 @@ class Repairer:
                     continue
             script = "CYRILLIC" if right in ("cp1251", "koi8-r", "cp866", "iso8859-5") else "GREEK"
             keys = "".join(regex.escape(k) for k, v in table.items() if v.isalpha() and unicodedata.name(v).startswith(script))
+            kinds = np.zeros(0x10000, dtype=bool)
+            kinds[[ord(k) for k, v in table.items() if v.isalpha() and unicodedata.name(v).startswith(script)]] = True
+            self.letters_of.append(kinds)
             self.single.append((right, wrong, str.maketrans(table), regex.compile(f"(?<![\\p{{L}}])[{keys}]+(?![\\p{{L}}])(?:[ ,.!?|]{{1,3}}[{keys}]+(?![\\p{{L}}]))*+")))
         cases = "[а-яё][А-Я]|[А-Я]{4}|[α-ω][Α-Ω]|[Α-Ω]{4}"
         self.cases, self.accents = regex.compile(cases), regex.compile("[\u0080-\u00ff]{3}")
@@ -207,9 +213,19 @@ class Repairer:
         """Runs of words that become regular words of another script or case when read in the right single-byte encoding."""
         best: dict[int, tuple] = {}
         cases, accents = self.cases.search(text), self.accents.search(text)
-        for right, wrong, table, runs in self.single:
+        if not (cases or accents):
+            return []
+        code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+        code = np.where(code > 0xFFFF, np.uint32(0x20), code)
+        word = np.r_[False, _LETTER[code], False]
+        starts, stops = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+        for (right, wrong, table, runs), kinds in zip(self.single, self.letters_of):
             if not (accents if wrong in ("cp1252", "latin-1", "mac_roman") else cases):
                 continue
+            total = np.r_[0, np.cumsum(kinds[code])]
+            inside = total[stops] - total[starts]
+            if inside[inside == stops - starts].sum() < 8:  # words wholly of such letters
+                continue
             for m in runs.finditer(text):
                 run = m.group()
                 if sum(map(str.isalpha, run)) < 8:
@@ -280,7 +296,9 @@ class Repairer:
             return text, 0, False, ""
         proven, seen = 0, set()
         for _ in range(ROUNDS):
-            spans = self.letters(text) or self.spans(text)
+            spans = self.spans(text)
+            if sum(x[1] - x[0] for x in spans if x[4]) * 2 < sum(c > "\x7f" for c in text):  # else they explain most of what isn't ASCII
+                spans = self.letters(text) or spans
             if not any(x[4] for x in spans) or (self.accents.search(text) and sum(x[4] for x in spans) * 12 < len(text)):
                 spans = self.ideographs(text) or spans
             sure = {x[3] for x in spans if x[4] and not self.quoted(text, x[0], x[1])}
