@@ -25,10 +25,10 @@ from lexforge.llm.confusables import _CLEAN, normalise
 from lexforge.llm.mojibake import repairer, suspect
 
 #: The bounded sample that the weights are fitted to: pages, and the longest of them in bytes (longer ones are scored, not learned from).
-SAMPLE_PAGES, SAMPLE_BYTES = 6000, 200_000
+SAMPLE_PAGES, SAMPLE_BYTES = 4000, 200_000
 #: A line is one of the page's if it comes again with so many other texts: this share of the sampled pages, and at least so many of them.
 #: A sentence of this length without the site's name may be a quotation: its share must be greater.
-SHARE, LEAST, SENTENCE, SENTENCE_SHARE = 0.0007, 3, 60, 0.01
+SHARE, LEAST, SENTENCE, SENTENCE_SHARE = 0.001, 5, 60, 0.01
 #: A line of the page is the head of a side list if two short lines of their own follow it so often.
 HEADS = 0.85
 #: What a run of text must be worth, what it takes to go on behind lines of the page, and the odds that a side list has a further entry.
@@ -196,7 +196,7 @@ def fit(pages: Iterable[tuple[str, str | None]]) -> Weights:
         site = site_of(url)
         lines = []
         for _, s in _lines(text):
-            f = fold(s)
+            f = fold(s) if len(s) <= 2 * LONG else s  # as it is: only equal to itself
             lines.append((s, f.replace(site, "@") if site else f, site))
         longest = hash(max((f for _, f, _ in lines), key=len))
         texts.append(lines)
@@ -219,7 +219,7 @@ def fit(pages: Iterable[tuple[str, str | None]]) -> Weights:
         if not m or f.endswith("cod.") or m.start() >= 40:
             return False
         if m.group().strip() == ":":
-            return len(f) <= LONG and not _ENDED.search(f) and len(seen[f[: m.end()]]) >= 2 * least
+            return len(f) <= LONG and not _ENDED.search(f) and len(seen[f[: m.end()]]) >= least
         return again(f[: m.start()].strip())
 
     def lemma(f: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexforge.llm.bpe import VOCABULARY, with_token_counts
+from lexforge.llm.langid import named
 
 SLICES = ("source", "language", "domain", "period")
 
@@ -17,6 +18,11 @@ def spelt(column: str):
     return F.when(c.isNull() | (c == ""), F.lit("unknown")).otherwise(c)
 
 
+def language(column: str):
+    """The code of the language that a label names in whatever spelling or code system; 'unknown' where it names none."""
+    return F.coalesce(named(column), F.lit("unknown"))
+
+
 def one_per_item(metadata: DataFrame, key: str = "item_id") -> DataFrame:
     """The latest of an item's metadata rows; among equals the smallest by its values."""
     w = W.partitionBy(key).orderBy(F.col("date_added").desc_nulls_last(), F.col("period").asc_nulls_last(), F.col("genre").asc_nulls_last())
@@ -28,7 +34,7 @@ def item_counts(items: DataFrame, metadata: DataFrame, vocabulary: str = VOCABUL
     counted = with_token_counts(items.where(F.col("content").isNotNull()).select("id", "source_type", "language", "content"), "content", vocabulary=vocabulary)
     m = one_per_item(metadata).withColumnRenamed("item_id", "id")
     j = counted.drop("content").join(m, "id", "left")
-    return j.select("id", spelt("source_type").alias("source"), spelt("language").alias("language"), spelt("genre").alias("domain"), spelt("period").alias("period"), "n_tokens")
+    return j.select("id", spelt("source_type").alias("source"), language("language").alias("language"), spelt("genre").alias("domain"), spelt("period").alias("period"), "n_tokens")
 
 
 def document_counts(documents: DataFrame, sources: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -36,7 +42,7 @@ def document_counts(documents: DataFrame, sources: DataFrame, vocabulary: str =
     counted = with_token_counts(documents.where(F.col("text").isNotNull()).select("doc_id", "source", "lang", "period", "text"), "text", vocabulary=vocabulary)
     s = sources.select(F.col("source"), F.col("domain")).dropDuplicates(["source"])
     j = counted.drop("text").join(s, "source", "left")
-    return j.select(F.col("doc_id").alias("id"), spelt("source").alias("source"), spelt("lang").alias("language"), spelt("domain").alias("domain"), spelt("period").alias("period"), "n_tokens")
+    return j.select(F.col("doc_id").alias("id"), spelt("source").alias("source"), language("lang").alias("language"), spelt("domain").alias("domain"), spelt("period").alias("period"), "n_tokens")
 
 
 def totals(counts: DataFrame, table: str) -> DataFrame:

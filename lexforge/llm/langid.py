@@ -7,7 +7,11 @@ and document.
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,7 @@ FRAME, HIDDEN, WINDOW = 4, 20, 48  # bytes a frame, units a direction, frames a
 SAMPLE_DOCUMENTS, STEPS, BATCH, TRAIN_FRAMES, UNITS = 1500, 260, 176, 20, 3000
 SENTENCES_OF_A_SECOND, STANZA = 3, 6  # so many verses of another language count as three sentences
 _UNIT = regex.compile(r"[^.!?;。！？।॥]*+(?:[.!?;।॥]++(?:[”»“\"’)]*+(?=\s|$)\s*+|)|[。！？]++[”]?+|$)")
+_MARK = regex.compile(r"[.!?;。！？।॥]")
 _CLOSED = regex.compile(r"[.!?;。！？।॥…][”»“\"’)]*\s*$")
 
 
@@ -49,6 +54,25 @@ def code_of(label: str | None) -> str | None:
 # ---------------------------------------------------------------- the network
 
 
+@contextmanager
+def _one_thread():
+    """Matrix products as small as these are slower in several threads; where the library can't be told so, nothing changes."""
+    lib = None
+    try:
+        lib = ctypes.CDLL(glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*"))[0])
+        names = [n for n in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "scipy_openblas_{}_num_threads", "openblas_{}_num_threads") if hasattr(lib, n.format("set"))]
+        get, put = getattr(lib, names[0].format("get")), getattr(lib, names[0].format("set"))
+        before = get()
+        put(1)
+    except (IndexError, OSError, AttributeError):
+        lib = None
+    try:
+        yield
+    finally:
+        if lib is not None:
+            put(before)
+
+
 def _sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -228,12 +252,14 @@ def prose(text: str, weights: Weights, site: str = "") -> list[tuple[int, str]]:
         last = n
         if n not in gone:
             s = 0
-            for m in _UNIT.finditer(line):
+            for m in _UNIT.finditer(line) if _MARK.search(line) else ():
                 e = m.end()
                 if e > s and (e == len(line) or line[e - 1].isspace() or line[e - 1] in "。！？”"):
                     if e - s > 20 or e == len(line):  # abbreviations stay with their sentence
                         out.append((at + s, line[s:e]))
                         s = e
+            if s < len(line):
+                out.append((at + s, line[s:]))
         at += len(line)
     return out
 
@@ -294,7 +320,8 @@ def models(items: DataFrame, key: str, text: str, label: str, url: str | None =
     """The network and the weights of page lines, both from one bounded sample with as many texts of each language that labels name."""
     rows = boilerplate.sample(items, key, text, url, named(label))
     weights = boilerplate.fit((r["t"], r["u"]) for r in rows)
-    return train([(r["t"], r["by"]) for r in rows if r["by"]], weights), weights
+    with _one_thread():
+        return train([(r["t"], r["by"]) for r in rows if r["by"]], weights), weights
 
 
 def _found(df: DataFrame, key: str, text: str, network: Network, weights: Weights, url: str | None, also: str | None, kinds: str, rows_of) -> DataFrame:
@@ -316,7 +343,8 @@ def _found(df: DataFrame, key: str, text: str, network: Network, weights: Weight
                     found = prose(t, w, site_of(u)) or [(0, t)]
                     docs.append((k, a, found, len(units)))
                     units += [s.strip().encode("utf-8", "replace") for _, s in found]
-                logs = pool(net, units) if units else []
+                once = {u: k for k, u in enumerate(dict.fromkeys(units))}  # a sentence that comes again is read once
+                logs = pool(net, list(once))[[once[u] for u in units]] if units else []
                 rows = []
                 for k, a, found, first in docs:
                     rows += rows_of(k, a, segments(found, logs[first : first + len(found)]))

@@ -1,4 +1,4 @@
-"""Passages of held-out items inside documents: seeds of four units find candidates, an alignment with substitutions verifies them."""
+"""Passages of held-out items inside documents: spaced seeds of four units find candidates, an alignment with substitutions verifies them."""
 
 from __future__ import annotations
 
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 #: Words or ideographs of a seed. With one edit in six, L of them hold L - L/6 unchanged ones in L/6 + 1 runs at most; runs too short for a seed
 #: of four take up to half of L, so seeds always cover a third of L or more (q-gram lemma): no passage within the rule is missed for want of seeds.
 SEED = 4
+#: The positions that each fixed mask compares; the second ignores one between them, so that a changed unit there hides nothing. The first, without a
+#: gap, is the one that the bound above rests on: dropped and added units shift what follows, which no gapped mask survives.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
 EXACT, LONG, EDITS = (15, 30), (30, 60), 6  # words and ideographs; one edit in EDITS
-#: Test items up to this many bytes of text are held in every task; beyond it seeds are joined by shuffle.
+#: Test items up to this many bytes of text are held in every task; a larger set is taken in blocks.
 BROADCAST_BYTES = 8 << 20
 _UNIT = regex.compile(r"[\p{L}\p{M}]+")
 _HAN = regex.compile(r"\p{Han}")
@@ -71,25 +74,25 @@ class Items:
         self.tables = []
         keys, where = [], []
         for n, (_, ids, _) in enumerate(self.items):
-            if len(ids) >= SEED:
-                h = self.hashes(ids)
+            for m in range(len(MASKS)):
+                h = self.hashes(ids, m)
                 keys.append(h)
-                where.append(np.stack([np.full(len(h), n), np.arange(len(h))], 1))
+                where.append(np.stack([np.full(len(h), n), np.arange(len(h)), np.full(len(h), m)], 1))
         h = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
-        self.keys, self.where = h[order], np.concatenate(where)[order] if keys else np.zeros((0, 2), dtype=np.int64)
+        self.keys, self.where = h[order], np.concatenate(where)[order] if keys else np.zeros((0, 3), dtype=np.int64)
         self.some = np.zeros(1 << 20, dtype=bool)
         self.some[h >> np.uint64(44)] = True
         #: Seeds that a passage has at least: by the exact rule, and by the edited one (a third of its length, four units a seed)
         self.least = np.array([min(EXACT[s] - SEED + 1, -(-LONG[s] // (3 * SEED))) for _, _, s in self.items], dtype=np.int64)
 
-    def hashes(self, ids: np.ndarray) -> np.ndarray:
-        """A hash for each seed: its units, each times its own factor."""
-        n = max(0, len(ids) - SEED + 1)
+    def hashes(self, ids: np.ndarray, mask: int) -> np.ndarray:
+        """A hash for each position of a mask: the units that it compares, each times its own factor."""
+        n = max(0, len(ids) - MASKS[mask][-1])
         x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        h = np.zeros(n, dtype=np.uint64)
-        for p in range(SEED):
-            h += x[p : p + n] * self.factors[p]
+        h = np.full(n, mask, dtype=np.uint64)
+        for k, p in enumerate(MASKS[mask]):
+            h += x[p : p + n] * self.factors[k]
         h ^= h >> np.uint64(31)
         return h * self.factors[63]
 
@@ -105,7 +108,7 @@ class Items:
         return out
 
     def candidates(self, texts: list[list[int]]) -> list[tuple[int, int, np.ndarray]]:
-        """(text, item, hits) with hits = (position in text, position in item); all texts of a batch are hashed at once."""
+        """(text, item, hits) with hits = (position in text, position in item, mask); all texts of a batch are hashed at once."""
         sizes = np.array([len(t) + 12 for t in texts], dtype=np.int64)
         begins = np.r_[0, np.cumsum(sizes)]
         ids = np.full(int(begins[-1]), -1, dtype=np.int64)
@@ -113,16 +116,19 @@ class Items:
             ids[at : at + len(t)] = t
         lone = ids < 0
         ids[lone] = -2 - np.flatnonzero(lone)  # words outside the vocabulary match nothing, not even one another
-        h = self.hashes(ids)
-        hit = np.flatnonzero(self.some[h >> np.uint64(44)])
-        a, b = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
-        n = b - a
-        if not n.sum():
+        found = []
+        for m in range(len(MASKS)):
+            h = self.hashes(ids, m)
+            hit = np.flatnonzero(self.some[h >> np.uint64(44)])
+            a, b = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
+            n = b - a
+            rows = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            at = np.repeat(hit, n)
+            text = np.searchsorted(begins, at, "right") - 1
+            found.append(np.column_stack([text, self.where[rows, 0], at - begins[text], self.where[rows, 1:]]))
+        hits = np.concatenate(found)
+        if not len(hits):
             return []
-        rows = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        at = np.repeat(hit, n)
-        text = np.searchsorted(begins, at, "right") - 1
-        hits = np.column_stack([text, self.where[rows, 0], at - begins[text], self.where[rows, 1]])
         hits = hits[np.lexsort((hits[:, 2] - hits[:, 3], hits[:, 1], hits[:, 0]))]
         cuts = np.flatnonzero((np.diff(hits[:, 0]) != 0) | (np.diff(hits[:, 1]) != 0)) + 1
         first, last = np.r_[0, cuts], np.r_[cuts, len(hits)]
@@ -149,9 +155,11 @@ class Items:
         for d, a, b in zip(each, first, last):
             if d <= done or b - a < -(-long // (3 * SEED)):
                 continue
-            covered = np.zeros(len(test) + SEED, dtype=np.int64)
-            for k in range(SEED):
-                covered[hits[a:b, 1] + k] = 1
+            covered = np.zeros(len(test) + MASKS[-1][-1] + 1, dtype=np.int64)
+            for m, mask in enumerate(MASKS):
+                own = hits[a:b][hits[a:b, 2] == m, 1]
+                for k in mask:
+                    covered[own + k] = 1
             value = 3 * np.r_[0, np.cumsum(covered[: len(test)])] - np.arange(len(test) + 1)  # a third of a stretch is covered, or it is none
             if not (value[long:] >= np.minimum.accumulate(value[: len(test) + 1 - long])).any():
                 continue

@@ -297,7 +297,7 @@ class Repairer:
         proven, seen = 0, set()
         for _ in range(ROUNDS):
             spans = self.spans(text)
-            if sum(x[1] - x[0] for x in spans if x[4]) * 2 < sum(c > "\x7f" for c in text):  # else they explain most of what isn't ASCII
+            if sum(x[1] - x[0] for x in spans if x[4]) * 2 < len(text) - len(text.encode("ascii", "ignore")):  # else they explain most of what isn't ASCII
                 spans = self.letters(text) or spans
             if not any(x[4] for x in spans) or (self.accents.search(text) and sum(x[4] for x in spans) * 12 < len(text)):
                 spans = self.ideographs(text) or spans

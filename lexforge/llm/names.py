@@ -36,6 +36,8 @@ MEANS = {row.split()[0]: set(row.split()[1:]) for row in NICKNAMES.strip().repla
 CONNECTORS = {"of", "for", "at", "the", "f", "in", "and", "de", "des", "du", "der", "fur", "von"}
 #: Natural logarithms of the chances that a typed name differs in this way (fixed values).
 CHANCE = {k: math.log(v) for k, v in {"same": 1, "initial": 0.05, "short": 0.05, "nickname": 0.06, "typo": 0.03, "order": 0.1, "omitted": 0.2, "added": 0.02, "acronym": 0.05}.items()}
+#: Spellings of a block that one task pairs with its candidates.
+HOT = 2000
 #: Least posterior for a link, beside the chance that another bearer of so similar a name exists.
 STRANGER = math.log(1e-6)
 
@@ -152,7 +154,18 @@ def likelihood(kind: str, vf: str, vg: list[str], cf: str, cg: list[str]) -> flo
     return total
 
 
-_PARSED = "name string, n long, kind string, family string, given array<string>, sure boolean, turned boolean, rank double"
+def openings(kind: str, given: list[str]) -> list[str]:
+    """Letters that the first given name may begin with in the spellings it can be linked to: its first two (one may be mistyped), and those of the
+    names that a nickname, or a nickname with a typing error, stands for. Two spellings with a likelihood share one."""
+    if not given:
+        return [""]
+    first = given[0]
+    out = set(first[:2])
+    if kind == "p" and len(first) > 1:
+        for nick, names in MEANS.items():
+            if nick == first or (len(nick) > 3 and within_one(first, nick)):
+                out.update(x for name in names for x in name[:2])
+    return sorted(out)
 
 
 def _turned(names: DataFrame) -> DataFrame:
@@ -186,39 +199,56 @@ def spellings(names: DataFrame, column: str = "name") -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "n", "kind", "family", "given", "sure"])
 
     parsed = counted.mapInPandas(run, "name string, n long, kind string, family string, given array<string>, sure boolean")
-    return _turned(parsed)
+    return _with_openings(_turned(parsed))
+
+
+def _with_openings(read_: DataFrame) -> DataFrame:
+    """The readings with the openings of their first given name."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read_.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(openings=[openings(k, list(g)) for k, g in zip(b["kind"], b["given"])])
+
+    return read_.mapInPandas(run, f"{kinds}, openings array<string>")
 
 
 def link(names: DataFrame, column: str = "name") -> DataFrame:
     """(name, n, canonical, posterior): every spelling with the canonical form it is attributed to; canonical forms name themselves.
 
     Stand-ins for unknown persons, empty and null values give no row; equal values are counted once. A form whose posterior isn't above that of
-    a stranger with a similar name stays its own. Blocks hold the spellings of one family name (or place), whose number doesn't grow with the rows.
+    a stranger with a similar name stays its own. Blocks hold the spellings of one family name (or place) with the same opening letters of the first given name; a block above HOT is
+    spread over tasks, each of which holds a part of the variants and all candidates.
     """
     forms = cut(spellings(names, column))
     # keys: the family name, and it with each letter left out
     lengths = F.sequence(F.lit(1), F.length("family"))
     keys = F.array_distinct(F.concat(F.array("family"), F.when(F.length("family") > 3, F.transform(lengths, lambda i: F.concat(F.substring("family", F.lit(1), i - 1), F.substring("family", i + 1, F.length("family"))))).otherwise(F.array().cast("array<string>"))))
-    keyed = forms.select("name", "n", "kind", "family", "given", F.explode(keys).alias("key"))
+    keyed = forms.select("name", "n", "kind", "family", "given", F.explode(keys).alias("key"), "openings").withColumn("opening", F.explode("openings")).drop("openings")
     full = F.size(F.filter("given", lambda g: F.length(g) > 2)) + F.when(F.col("kind") == "o", F.when(F.size("given") > 1, F.lit(0)).otherwise(F.lit(-1))).otherwise(F.lit(0))
     weighed = keyed.withColumn("full", full)
-    v = weighed.select("key", "kind", F.col("name").alias("v"), F.col("n").alias("vn"), F.col("family").alias("vf"), F.col("given").alias("vg"), F.col("full").alias("vfull"))
-    c = weighed.select("key", "kind", F.col("name").alias("c"), F.col("n").alias("cn"), F.col("family").alias("cf"), F.col("given").alias("cg"), F.col("full").alias("cfull"))
+    block = ["key", "kind", "opening"]
+    parts = weighed.groupBy(*block).agg(F.ceil(F.count("*") / F.lit(HOT)).cast("int").alias("parts")).where("parts > 1")
+    weighed = weighed.join(parts, block, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    v = weighed.select(*block, F.pmod(F.xxhash64("name"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("name").alias("v"), F.col("n").alias("vn"), F.col("family").alias("vf"), F.col("given").alias("vg"), F.col("full").alias("vfull"))
+    c = weighed.select(*block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("c"), F.col("n").alias("cn"), F.col("family").alias("cf"), F.col("given").alias("cg"), F.col("full").alias("cfull"))
     # a canonical form ranks above its variants: more complete, then more frequent, then first by code point
     above = (F.col("cfull") > F.col("vfull")) | ((F.col("cfull") == F.col("vfull")) & ((F.col("cn") > F.col("vn")) | ((F.col("cn") == F.col("vn")) & (F.col("c") < F.col("v")))))
-    pairs = v.join(c, ["key", "kind"]).where(above).drop("key").dropDuplicates(["v", "c"])
+    pairs = v.join(c, [*block, "part"]).where(above).drop("key", "opening", "part").dropDuplicates(["v", "c"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for kind, name, vf, vg, can, cn, cf, cg in zip(b["kind"], b["v"], b["vf"], b["vg"], b["c"], b["cn"], b["cf"], b["cg"]):
-                value = likelihood(kind, vf, list(vg), cf, list(cg))
-                if value > STRANGER:
-                    rows.append((name, can, value + math.log(cn)))
-            yield pd.DataFrame(rows, columns=["v", "c", "posterior"])
-
-    scored = pairs.mapInPandas(run, "v string, c string, posterior double")
-    best = scored.groupBy("v").agg(F.max_by("c", F.struct("posterior", "c")).alias("c"), F.max("posterior").alias("posterior"))
+            for kind, name, n, vf, vg, can, cn, cf, cg in zip(b["kind"], b["v"], b["vn"], b["vf"], b["vg"], b["c"], b["cn"], b["cf"], b["cg"]):
+                value = likelihood(kind, vf, list(vg), cf, list(cg)) + math.log(cn)
+                # against a stranger who is as often named as the variant, or the candidate if that is more
+                if value > STRANGER + math.log(max(n, cn)):
+                    rows.append((name, can, math.exp(value), max(n, cn) * math.exp(STRANGER)))
+            yield pd.DataFrame(rows, columns=["v", "c", "value", "stranger"])
+
+    scored = pairs.mapInPandas(run, "v string, c string, value double, stranger double")
+    # Bayes: each candidate's share in the sum over all candidates and the stranger
+    best = scored.groupBy("v").agg(F.max_by("c", F.struct("value", "c")).alias("c"), (F.max("value") / (F.sum("value") + F.max("stranger"))).alias("posterior"))
     out = cut(forms.select("name", "n").join(best.withColumnRenamed("v", "name"), "name", "left").select("name", "n", F.coalesce("c", "name").alias("canonical"), "posterior"))
     while True:  # a canonical form may be a variant of a fuller one: follow the links to their end, twice as far each time
         up = out.select(F.col("name").alias("canonical"), F.col("canonical").alias("next"))

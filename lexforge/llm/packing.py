@@ -13,7 +13,7 @@ from lexforge.runtime import cut
 
 CAPACITY = 4096
 #: Items that one task packs; larger inputs are packed by more tasks side by side.
-SHARD = 100_000
+SHARD = 25_000
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -29,11 +29,10 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     for i, s in enumerate(sizes):
         s = int(s)
         gaps = np.arange(s, capacity)
-        cost = open_at[gaps - s] - open_at[gaps]  # half the change of the sum, less a constant
+        cost = open_at[gaps - s] - open_at[gaps] + 1.0  # half the change of the sum
         if len(gaps):
-            cost[0] = -open_at[s]  # the gap closes
-            cost[1:] += 1
-            cost = np.where(open_at[gaps] > 0, cost, np.iinfo(np.int64).max)
+            cost[0] = 0.5 - open_at[s]  # the gap closes and no other appears
+            cost[open_at[gaps] == 0] = np.inf
         fresh = open_at[capacity - s] + (0.5 if s < capacity else 0)
         best = int(np.argmin(cost)) if len(gaps) else -1
         if best >= 0 and cost[best] <= fresh and open_at[gaps[best]] > 0:

@@ -84,6 +84,29 @@ def test_sum_of_squares_is_tight():
     assert len(set(exact)) == 3 and exact[1] == exact[2]
 
 
+def test_every_placement_is_the_smallest_sum_of_squares():
+    g = np.random.default_rng(6)
+    capacity = 40
+    sizes = g.integers(1, capacity + 1, 1500)
+    home = packing.sum_of_squares(sizes, capacity)
+    gap, open_at = {}, np.zeros(capacity + 1, dtype=np.int64)
+
+    def after(old, new):
+        n = open_at.copy()
+        n[old] -= old < capacity or 0
+        n[new] += new > 0
+        return int((n[1:capacity] ** 2).sum())
+
+    for s, c in zip(sizes.tolist(), home.tolist()):
+        old = gap.get(c, capacity)
+        every = {o: after(o, o - s) for o in {*gap.values(), capacity} if o >= s}
+        assert every[old] == min(every.values())
+        if old < capacity:
+            open_at[old] -= 1
+        gap[c] = old - s
+        open_at[gap[c]] += gap[c] > 0
+
+
 def test_pack_table(spark):
     rows = [(i, n) for i, n in enumerate([0, None, 4096, 4097, 9000, 100, 100, 3996, 1])]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), "doc_id", "n").collect()
