@@ -58,10 +58,16 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once: a lambda over an array of one element. Inside another lambda the value would be computed at every step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(c: Column, k: int) -> Column:
     """The distinct runs of k words of a text."""
-    w = F.split(collapse(F.lower(c)), " ")
-    return F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    runs = lambda w: F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " ")))).otherwise(none)
+    return let(F.split(collapse(F.lower(c)), " "), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

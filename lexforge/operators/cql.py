@@ -1,7 +1,8 @@
 """Token-sequence queries: [lemma="x" & upos!="VERB"] []{0,2} "form" within s, compiled to column expressions.
 
-A query is read into a list of steps (predicate, least, most). Its fixed-length variants become windows of `lead` over a sentence, all in one pass over the
-tokens: one shuffle by sentence, no join. A sentence is bounded, so a window partition is as well.
+A query is read into a list of steps (predicate, least, most). Where few lengths are possible, its fixed-length variants become windows of `lead` over a
+sentence, all in one pass over the tokens: one shuffle by sentence, no join. Repetition without an upper bound, or with many variants, runs as an
+automaton over the sentence's array of step truths, which the JVM has computed. A sentence is bounded, so a window partition is as well.
 """
 
 from __future__ import annotations
@@ -10,13 +11,17 @@ import re
 from dataclasses import dataclass, field
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Attribute names of the query language by column (fixed values).
 ATTRIBUTES = {"word": "form", "form": "form", "lemma": "lemma", "pos": "upos", "tag": "upos", "upos": "upos", "deprel": "deprel", "rel": "deprel"}
-MOST_REPEATS = 20
+#: Beyond so many tokens or variants of a query the automaton takes over from the windows; both give the same rows.
+LONGEST, VARIANTS = 12, 64
+#: Steps of a query whose truths fit into one number for each token.
+MOST_STEPS = 62
 _LEX = re.compile(r'\s*(?:(?P<str>"(?:\\.|[^"\\])*")|(?P<re>/(?:\\.|[^/\\])*/)|(?P<num>\d+)|(?P<id>[^\W\d][\w.\-]*)|(?P<op>!=|[\[\]{}(),&|!=?*+]))')
 
 
@@ -65,7 +70,7 @@ class Junction:
 class Step:
     test: Junction
     least: int = 1
-    most: int = 1
+    most: int | None = 1  # None: any number
 
 
 def lex(query: str) -> list[tuple[str, str]]:
@@ -154,16 +159,16 @@ class _Reader:
         _, text = self.peek()
         if text in ("?", "*", "+"):
             self.take()
-            step.least, step.most = (0, 1) if text == "?" else (0 if text == "*" else 1, MOST_REPEATS)
+            step.least, step.most = (0, 1) if text == "?" else (0 if text == "*" else 1, None)
         elif text == "{":
             self.take()
             step.least = int(self.take()[1])
             step.most = step.least
             if self.peek()[1] == ",":
                 self.take()
-                step.most = int(self.take()[1]) if self.peek()[0] == "num" else MOST_REPEATS
+                step.most = int(self.take()[1]) if self.peek()[0] == "num" else None
             self.take("}")
-        if step.most < step.least or step.most > MOST_REPEATS:
+        if step.most is not None and (step.most < step.least or step.most == 0):
             raise QueryError(f"repetition {step.least}..{step.most} is out of range")
         return step
 
@@ -186,12 +191,77 @@ def parse(query: str) -> list[Step]:
     return steps
 
 
+def _closure(steps: list[Step], at: int) -> list[int]:
+    """The steps that may come next from the beginning of step `at`; len(steps) is the end."""
+    out = [at]
+    while at < len(steps) and steps[at].least == 0:
+        at += 1
+        out.append(at)
+    return out
+
+
+def spans(steps: list[Step], truths: list[int]) -> list[tuple[int, int]]:
+    """(first, length) of every place where the steps hold, from each token's truths (bit i for step i)."""
+    end, out = len(steps), []
+    begin = [(i, 0) for i in _closure(steps, 0) if i < end]
+    for first in range(len(truths)):
+        states = set(begin)
+        for at in range(first, len(truths)):
+            new: set[tuple[int, int]] = set()
+            for i, n in states:
+                if truths[at] >> i & 1:
+                    step = steps[i]
+                    if step.most is None:
+                        n = min(n + 1, max(step.least, 1))  # further repetitions change nothing
+                        new.add((i, n))
+                    else:
+                        n += 1
+                        if n < step.most:
+                            new.add((i, n))
+                    if n >= step.least:
+                        new.update((k, 0) for k in _closure(steps, i + 1))
+            if (end, 0) in new:
+                out.append((first, at - first + 1))
+                new.discard((end, 0))
+            if not new:
+                break
+            states = new
+    return out
+
+
+def _automaton(tokens: DataFrame, steps: list[Step]) -> DataFrame:
+    if len(steps) > MOST_STEPS:
+        raise QueryError(f"more than {MOST_STEPS} steps")
+    token = F.struct("form", "lemma", "upos", "deprel", "feats")
+    truths = sum((F.when(step.test.column(token), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, step in enumerate(steps)), F.lit(0).cast("long"))
+    base = tokens.select("document_id", "sentence_id", F.struct("token_index", "form", truths.alias("truths")).alias("t"))
+    rows = base.groupBy("sentence_id").agg(F.min("document_id").alias("document_id"), F.sort_array(F.collect_list("t")).alias("t"))
+    rows = rows.select("document_id", "sentence_id", *[F.col(f"t.{c}").alias(c) for c in ("token_index", "form", "truths")])
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for doc, sentence, index, form, bits in zip(b["document_id"], b["sentence_id"], b["token_index"], b["form"], b["truths"]):
+                for first, n in spans(steps, [int(x) for x in bits]):
+                    found.append((doc, sentence, int(index[first]), n, " ".join(x for x in form[first : first + n] if x is not None)))
+            yield pd.DataFrame(found, columns=["document_id", "sentence_id", "start", "length", "matched"])
+
+    kind = {c: tokens.schema[c].dataType.simpleString() for c in ("document_id", "sentence_id", "token_index")}
+    return rows.mapInPandas(run, f"document_id {kind['document_id']}, sentence_id {kind['sentence_id']}, start {kind['token_index']}, length int, matched string")
+
+
 def search(tokens: DataFrame, query: str) -> DataFrame:
     """(document_id, sentence_id, start, length, matched): every place where the query holds; `matched` are the forms.
 
-    A shorter and a longer match at one place are both reported. Null attributes match nothing but a negation. Extra columns don't matter.
+    A shorter and a longer match at one place are both reported; repetition has no upper limit but the sentence. Null attributes match nothing but a
+    negation. Extra columns don't matter.
     """
     steps = parse(query)
+    count = 1
+    for step in steps:
+        count *= 99_999 if step.most is None else step.most - step.least + 1
+    if count > VARIANTS or sum(step.most for step in steps) > LONGEST:
+        return _automaton(tokens, steps)
     variants = sorted({tuple(i for i, n in enumerate(c) for _ in range(n)) for c in product(*[range(s.least, s.most + 1) for s in steps])}, key=lambda v: (len(v), v))
     variants = [v for v in variants if v]
     w = W.partitionBy("sentence_id").orderBy("token_index")

@@ -39,28 +39,40 @@ def ngrams(tokens: DataFrame, n: int, level: str = "lemma", pattern: list[str] |
     return x.where(whole).groupBy(F.concat_ws(" ", *[f"p{k}" for k in range(n)]).alias("ngram")).agg(F.count("*").alias("freq"), F.count_distinct("document_id").alias("docs")).where(F.col("freq") >= least)
 
 
-def windows(tokens: DataFrame, size: int, level: str = "lemma") -> DataFrame:
-    """(node, collocate, position) pairs at most `size` tokens apart in a sentence, in both directions.
+def _ahead(tokens: DataFrame, size: int, level: str) -> DataFrame:
+    """(node, x.other, x.gap) of every token and the tokens at most `size` behind it in its sentence.
 
-    Made by `lead` inside the sentence instead of a join of the fact table with itself: rows grow by 2 x size, not by the square of a sentence.
+    Made by `lead` inside the sentence instead of a join of the fact table with itself: rows grow by `size`, not by the square of a sentence.
     """
     w = W.partitionBy("sentence_id").orderBy("token_index")
     ahead = range(1, size + 1)
     shifted = tokens.select(F.col(level).alias("node"), "token_index", *[F.lead(level, k).over(w).alias(f"o{k}") for k in ahead], *[F.lead("token_index", k).over(w).alias(f"i{k}") for k in ahead])
     near = F.array(*[F.struct(F.col(f"o{k}").alias("other"), (F.col(f"i{k}") - F.col("token_index")).alias("gap")) for k in ahead])
-    right = shifted.where("node is not null").select("node", F.explode(near).alias("x")).where(f"x.other is not null and x.gap <= {size}")
+    return shifted.where("node is not null").select("node", F.explode(near).alias("x")).where(f"x.other is not null and x.gap <= {size}")
+
+
+def windows(tokens: DataFrame, size: int, level: str = "lemma") -> DataFrame:
+    """(node, collocate, position) pairs at most `size` tokens apart in a sentence, in both directions."""
     both = F.array(F.struct(F.col("node").alias("node"), F.col("x.other").alias("collocate"), F.col("x.gap").alias("position")), F.struct(F.col("x.other").alias("node"), F.col("node").alias("collocate"), (-F.col("x.gap")).alias("position")))
-    return right.select(F.explode(both).alias("p")).select("p.*")
+    return _ahead(tokens, size, level).select(F.explode(both).alias("p")).select("p.*")
+
+
+def pair_counts(tokens: DataFrame, size: int, level: str = "lemma", word: str | None = None, least: int = 1) -> DataFrame:
+    """(node, collocate, o11): how often two different items stand at most `size` tokens apart. Each pair is counted once, without its order, and the
+    totals are given in both orders; with `word` only its pairs, with it as the node."""
+    x = _ahead(tokens, size, level).select("node", F.col("x.other").alias("other")).where("node <> other")
+    if word is not None:
+        x = x.where((F.col("node") == word) | (F.col("other") == word))
+    n = x.groupBy(F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q")).agg(F.count("*").alias("o11")).where(F.col("o11") >= least)
+    both = n.select(F.explode(F.array(F.struct(F.col("p").alias("node"), F.col("q").alias("collocate")), F.struct(F.col("q").alias("node"), F.col("p").alias("collocate")))).alias("y"), "o11").select("y.*", "o11")
+    return both if word is None else both.where(F.col("node") == word)
 
 
 def collocations(tokens: DataFrame, word: str | None = None, size: int = 5, least: int = 2, level: str = "lemma") -> DataFrame:
     """(node, collocate, o11, f1, f2, n, logdice, mi, mi3, t, g2) for one word or all. Joint counts are over windows, marginal ones over the corpus."""
     freq = tokens.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("item")).agg(F.count("*").alias("f"))
     total = freq.agg(F.sum("f").alias("n"))
-    pairs = windows(tokens, size, level)
-    if word is not None:
-        pairs = pairs.where(F.col("node") == word)
-    joint = pairs.where("node <> collocate").groupBy("node", "collocate").agg(F.count("*").alias("o11")).where(F.col("o11") >= least)
+    joint = pair_counts(tokens, size, level, word, least)
     j = joint.join(freq.select(F.col("item").alias("node"), F.col("f").alias("f1")), "node").join(freq.select(F.col("item").alias("collocate"), F.col("f").alias("f2")), "collocate")
     j = j.crossJoin(F.broadcast(total))  # one row
     return j.select("node", "collocate", "o11", "f1", "f2", "n", *[f("o11", "f1", "f2", "n").alias(k) for k, f in a.MEASURES.items()])
@@ -110,11 +122,13 @@ def sketch_difference(sketches: DataFrame, one: str, two: str) -> DataFrame:
 
 
 def thesaurus(tokens: DataFrame, lemma: str, size: int = 3, least: int = 5) -> DataFrame:
-    """(other, cosine) of a lemma with all lemmas of at least `least` context counts, over window contexts in long form."""
-    counts = windows(tokens, size).where("node <> collocate").groupBy("node", F.col("collocate").alias("ctx")).agg(F.count("*").cast("double").alias("c"))
-    norms = counts.groupBy("node").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"), F.sum("c").alias("total"))
-    mine = counts.where(F.col("node") == lemma).select("ctx", F.col("c").alias("m"))
-    dots = counts.join(mine, "ctx").groupBy("node").agg(F.sum(F.col("c") * F.col("m")).alias("dot"))
-    own = norms.where(F.col("node") == lemma).select(F.col("norm").alias("own"))
-    j = dots.join(norms.where(F.col("total") >= least), "node").where(F.col("node") != lemma).crossJoin(F.broadcast(own))
+    """(other, cosine) of a lemma with all lemmas of at least `least` context counts, over window contexts in long form. One pass over the counts
+    gives the norms and, beside the lemma's own contexts (a left join: those of one lemma), the products; a lemma without a common context is left out."""
+    counts = pair_counts(tokens, size).select("node", F.col("collocate").alias("ctx"), F.col("o11").cast("double").alias("c"))
+    mine = pair_counts(tokens, size, word=lemma).select(F.col("collocate").alias("ctx"), F.col("o11").cast("double").alias("m"))
+    j = counts.join(mine, "ctx", "left").groupBy("node").agg(
+        F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"), F.sum("c").alias("total"), F.sum(F.col("c") * F.col("m")).alias("dot")
+    )
+    own = mine.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("own"))
+    j = j.where((F.col("total") >= least) & F.col("dot").isNotNull() & (F.col("node") != lemma)).crossJoin(F.broadcast(own))  # one row
     return j.select(F.col("node").alias("other"), (F.col("dot") / (F.col("norm") * F.col("own"))).alias("cosine"))

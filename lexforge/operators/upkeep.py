@@ -41,3 +41,10 @@ def duplicates(df: DataFrame, key: str, digest: str) -> DataFrame:
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page `number` (from 1) of a sorted table. The order must be total."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def stage(items: DataFrame, status: str, most: int, outcome: Column, error: Column) -> DataFrame:
+    """(id, status, error): one turn of a stage of the pipeline. The `most` items that wait in a status, the highest priority and then the oldest first, get
+    the status and error that the expressions give. The result is merged with `replace_into`; turns follow until one is empty."""
+    waiting = items.where(F.col("status") == status).orderBy(F.col("priority").desc_nulls_last(), F.col("created_at").asc_nulls_last(), "id").limit(most)
+    return waiting.select("id", outcome.alias("status"), error.alias("error"))

@@ -94,3 +94,68 @@ def paradigm(stems: DataFrame, stem: str, endings: dict[str, str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(v).alias("ending")) for k, v in endings.items()])
     x = stems.select(F.col(stem).alias("stem"), F.explode(cells).alias("e"))
     return x.select("stem", "e.cell", F.concat("stem", "e.ending").alias("form"))
+
+
+#: Core arguments (fixed values).
+CORE = ("nsubj", "obj", "iobj", "obl")
+
+
+def variants(tokens: DataFrame) -> DataFrame:
+    """One row for each verb with a lemma: sentence_id, verb_index, lemma and its frame in every notation in use: `core` (core relations, sorted), `counts`
+    (SUBJ(n)+OBJ(n)+OBL(n) of all dependents; null without any), `plus` (NOM and the sorted cases of core arguments; null without any), `implied` (the set of NOM,
+    ACC for obj, DAT for iobj, the case of obl), `ordered` (the set of cases in their canonical order), `notation` (NOM, ACC, the case of iobj in the order of words;
+    INTR without any) and `size_class` by the number of core arguments.
+
+    Verbs meet their dependents in one join on (sentence, head), which the shuffle by sentence already serves.
+    """
+    verbs = tokens.where((F.col("upos") == "VERB") & F.col("lemma").isNotNull()).select("sentence_id", F.col("token_index").alias("verb_index"), "lemma")
+    case = case_of(F.col("feats"))
+    deps = tokens.where("head > 0").select("sentence_id", F.col("head").alias("verb_index"), F.struct("token_index", "deprel", case.alias("case")).alias("d"))
+    x = verbs.join(deps, ["sentence_id", "verb_index"], "left").groupBy("sentence_id", "verb_index", "lemma").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    core = F.filter("d", lambda y: y["deprel"].isin(*CORE))
+    x = x.withColumn("c", core)
+    count = lambda rel: F.size(F.filter("d", lambda y: F.coalesce(y["deprel"] == rel, F.lit(False))))
+    subjects, objects = count("nsubj"), count("obj")
+    other = F.size("d") - subjects - objects
+    part = lambda name, n: F.when(n > 0, F.concat(F.lit(f"{name}("), n.cast("string"), F.lit(")")))
+    counts = F.when(F.size("d") > 0, F.concat_ws("+", part("SUBJ", subjects), part("OBJ", objects), part("OBL", other)))
+    cases = F.transform("c", lambda y: y["case"])
+    plus = F.when(F.size("c") > 0, F.concat_ws("+", F.lit("NOM"), F.array_sort(cases)))
+    taken = F.transform("c", lambda y: F.when(y["deprel"] == "obj", "ACC").when(y["deprel"] == "iobj", "DAT").when((y["deprel"] == "obl") & (y["case"] != "UNK"), y["case"]))
+    implied = F.array_join(F.array_sort(F.array_distinct(F.concat(F.array(F.lit("NOM")), F.array_compact(taken)))), "+")
+    every = F.array_distinct(F.concat(F.array(F.lit("NOM")), F.filter(cases, lambda c: c != "UNK")))
+    ordered = F.array_join(F.concat(F.filter(F.array(*[F.lit(c) for c in CASES]), lambda c: F.array_contains(every, c)), F.array_sort(F.filter(every, lambda c: ~c.isin(*CASES)))), "+")
+    signs = F.transform("c", lambda y: F.when(y["deprel"] == "nsubj", "NOM").when(y["deprel"] == "obj", "ACC").when(y["deprel"] == "iobj", F.when(y["case"] == "UNK", "OBL").otherwise(y["case"])))
+    notation = F.coalesce(F.nullif(F.array_join(F.array_compact(signs), "+"), F.lit("")), F.lit("INTR"))
+    n = F.size("c")
+    size_class = F.when(n == 0, "intransitive").when(n == 1, "transitive").when(n == 2, "ditransitive").otherwise("complex")
+    return x.select(
+        "sentence_id", "verb_index", "lemma", F.array_join(F.array_sort(F.transform("c", lambda y: y["deprel"])), " ").alias("core"), counts.alias("counts"), plus.alias("plus"), implied.alias("implied"), ordered.alias("ordered"),
+        notation.alias("notation"), size_class.alias("size_class"),
+    )
+
+
+def contact(found: DataFrame, language: str, etymology: str, klass: str) -> DataFrame:
+    """(language, class, native, borrowed, difference): shares of the classes among borrowed less those among native verbs, in languages that have both."""
+    n = found.groupBy(F.col(language).alias("language"), F.col(klass).alias("class")).agg(F.count_if(F.col(etymology) == "native").alias("native"), F.count_if(F.col(etymology) == "borrowed").alias("borrowed"))
+    total = n.groupBy("language").agg(F.sum("native").alias("_n"), F.sum("borrowed").alias("_b")).where("_n > 0 and _b > 0")
+    return n.join(total, "language").select("language", "class", "native", "borrowed", (F.col("borrowed") / F.col("_b") - F.col("native") / F.col("_n")).alias("difference"))
+
+
+def features(tokens: DataFrame) -> DataFrame:
+    """(lemma, 13 features) of every verb: which arguments it has and their most frequent case's place in the table, passive forms, borrowing, and the
+    logarithm of its frequency. Causative, applicative and antipassive forms have no mark in the annotation and are 0."""
+    verbs = tokens.where((F.col("upos") == "VERB") & F.col("lemma").isNotNull()).select("sentence_id", F.col("token_index").alias("head"), "lemma", F.col("feats").contains("Voice=Pass").alias("passive"))
+    alone = verbs.groupBy("lemma").agg(F.count("*").alias("f"), F.max(F.coalesce(F.col("passive").cast("int"), F.lit(0))).alias("is_passive"))
+    args = tokens.where(F.col("deprel").isin("nsubj", "obj", "iobj")).select("sentence_id", "head", "deprel", case_of(F.col("feats")).alias("case"))
+    n = args.join(verbs, ["sentence_id", "head"]).groupBy("lemma", "deprel", "case").agg(F.count("*").alias("n"))
+    best = n.groupBy("lemma").pivot("deprel", ["nsubj", "obj", "iobj"]).agg(F.min_by("case", F.struct(-F.col("n"), F.col("case"))))
+    at = lambda c: F.coalesce(F.array_position(F.array(*[F.lit(k) for k in CASES]), F.col(c)), F.lit(0)).cast("double")
+    has = lambda c: F.col(c).isNotNull().cast("double")
+    borrowed = (origin(F.col("lemma")) != "native").cast("double")
+    zero = F.lit(0.0)
+    x = alone.join(best, "lemma", "left")
+    return x.select(
+        "lemma", has("nsubj").alias("has_subject"), at("nsubj").alias("subject_case"), has("obj").alias("has_object"), at("obj").alias("object_case"), has("iobj").alias("has_indirect"), at("iobj").alias("indirect_case"),
+        F.col("is_passive").cast("double").alias("is_passive"), zero.alias("is_causative"), zero.alias("is_applicative"), zero.alias("is_antipassive"), borrowed.alias("is_borrowing"), borrowed.alias("contact_confidence"), F.log1p("f").alias("log_freq"),
+    )

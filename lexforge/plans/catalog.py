@@ -30,7 +30,7 @@ def _load() -> None:
         importlib.import_module(f"lexforge.plans.{name}")
 
 
-MODULES = ("corpus", "platform", "more", "derived")
+MODULES = ("corpus", "platform", "more", "derived", "survey")
 FLAGSHIP_NAME = "cql_sequence"
 
 

@@ -51,7 +51,20 @@ def derived_dependencies(spark, d):
     return t.groupBy("document_id", "deprel").agg(F.count("*").alias("n"), F.sum("head").alias("heads"))
 
 
-@query("near_duplicate_documents")
+_W = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ')"
+_NEAR = f"""d AS (SELECT doc_id, md5({_W}) AS h, string_split({_W}, ' ') AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT h, min(doc_id) AS rep, any_value(w) AS w FROM d GROUP BY 1),
+ s AS (SELECT rep, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS x FROM c WHERE len(w) >= 5), n AS (SELECT rep, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS same FROM s a JOIN s b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2), l AS (SELECT a, b, same, same / (x.n + y.n - same) AS jaccard FROM p JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE same >= 0.8 * (x.n + y.n - same) - 1e-9)"""
+
+
+@query("near_duplicate_links", f"WITH {_NEAR} SELECT a, b, same, round(jaccard, 6) AS jaccard FROM l")
+def near_duplicate_links(spark, d):
+    """The pairs of different texts whose shingles of five words reach 0.8, each text by its first copy."""
+    return dedup.links(_docs(spark, d), "doc_id", "text").select("a", "b", F.col("same").cast("long").alias("same"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("near_duplicate_documents", f"""WITH RECURSIVE {_NEAR}, u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(x, y) AS (SELECT rep, rep FROM c UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y), k AS (SELECT x AS rep, min(y) AS class_id FROM r GROUP BY 1), m AS (SELECT a AS rep, count(*) AS links FROM u GROUP BY 1)
+SELECT d.doc_id, k.class_id, coalesce(m.links, 0) AS links FROM d JOIN c USING (h) JOIN k ON k.rep = c.rep LEFT JOIN m ON m.rep = c.rep""")
 def near_duplicate_documents(spark, d):
     """One row a document: the class of its near-duplicates by shingles of five words at 0.8, and its links to different texts."""
     return dedup.classes(_docs(spark, d), "doc_id", "text")
@@ -69,10 +82,11 @@ def content_digests(spark, d):
     return table(spark, d, "corpus_items").where("content is not null").select("id", F.substring(F.md5(c), 1, 16).alias("digest"), F.length("content").cast("long").alias("chars"))
 
 
-@query("shingle_counts", r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(title), '\s+', ' ', 'g'), ' '), ' ') AS w FROM documents WHERE title IS NOT NULL), s AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2) SELECT w[i] || ' ' || w[i + 1] AS shingle, count(DISTINCT doc_id) AS docs FROM s GROUP BY 1""")
+@query("shingle_counts", f"WITH w AS (SELECT string_split({_W}, ' ') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS shingle FROM w WHERE len(w) >= 5) SELECT shingle, count(*) AS docs FROM s GROUP BY 1 HAVING count(*) >= 3")
 def shingle_counts(spark, d):
-    t = table(spark, d, "documents").where("title is not null").select("doc_id", F.explode(tx.shingles(F.col("title"), 2)).alias("shingle"))
-    return t.groupBy("shingle").agg(F.count("*").alias("docs"))
+    """Shingles of five words that three texts or more share, over the whole of all texts."""
+    t = _docs(spark, d).where("text is not null").select(F.explode(tx.shingles(F.col("text"), 5)).alias("shingle"))
+    return t.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs >= 3")
 
 
 @query("vector_clusters")
@@ -102,18 +116,9 @@ def valency_change_types(spark, d):
     return valency.change_types(f, "period", "classical", "koine")
 
 
-@query("lexicon_lemmas", f"""WITH {base.TOK}, lx AS (SELECT lower(form) AS f, min(lemma) AS l FROM tok WHERE form IS NOT NULL AND lemma IS NOT NULL AND document_id % 2 = 0 GROUP BY 1), lp AS (SELECT strip_accents(lower(form)) AS f, min(lemma) AS l FROM tok WHERE form IS NOT NULL AND lemma IS NOT NULL AND document_id % 2 = 0 AND regexp_matches(form, '^[A-Za-z]+$') GROUP BY 1)
-SELECT coalesce(lx.l, lp.l, lower(t.form)) AS lemma, count(*) AS n FROM tok t LEFT JOIN lx ON lx.f = lower(t.form) LEFT JOIN lp ON lp.f = lower(t.form) WHERE t.document_id % 2 = 1 AND regexp_matches(t.form, '^[A-Za-z]+$') GROUP BY 1""")
+@query("lexicon_lemmas", f"""WITH {base.TOK}, lx AS (SELECT lower(form) AS f, min(lemma) AS l FROM tok WHERE form IS NOT NULL AND lemma IS NOT NULL GROUP BY 1), lp AS (SELECT replace(strip_accents(lower(form)), 'ς', 'σ') AS f, min(lemma) AS l FROM tok WHERE form IS NOT NULL AND lemma IS NOT NULL GROUP BY 1)
+SELECT coalesce(lx.l, lp.l, lower(t.form)) AS lemma, count(*) AS n FROM tok t LEFT JOIN lx ON lx.f = lower(t.form) LEFT JOIN lp ON lp.f = replace(strip_accents(lower(t.form)), 'ς', 'σ') WHERE t.form IS NOT NULL GROUP BY 1""")
 def lexicon_lemmas(spark, d):
-    """Lemmas of the ASCII forms of one half of the documents from a lexicon of the other half's: what SQL can follow. All forms: lexicon_lemmas_whole."""
-    t = base.tokens(spark, d)
-    latin = F.col("form").rlike("^[A-Za-z]+$")
-    lexicon = t.where("form is not null and lemma is not null and document_id % 2 = 0").select("form", "lemma").where(latin)
-    return annotate.lexicon_lemmas(t.where("document_id % 2 = 1").where(latin), lexicon).groupBy("lemma").agg(F.count("*").alias("n"))
-
-
-@query("lexicon_lemmas_whole")
-def lexicon_lemmas_whole(spark, d):
     """Lemmas of all forms of all documents, in every script, from a lexicon of the whole table's annotations."""
     t = base.tokens(spark, d).where("form is not null")
     return annotate.lexicon_lemmas(t, t.where("lemma is not null").select("form", "lemma")).groupBy("lemma").agg(F.count("*").alias("n"))

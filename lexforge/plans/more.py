@@ -37,14 +37,8 @@ def temporal_expressions(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(counts).alias("x")).where("x.n > 0").select("doc_id", "x.kind", "x.n")
 
 
-@query("stems", f"WITH {TOK}, w AS (SELECT lower(form) AS w FROM tok WHERE regexp_matches(form, '^[A-Za-z]+$')) SELECT CASE " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {len(e) + 3} THEN substring(w, 1, length(w) - {len(e)})" for e in lg.ENDINGS) + " ELSE w END AS stem, count(*) AS n, count(DISTINCT w) AS forms FROM w GROUP BY 1")
+@query("stems", f"WITH {TOK}, w AS (SELECT lower(form) AS w FROM tok WHERE form IS NOT NULL) SELECT CASE " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {len(e) + 3} THEN substring(w, 1, length(w) - {len(e)})" for e in lg.ENDINGS) + " ELSE w END AS stem, count(*) AS n, count(DISTINCT w) AS forms FROM w GROUP BY 1")
 def stems(spark, d):
-    t = base.tokens(spark, d).where(F.col("form").rlike("^[A-Za-z]+$")).groupBy(F.lower("form").alias("w")).agg(F.count("*").alias("n"))
-    return t.groupBy(lg.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
-
-
-@query("stems_whole")
-def stems_whole(spark, d):
     """Stems of all forms in every script; forms without a known ending are their own stem."""
     t = base.tokens(spark, d).where("form is not null").groupBy(F.lower("form").alias("w")).agg(F.count("*").alias("n"))
     return t.groupBy(lg.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
@@ -129,11 +123,12 @@ def previous_preposition(spark, d):
     return x.groupBy("preposition").agg(F.count("*").alias("n"))
 
 
-@query("character_trigrams", "WITH t AS (SELECT lower(title) AS t FROM documents WHERE length(title) >= 3), g AS (SELECT substring(t, i, 3) AS g FROM t, unnest(range(1, length(t) - 1)) AS u(i)) SELECT g AS gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 3")
+@query("character_trigrams", "WITH t AS (SELECT regexp_extract_all(replace(lower(text), 'ς', 'σ'), '(?s).') AS c FROM documents WHERE length(text) >= 3), g AS (SELECT unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM t) SELECT g AS gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 3")
 def character_trigrams(spark, d):
-    t = table(spark, d, "documents").where(F.length("title") >= 3).select(F.lower("title").alias("t"))
-    g = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3)))).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
+    t = table(spark, d, "documents").where(F.length("text") >= 3).select(F.split(F.replace(F.lower("text"), F.lit("ς"), F.lit("σ")), "").alias("c"))
+    # runs of three by position: each text is cut into its characters once
+    g = t.select(F.explode(F.arrays_zip(F.col("c").alias("a"), F.slice("c", 2, F.size("c")).alias("b"), F.slice("c", 3, F.size("c")).alias("e"))).alias("x")).where("x.e is not null")
+    return g.groupBy(F.concat("x.a", "x.b", "x.e").alias("gram")).agg(F.count("*").alias("n")).where("n >= 3")
 
 
 @query("sentence_token_counts", f"WITH {SEN}, {TOK}, n AS (SELECT sentence_id, count(*) AS n FROM tok GROUP BY 1) SELECT s.sentence_id, s.token_count AS stored, coalesce(n.n, 0) AS counted FROM sen s LEFT JOIN n USING (sentence_id) WHERE s.token_count IS NULL OR s.token_count <> coalesce(n.n, 0)")

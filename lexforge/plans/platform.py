@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexforge.operators import agreement, upkeep
+from lexforge.operators import agreement, dedup, upkeep
 from lexforge.plans import base
 from lexforge.plans.base import DOC, META, SEN, TOK
 from lexforge.plans.catalog import query
@@ -183,9 +183,9 @@ def script_shares(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", *[F.length(F.regexp_replace("text", rf"[^\p{{{v}}}]", "")).cast("long").alias(k) for k, v in names.items()])
 
 
-@query("word_frequency", """SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) >= 5""")
+@query("word_frequency", """SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(lower(text), 'ς', 'σ'), '[\\p{L}\\p{M}]+')) AS word FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) >= 5""")
 def word_frequency(spark, d):
-    w = table(spark, d, "documents").where("text is not null").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
+    w = table(spark, d, "documents").where("text is not null").select(F.explode(F.regexp_extract_all(F.replace(F.lower("text"), F.lit("ς"), F.lit("σ")), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
 
 
@@ -216,18 +216,13 @@ def training_rows(spark, d):
     return exporters.training_rows(_items(spark, d))
 
 
-@query("shingle_overlap_titles", f"""WITH {META}, w AS (SELECT item_id, list_distinct(string_split(lower(title), ' ')) AS s, title FROM meta WHERE title IS NOT NULL), p AS (SELECT item_id, unnest(s) AS t, len(s) AS n FROM w), g AS (SELECT t FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20)
-SELECT a.item_id AS item_a, b.item_id AS item_b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM p a JOIN p b ON a.t = b.t AND a.item_id < b.item_id WHERE a.t IN (SELECT t FROM g) GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5""")
+@query("shingle_overlap_titles", f"""WITH {META}, t AS (SELECT lower(title) AS title, min(item_id) AS rep FROM meta WHERE title IS NOT NULL GROUP BY 1), p AS (SELECT rep, unnest(list_distinct(string_split(title, ' '))) AS w, len(list_distinct(string_split(title, ' '))) AS n FROM t)
+SELECT a.rep AS item_a, b.rep AS item_b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM p a JOIN p b ON a.w = b.w AND a.rep < b.rep GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5 - 1e-9""")
 def shingle_overlap_titles(spark, d):
-    """Titles that share rare words: only words of 2 to 20 titles make pairs, a bound that is part of the measure."""
-    w = base.metadata(spark, d).where("title is not null").select("item_id", F.array_distinct(F.split(F.lower("title"), " ")).alias("s"))
-    p = w.select("item_id", F.explode("s").alias("t"), F.size("s").alias("n"))
-    rare = p.groupBy("t").agg(F.count("*").alias("k")).where("k between 2 and 20").select("t")
-    p = p.join(rare, "t")
-    a, b = p.select("t", F.col("item_id").alias("item_a"), F.col("n").alias("na")), p.select("t", F.col("item_id").alias("item_b"), F.col("n").alias("nb"))
-    j = a.join(b, "t").where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    x = j.select("item_a", "item_b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
-    return x.where("jaccard >= 0.5").withColumn("jaccard", R(F.col("jaccard")))
+    """Pairs of different titles that share half of their words or more; each title by the first item that bears it."""
+    t = base.metadata(spark, d).where("title is not null").groupBy(F.lower("title").alias("title")).agg(F.min("item_id").alias("rep"))
+    sets = t.select("rep", F.transform(F.array_distinct(F.split("title", " ")), lambda x: F.xxhash64(x)).alias("s"))
+    return dedup.similar(sets, 0.5).select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), R(F.col("jaccard")).alias("jaccard"))
 
 
 # ------------------------------------------------------------ agreement

@@ -29,6 +29,14 @@ def proiel(tokens: DataFrame) -> DataFrame:
     return rows.select("sentence_id", F.concat(F.lit('<sentence id="'), F.col("sentence_id").cast("string"), F.lit('">'), body, F.lit("</sentence>")).alias("xml"))
 
 
+def proiel_documents(tokens: DataFrame) -> DataFrame:
+    """(document_id, xml): a whole file with its sentences, in order. A document is bounded."""
+    s = proiel(tokens).join(tokens.select("sentence_id", "document_id").distinct(), "sentence_id")
+    doc = s.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("sentence_id", "xml"))).alias("x"))
+    body = F.array_join(F.transform("x", lambda r: r["xml"]), "\n")
+    return doc.select("document_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<proiel schema-version="3.0"><source id="'), F.col("document_id").cast("string"), F.lit('">\n'), body, F.lit("\n</source></proiel>")).alias("xml"))
+
+
 def tei(items: DataFrame) -> DataFrame:
     """(id, tei): one document with title, author and text, escaped."""
     e = lambda c: escape_xml(F.coalesce(F.col(c), F.lit("")))

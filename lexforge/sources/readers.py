@@ -12,13 +12,15 @@ def _blank(c):
     return F.when(c != "_", c)
 
 
-def parse_conllu(texts: DataFrame, column: str = "value") -> DataFrame:
+def parse_conllu(texts: DataFrame, column: str = "value", record: str | None = None) -> DataFrame:
     """Tokens of CoNLL-U texts: ten tab-separated columns, a blank line ends a sentence; ranges, empty nodes and lines of another shape are
-    passed over. Columns as in TOKEN, and sentence_text from `# text`. A sentence without `# sent_id` has a null id."""
-    blocks = texts.select(F.posexplode(F.split(F.regexp_replace(column, r"\r\n?", "\n"), r"\n[ \t]*\n")).alias("block_no", "b"))
+    passed over. Columns as in TOKEN, and sentence_text from `# text`. A sentence without `# sent_id` has a null id;
+    `block_no` tells it from others of its text, or with `record` (a number for each text) from all others."""
+    own = F.col(record) if record else F.lit(None)
+    blocks = texts.select(own.alias("r"), F.posexplode(F.split(F.regexp_replace(column, r"\r\n?", "\n"), r"\n[ \t]*\n")).alias("block_no", "b"))
     lines = blocks.select(
         F.nullif(F.regexp_extract("b", r"(?m)^#\s*sent_id\s*=\s*(.*)$", 1), F.lit("")).alias("sentence_id"), F.nullif(F.regexp_extract("b", r"(?m)^#\s*text\s*=\s*(.*)$", 1), F.lit("")).alias("sentence_text"),
-        "block_no", F.explode(F.split("b", "\n")).alias("line"),
+        (F.xxhash64("r", "block_no") if record else F.col("block_no").cast("long")).alias("block_no"), F.explode(F.split("b", "\n")).alias("line"),
     )
     cells = lines.where(~F.col("line").startswith("#")).withColumn("c", F.split("line", "\t")).where("size(c) = 10").where(F.col("c")[0].rlike(r"^\d+$"))
     c = lambda k: F.col("c")[k]
@@ -29,12 +31,15 @@ def parse_conllu(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
-    """Files of CoNLL-U. The record separator is the blank line, so a large file is split, not held whole."""
-    return parse_conllu(spark.read.option("lineSep", "\n\n").text(path))
+    """Files of CoNLL-U. The record separator is the blank line, so a large file is split, not held whole (but for one with carriage returns)."""
+    return parse_conllu(spark.read.option("lineSep", "\n\n").text(path).withColumn("_r", F.monotonically_increasing_id()), record="_r")
 
 
 #: Parts of speech of the PROIEL scheme (fixed values).
-PROIEL_POS = {"V-": "VERB", "Nb": "NOUN", "Ne": "PROPN", "A-": "ADJ", "Df": "ADV", "R-": "ADP", "C-": "CCONJ", "G-": "SCONJ", "S-": "DET", "Pp": "PRON", "Pd": "PRON", "Pr": "PRON", "Pi": "PRON", "Ma": "NUM", "Mo": "NUM", "I-": "INTJ", "F-": "X"}
+PROIEL_POS = {
+    "V-": "VERB", "Nb": "NOUN", "Ne": "PROPN", "A-": "ADJ", "Df": "ADV", "Dq": "ADV", "Du": "ADV", "R-": "ADP", "C-": "CCONJ", "G-": "SCONJ", "S-": "DET", "Pp": "PRON", "Pk": "PRON", "Ps": "DET", "Pd": "DET", "Pi": "PRON", "Pr": "PRON",
+    "Px": "PRON", "Pc": "PRON", "Ma": "NUM", "Mo": "ADJ", "I-": "INTJ", "N-": "PART", "X-": "PUNCT", "F-": "X",
+}
 #: Values of the ten positions of a morphology tag (fixed values).
 PROIEL_MORPH = (
     ("Person", {"1": "1", "2": "2", "3": "3"}), ("Number", {"s": "Sing", "d": "Dual", "p": "Plur"}), ("Tense", {"p": "Pres", "i": "Imp", "a": "Past", "f": "Fut", "r": "Perf", "l": "Pqp", "t": "FutPerf", "u": "Past"}),
@@ -70,13 +75,14 @@ def _xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row).option("mode", "DROPMALFORMED").schema(schema).load(path)
 
 
-def proiel(spark: SparkSession, path: str) -> DataFrame:
-    """Tokens of PROIEL XML. Ids may be numbers or words with a number ("t12"); both tag dialects (part-of-speech with morphology, postag) are read."""
-    att = "array<struct<_id: string, _form: string, _lemma: string, `_part-of-speech`: string, _morphology: string, _postag: string, `_head-id`: string, _relation: string>>"
-    s = _xml(spark, path, "sentence", f"_id string, token {att}")
+_PROIEL = "_id string, token array<struct<_id: string, _form: string, _lemma: string, `_part-of-speech`: string, _morphology: string, _postag: string, `_head-id`: string, _relation: string>>"
+
+
+def _proiel_tokens(s: DataFrame) -> DataFrame:
     t = s.select(F.col("_id").alias("sentence_id"), F.posexplode("token").alias("p", "t")).where("t._form is not null")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '([0-9]+)$', 1) as bigint)")
-    pos = F.coalesce(_map(PROIEL_POS, F.col("t.`_part-of-speech`")), _map(AGDT_POS, F.substring("t._postag", 1, 1)))
+    own = F.col("t.`_part-of-speech`")  # a code without a meaning is an X
+    pos = F.coalesce(_map(PROIEL_POS, own), F.when(own.isNotNull(), "X"), _map(AGDT_POS, F.substring("t._postag", 1, 1)))
     feats = F.coalesce(decode_tag(F.col("t._morphology"), PROIEL_MORPH), decode_tag(F.col("t._postag"), AGDT_MORPH, 2))
     return t.select(
         "sentence_id", F.coalesce(number("t._id"), (F.col("p") + 1).cast("long")).alias("token_index"), F.col("t._form").alias("form"), F.col("t._lemma").alias("lemma"), pos.alias("upos"), F.coalesce("t._morphology", "t._postag").alias("xpos"), feats.alias("feats"),
@@ -84,6 +90,16 @@ def proiel(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def proiel(spark: SparkSession, path: str) -> DataFrame:
+    """Tokens of PROIEL XML files. Ids may be numbers or words with a number ("t12"); both tag dialects (part-of-speech with morphology, postag) are read."""
+    return _proiel_tokens(_xml(spark, path, "sentence", _PROIEL))
+
+
+def parse_proiel(sentences: DataFrame, column: str = "xml") -> DataFrame:
+    """Tokens of single sentence elements in a column."""
+    return _proiel_tokens(sentences.select(F.from_xml(column, _PROIEL).alias("s")).select("s.*"))
+
+
 def agdt(spark: SparkSession, path: str) -> DataFrame:
     """Tokens of dependency-treebank XML with `word` elements and nine-place tags."""
     s = _xml(spark, path, "sentence", "_id string, word array<struct<_id: string, _form: string, _lemma: string, _postag: string, _head: string, _relation: string>>")

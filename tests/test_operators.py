@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.functions import association as a
-from lexforge.functions import html, text
-from lexforge.operators import agreement, classify, cql, diachrony, lexis, trees, upkeep, vectors
+from lexforge.functions import html, normalise, text
+from lexforge.operators import agreement, classify, cql, dedup, diachrony, entities, lexis, morphology, trees, upkeep, vectors
 
 TOKENS = "token_id long, sentence_id long, document_id long, token_index long, form string, lemma string, upos string, head long, deprel string, feats string"
 
@@ -41,7 +41,7 @@ def brute(query, sentences):
                 yield n
             return
         step = steps[k]
-        for reps in range(step.least, step.most + 1):
+        for reps in range(step.least, (len(s) if step.most is None else step.most) + 1):
             if i + reps <= len(s) and all(holds(step.test, s[i + q]) for q in range(reps)):
                 yield from walk(s, i + reps, k + 1, n + reps)
 
@@ -52,10 +52,10 @@ def brute(query, sentences):
     return out
 
 
-@pytest.mark.parametrize("query", ['[pos="A"] []{0,2} [pos="B"]', '"x" [pos!="B"]', '[word="x" | pos="B"]{2}', '[!(word="x") & pos="A"] "y"?', '[word="x"]+ within s'])
+@pytest.mark.parametrize("query", ['[pos="A"] []{0,2} [pos="B"]', '"x" [pos!="B"]', '[word="x" | pos="B"]{2}', '[!(word="x") & pos="A"] "y"?', '[word="x"]+ within s', '[pos="A"]* "x" []*', '[word="x"]{2,} [pos="B"]?', '[]{0,25} "y"', '[pos="A" | pos="B"]{21}'])
 def test_cql_against_brute_force(spark, query):
     g = random.Random(3)
-    sentences = [[(g.choice(["x", "y", "X", None]), g.choice(["A", "B", None])) for _ in range(g.randint(1, 9))] for _ in range(40)]
+    sentences = [[(g.choice(["x", "y", "X", None]), g.choice(["A", "B", None])) for _ in range(g.randint(1, 9))] for _ in range(40)] + [[("x", "A")] * 23]
     got = {(r["sentence_id"], r["start"], r["length"]) for r in cql.search(tokens(spark, sentences), query).collect()}
     assert got == brute(query, sentences)
 
@@ -156,7 +156,72 @@ def test_lemmas_and_stems_of_all_scripts(spark, tmp_path):
     kinds = "token_id long, sentence_id long, document_id long, token_index long, form string, lemma string, upos string, head long, deprel string, feats string"
     data = [(k, k, k % 3, 1, form, lemma, None, 0, None, None) for k, (form, lemma) in enumerate(rows)]
     spark.createDataFrame([*data, data[0]], kinds).write.parquet(f"{tmp_path}/tokens.parquet")
-    lemmas = {r["lemma"]: r["n"] for r in catalog.queries()["lexicon_lemmas_whole"](spark, str(tmp_path)).collect()}
+    lemmas = {r["lemma"]: r["n"] for r in catalog.queries()["lexicon_lemmas"](spark, str(tmp_path)).collect()}
     assert lemmas == {"λόγος": 2, "книга": 1, "手稿": 1, "नदी": 1, "été": 2, "walk": 1, "neu": 1}
-    stems = {r["stem"]: (r["n"], r["forms"]) for r in catalog.queries()["stems_whole"](spark, str(tmp_path)).collect()}
+    stems = {r["stem"]: (r["n"], r["forms"]) for r in catalog.queries()["stems"](spark, str(tmp_path)).collect()}
     assert stems["walk"] == (1, 1) and {"книги", "手稿", "नदी", "été", "ete"} <= set(stems) and sum(n for n, _ in stems.values()) == 9
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_similar_sets_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(dedup, "HOT", hot)  # small groups are split as well
+    g = random.Random(9)
+    sets = []
+    for k in range(60):
+        base = sets[g.randrange(len(sets))][1] if sets and g.random() < 0.6 else [g.randrange(40) for _ in range(g.randint(1, 25))]
+        sets.append((k, sorted({x if g.random() < 0.93 else g.randrange(400) for x in base})))
+    df = spark.createDataFrame([*sets, (99, [])], "rep long, s array<long>").selectExpr("*", "1 as n", "2 as x")
+    for t in (0.5, 0.8):
+        want = {(i, j): len(set(a) & set(b)) for i, a in sets for j, b in sets if i < j and len(set(a) & set(b)) >= t * len(set(a) | set(b)) - 1e-9}
+        assert {(r["a"], r["b"]): r["same"] for r in dedup.similar(df, t).collect()} == want
+    assert dedup.similar(df.limit(0), 0.8).count() == 0
+
+
+def test_classes_of_near_duplicates(spark):
+    w = [f"w{k}" for k in range(80)]
+    near = [*w[:40], "other", *w[41:]]
+    rows = [(1, " ".join(w)), (2, " ".join(near)), (3, "  ".join(w).upper()), (4, "too short"), (5, None), (6, ""), (7, " ".join(w[:40])), (8, "too short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as rep", "'x' as h")
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in dedup.classes(df, "doc_id", "text").collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 0), 6: (6, 0), 7: (7, 0), 8: (4, 0)}
+    assert dedup.classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_shingles_of_a_long_text_take_linear_time(spark):
+    df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(60_000)),)], "t string")
+    assert df.select(F.size(text.shingles(F.col("t"), 5))).first()[0] == 59_996
+
+
+def test_entities_and_benchmarks(spark):
+    t = spark.createDataFrame([(1, 1, "Homer", "PROPN"), (1, 2, "1901", "NUM"), (1, 3, "Athens", "NOUN"), (1, 4, None, "X"), (1, 5, "Zeno", "PROPN"), (1, 6, "sea", "NOUN")], "sentence_id long, token_index long, form string, upos string")
+    g = spark.createDataFrame([("Athens", "LOC"), ("Homer", "PER"), ("Homer", "POET")], "form string, type string")
+    got = {r["form"]: (r["type"], r["source"], r["confidence"]) for r in entities.recognise(t, g, {"DATE": "^[0-9]{4}$"}).collect()}
+    assert got == {"Homer": ("PER", "gazetteer", 1.0), "1901": ("DATE", "pattern", 1.0), "Athens": ("LOC", "gazetteer", 1.0), "Zeno": ("PER", "tag", 0.7)}
+    spans = spark.createDataFrame([(1, 0, 1, "PER", 0.9), (1, 0, 1, "PER", 0.5), (1, 2, 3, "LOC", 0.9), (1, 4, 5, "PER", 0.5), (1, 4, 5, "PER", 0.6)], "sentence_id long, start long, end long, label string, confidence double")
+    assert [(r["start"], r["models"]) for r in entities.merge(spans).collect()] == [(0, 2)]
+    runs = spark.createDataFrame([("a", 1.0, True, 0.8), ("a", 1.0, False, 0.1)], "model string, seconds double, ok boolean, confidence double")
+    r = entities.benchmark(runs).first()
+    assert (r["samples"], r["success_rate"], r["average_confidence"]) == (2, 0.5, 0.8) and math.isclose(r["score"], 0.35 + 0.15)
+
+
+def test_roots(spark):
+    roots = spark.createDataFrame([("bher",), ("gno",), ("xyz",), (None,)], "lemma string")
+    got = {(r["root"], r["grade"]): r["form"] for r in morphology.grades(roots, "lemma").collect()}
+    assert got[("bher", "o-grade")] == "bhor" and got[("gno", "zero-grade")] == "gn" and len(got) == 10
+    cognates = spark.createDataFrame([("ph2ter", "father", "grc", "pater"), ("ph2ter", "father", "la", "pater2")], "root string, meaning string, language string, form string")
+    loans = spark.createDataFrame([("taxi", "french")], "form string, source string")
+    e = {r["lemma"]: r for r in morphology.etymology(spark.createDataFrame([("pater",), ("taxi",), ("none",)], "lemma string"), cognates, loans).collect()}
+    assert e["pater"]["cognates"] == ["grc:pater", "la:pater2"] and e["taxi"]["loan_source"] == "french" and e["none"]["root"] is None
+    forms = spark.createDataFrame([(1, "grc", "phero"), (1, "la", "fero"), (1, "sa", "bhara"), (2, "xx", "abc")], "set_id long, language string, form string")
+    r = morphology.reconstruct(forms, {"grc": {"p": "b"}, "la": {"f": "b"}, "sa": {"a": "e"}}).collect()
+    assert [(x["set_id"], x["confidence"]) for x in r] == [(1, 0.75)] and r[0]["form"].startswith("*b")
+
+
+def test_normal_forms(spark):
+    df = spark.createDataFrame([("[12] λόγοσ  ⟨καί⟩ 14 τέλος†", "grc"), ("ā “b” ’c’", "en"), ("ā ē", "la"), (None, "en"), ("", None)], "t string, lang string")
+    assert [r[0] for r in df.select(normalise.full(F.col("t"))).collect()] == ["λόγος καί τέλος", "ā “b” ’c’", "ā ē", None, ""]
+    assert [r[0] for r in df.select(normalise.by_language(F.col("t"), F.col("lang"))).collect()][1:] == ['ā "b" \'c\'', "a e", None, ""]
+    q = spark.createDataFrame([("short",), (None,), ("The quick brown fox jumps over a lazy dog near " * 2 + "<b>",)], "t string").select(normalise.quality(F.col("t"))).collect()
+    assert q[0][0] == 0 and q[1][0] == 0 and math.isclose(q[2][0], 0.7 * 0.6)
+    s = spark.createDataFrame([("Cf. p. 12 here. Βλ. cod. A; end",)], "t string").select(normalise.split_by_tokens(F.col("t"), ".;", ("Cf", "p", "cod")).alias("p")).first()["p"]
+    assert s == ["Cf. p. 12 here.", "Βλ.", "cod. A;", "end"]
