@@ -41,7 +41,7 @@ MOST = 12.0
 
 _LIST_MARK = regex.compile(r"^[*•\-–·▪‣]\s+")
 _NUMBERED = regex.compile(r"^(?:\p{N}+[.)]|[IVXLCDM]+[.)]|§|\p{L}{1,3}ʹ|\(\p{N}+\))\s?")
-_ENDED = regex.compile(r"[.!?;:。！？；।॥|·,，»”\"“)]$")
+_ENDS = frozenset(".!?;:。！？；।॥|·,，»”\"“)")
 _TOKEN = regex.compile(r"\p{Han}+|[\p{L}\p{M}]+")
 _BLANK, _DIGITS, _DIGIT = regex.compile(r"\s+"), regex.compile(r"\p{N}+"), regex.compile(r"\p{N}")
 _HAN, _INDIC, _HOST = regex.compile(r"\p{Han}"), regex.compile(r"[ऀ-ॿ]"), regex.compile(r"^[a-z]+://([^/:]+)")
@@ -71,7 +71,7 @@ def _terms(token: str) -> list[str]:
 
 def _shape(s: str, words: int) -> tuple[str, ...]:
     """Names of the features of a line's shape."""
-    end = "…" if s.endswith(("…", "...")) else "." if _ENDED.search(s) else "-"
+    end = "…" if s.endswith(("…", "...")) else "." if s[-1] in _ENDS else "-"
     if len(s) > LONG:
         return (f"end {end}", f"long end {end}", "long")
     size = len(s) // 2 if words and _HAN.search(s) else words
@@ -98,7 +98,7 @@ def _shape(s: str, words: int) -> tuple[str, ...]:
 
 def _entry_traits(s: str) -> tuple[tuple, ...]:
     """What tells an entry of a side list from other lines: its end and beginning, and the length of a line without an end."""
-    end = "…" if s.endswith(("…", "...")) else "." if _ENDED.search(s) else "-"
+    end = "…" if s.endswith(("…", "...")) else "." if s[-1] in _ENDS else "-"
     out = [("end", end), ("numbered", bool(_NUMBERED.match(s))), ("small", s[:1].islower())]
     if end == "-":
         han = len(_HAN.findall(s))
@@ -108,8 +108,8 @@ def _entry_traits(s: str) -> tuple[tuple, ...]:
     return tuple(out)
 
 
-def _lines(text: str) -> list[tuple[int, str]]:
-    """(number, restored form without white space around) of the non-empty lines."""
+def _lines(text: str, whole: bool = False) -> list[tuple[int, str]]:
+    """(number, restored form without white space around) of the non-empty lines; look-alikes are respelt in short lines, or with `whole` in all."""
     raw = text.split("\n")
     plain = raw
     if suspect(text):
@@ -117,7 +117,7 @@ def _lines(text: str) -> list[tuple[int, str]]:
         plain = fix(text)[0].split("\n")
         if len(plain) != len(raw):
             plain = [fix(x)[0] for x in raw]
-        plain = [x if len(x) > LONG or _CLEAN.fullmatch(x) else normalise(x)[0] for x in plain]
+        plain = [x if len(x) > LONG and not whole or _CLEAN.fullmatch(x) else normalise(x)[0] for x in plain]
     return [(n, p.strip() or r.strip()) for n, (r, p) in enumerate(zip(raw, plain), 1) if r.strip()]
 
 
@@ -219,7 +219,7 @@ def fit(pages: Iterable[tuple[str, str | None]]) -> Weights:
         if not m or f.endswith("cod.") or m.start() >= 40:
             return False
         if m.group().strip() == ":":
-            return len(f) <= LONG and not _ENDED.search(f) and len(seen[f[: m.end()]]) >= least
+            return len(f) <= LONG and f[-1] not in _ENDS and len(seen[f[: m.end()]]) >= least
         return again(f[: m.start()].strip())
 
     def lemma(f: str) -> str:
@@ -238,7 +238,7 @@ def fit(pages: Iterable[tuple[str, str | None]]) -> Weights:
                 x = follow[lemma(f)]
                 x[1] += 1
                 two = lines[k + 1 : k + 3]
-                x[0] += len(two) == 2 and all(not verdict[g] and len(t) <= 90 and (not _ENDED.search(t) or t.endswith(("…", "..."))) for t, g, _ in two)
+                x[0] += len(two) == 2 and all(not verdict[g] and len(t) <= 90 and (t[-1] not in _ENDS or t.endswith(("…", "..."))) for t, g, _ in two)
     heads = {f for f, (a, n) in follow.items() if n >= LEAST and a >= HEADS * n}
     heads = {f for f, p in verdict.items() if p and lemma(f) in heads}
     # the entries: the first line behind a head against lines of text that stand elsewhere

@@ -184,6 +184,7 @@ class Network:
             gates, state, U, V = self.tables[d]
             W = p["W"][k * H : (k + 1) * H]
             h = np.zeros((n, H), np.float32)
+            states = np.empty((t, n, H), np.float32)
             for s in range(t) if d == "f" else range(t - 1, -1, -1):
                 np.matmul(h, U, out=zr)
                 for q, table in enumerate(gates):
@@ -203,7 +204,8 @@ class Network:
                 h += c
                 if d == "b":
                     h[lengths <= s] = 0
-                logits[s] += h @ W
+                states[s] = h
+            logits += (states.reshape(-1, H) @ W).reshape(t, n, -1)
         logits -= logits.max(axis=2, keepdims=True)
         logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
         return logits.transpose(1, 0, 2)
@@ -244,7 +246,7 @@ def pool(network: Network, units: list[bytes], block: int = 768) -> np.ndarray:
 
 def prose(text: str, weights: Weights, site: str = "") -> list[tuple[int, str]]:
     """(offset, sentence) of all lines of a text but those of the page; a verse or heading is a unit of its own. Offsets count in the restored text."""
-    lines = boilerplate._lines(text)
+    lines = boilerplate._lines(text, whole=True)
     gone = set(boilerplate.page_lines(text, weights, site, lines))
     out, at, last = [], 0, 1
     for n, line in lines:
