@@ -348,11 +348,12 @@ def _scan(lines: list[tuple[int, float, float, float]]) -> set[int]:
     return kept or {n for n, value, *_ in lines if value > -RUN}  # where no run is worth its price, doubtful lines are the text
 
 
-def page_lines(text: str, weights: Weights, site: str = "", lines: list[tuple[int, str]] | None = None) -> list[int]:
-    """Numbers (from 1, empty lines counted) of the non-empty lines that belong to the page; `lines` are those of _lines, if they are known."""
+def page_lines(text: str, weights: Weights, site: str = "", lines: list[tuple[int, str]] | None = None, short: bool = False) -> list[int]:
+    """Numbers (from 1, empty lines counted) of the non-empty lines that belong to the page; `lines` are those of _lines, if they are known. With
+    `short` only lines up to LONG can be the page's and longer ones aren't weighed: quicker, for callers who ask what the text is and not where it ends."""
     rows, listed = [], False
     for n, s in _lines(text) if lines is None else lines:
-        value = weights.score(s, site)
+        value = MOST if short and len(s) > LONG else weights.score(s, site)
         head = weights.head_odds(s, site) if value < 0 and weights.head else -1.0
         rows.append((n, value, head, weights.entry_odds(s) if listed else -MOST))  # entries only stand behind a head
         listed = listed or head > 0

@@ -132,28 +132,44 @@ def normalise(text: str, context: str | None = None) -> tuple[str, int]:
     return "\n".join(out), changes
 
 
+_UNSEEN = regex.compile(f"[{INVISIBLE}{SPACES}]")
+#: Characters that _compatible may replace.
+_VARIANT = regex.compile("[" + "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000)]) if unicodedata.decomposition(c).startswith(("<wide>", "<narrow>", "<font>", "<compat>"))) + "]")
+_COUNTS: dict[str, Counter] = {}
+
+
+def _scripts(word: str) -> Counter:
+    """How many letters of a word belong to each script; counts of words met are kept."""
+    got = _COUNTS.get(word)
+    if got is None:
+        if len(_COUNTS) > 200_000:
+            _COUNTS.clear()
+        got = _COUNTS[word] = Counter(s for c in word if (s := _letter(c)[0]))
+    return got
+
+
 def _line(text: str, context: str | None) -> tuple[str, int]:
     changes = 0
-    kept = []
-    for k, ch in enumerate(text):
-        if ch in INVISIBLE and not (ch in "‌‍" and k and text[k - 1] == VIRAMA):
-            changes += 1
-        elif ch in SPACES:
-            kept.append(" ")
-            changes += 1
-        else:
-            kept.append(ch)
-    text = "".join(kept)
+    if _UNSEEN.search(text):
+        kept = []
+        for k, ch in enumerate(text):
+            if ch in INVISIBLE and not (ch in "‌‍" and k and text[k - 1] == VIRAMA):
+                changes += 1
+            elif ch in SPACES:
+                kept.append(" ")
+                changes += 1
+            else:
+                kept.append(ch)
+        text = "".join(kept)
     new = unicodedata.normalize("NFC", text)
     if new != text:
         changes, text = changes + 1, new
-    new = _compatible(text)
-    if new != text:
-        changes, text = changes + 1, new
+    if _VARIANT.search(text):
+        new = _compatible(text)
+        if new != text:
+            changes, text = changes + 1, new
     out, at = [], 0
-    words = []
-    for m in _WORD.finditer(text):
-        words.append((m.start(), m.group(), Counter(s for c in m.group() if (s := _letter(c)[0]))))
+    words = [(m.start(), m.group(), _scripts(m.group())) for m in _WORD.finditer(text)]
     sure = []  # scripts that stand beyond doubt: a letter without look-alikes
     for s, w, count in words:
         only = next(iter(count)) if len(count) == 1 else None

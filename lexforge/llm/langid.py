@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import glob
 import os
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -38,8 +39,7 @@ FRAME, HIDDEN, WINDOW = 4, 20, 48  # bytes a frame, units a direction, frames a
 #: Of each language so many sentences are read again to find wrong labels.
 SAMPLE_DOCUMENTS, STEPS, BATCH, TRAIN_FRAMES, UNITS = 1500, 260, 176, 20, 3000
 SENTENCES_OF_A_SECOND, STANZA = 3, 6  # so many verses of another language count as three sentences
-_UNIT = regex.compile(r"[^.!?;。！？।॥]*+(?:[.!?;।॥]++(?:[”»“\"’)]*+(?=\s|$)\s*+|)|[。！？]++[”]?+|$)")
-_MARK = regex.compile(r"[.!?;。！？।॥]")
+_END = re.compile(r"[.!?;।॥]+(?:[”»“\"’)]*(?:\s+|$))|[。！？]+”?\s*")
 _CLOSED = regex.compile(r"[.!?;。！？।॥…][”»“\"’)]*\s*$")
 
 
@@ -247,19 +247,18 @@ def pool(network: Network, units: list[bytes], block: int = 768) -> np.ndarray:
 def prose(text: str, weights: Weights, site: str = "") -> list[tuple[int, str]]:
     """(offset, sentence) of all lines of a text but those of the page; a verse or heading is a unit of its own. Offsets count in the restored text."""
     lines = boilerplate._lines(text, whole=True)
-    gone = set(boilerplate.page_lines(text, weights, site, lines))
+    gone = set(boilerplate.page_lines(text, weights, site, lines, short=True))
     out, at, last = [], 0, 1
     for n, line in lines:
         at += n - last  # line breaks
         last = n
         if n not in gone:
             s = 0
-            for m in _UNIT.finditer(line) if _MARK.search(line) else ():
+            for m in _END.finditer(line):
                 e = m.end()
-                if e > s and (e == len(line) or line[e - 1].isspace() or line[e - 1] in "。！？”"):
-                    if e - s > 20 or e == len(line):  # abbreviations stay with their sentence
-                        out.append((at + s, line[s:e]))
-                        s = e
+                if e - s > 20:  # abbreviations stay with their sentence
+                    out.append((at + s, line[s:e]))
+                    s = e
             if s < len(line):
                 out.append((at + s, line[s:]))
         at += len(line)

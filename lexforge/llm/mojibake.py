@@ -38,7 +38,11 @@ LATIN = "äöüßÄÖÜéèêàâîïçùûôœæñáíóúìòëÀÉÈÇÁÍÓ
 DOUBLE, DOUBLE_WRONG = ("gb18030", "big5"), ("cp1252", "latin-1")
 OPENING, CLOSING = "“„«‘\"'‚‹「『(", "”“»’\"'‘›」』)"
 ROUNDS = 3
+#: Letters of a run that prove a pair of single-byte encodings by themselves; in a run of words that can't be words as they are; shorter runs follow a proven pair.
+PROVEN, SHORT = 8, 5
 _LETTERS, _LOST = regex.compile(r"\p{L}+"), regex.compile(r"[�\u0080-\u0084\u0086-\u009f]+")
+#: What is left of a quotation mark, dash or capital umlaut of which the control characters went missing: letters where no word of the languages has them.
+_BARE = regex.compile(r"(?<![\p{L}\p{M}])â(?=\p{Lu}|\s|$)|(?<=[\p{L}\p{M}\p{P}])â(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|$)|(?<=\p{Ll})Ã(?![\p{Lu}\u0080-\u00bf])|(?<!\p{L})Ã(?=\p{Ll})(?![\u0080-\u00bf])")
 _ACCENTED = regex.compile(r"[\u0080-\u00ff\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{6,}")
 
 #: Characters and neighbours that may be garbled or spelt with look-alikes, as classes of characters; texts without any need no restoring.
@@ -101,7 +105,7 @@ def _decode(raw: bytes, wrong: str) -> str:
 
 def _expected() -> list[str]:
     """Characters that garbled text may stand for: letters and marks of the scripts at hand and typographic signs."""
-    spans = ((0x386, 0x3CF), (0x1F00, 0x1FFF), (0x401, 0x402), (0x410, 0x452), (0x900, 0x980), (0x300, 0x315), (0x3001, 0x3003), (0xFF01, 0xFF20))
+    spans = ((0x100, 0x180), (0x386, 0x3CF), (0x1F00, 0x1FFF), (0x401, 0x402), (0x410, 0x452), (0x900, 0x980), (0x300, 0x315), (0x3001, 0x3003), (0xFF01, 0xFF20))
     letters = [chr(c) for a, b in spans for c in range(a, b) if unicodedata.name(chr(c), "")]
     twice = [_decode(bytes([b]), "cp1252") for b in range(0x80, 0x100)]  # what a first garbling leaves
     return [*dict.fromkeys([*letters, *LATIN, *"«»·–—―‘’“”„‚…¡¿§©°ʹ´¨®º ª€†½", *twice])]
@@ -219,26 +223,41 @@ class Repairer:
         code = np.where(code > 0xFFFF, np.uint32(0x20), code)
         word = np.r_[False, _LETTER[code], False]
         starts, stops = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
-        for (right, wrong, table, runs), kinds in zip(self.single, self.letters_of):
+        held: list[tuple] = []  # short runs, which count where another place has proven their pair
+
+        def judge(k: int, start: int, end: int, run: str, size: int, needed: int) -> None:
+            right, wrong, table, _ = self.single[k]
+            new = run.translate(table)
+            words, old = _LETTERS.findall(new), _LETTERS.findall(run)
+            if sum(w.islower() or w.istitle() for w in words) < 0.9 * len(words):
+                return
+            before = sum(w.islower() or w.istitle() for w in old) / max(1, len(old))
+            value = self._mean(new)
+            gain = value - self._mean(run)
+            if value < -2.5 or gain < (0.25 if len(words) > 2 else 0.5) or (before > 0.5 and not gain > 0.9):
+                return
+            if size < needed and (before or not gain > 0.9):
+                held.append((k, start, end, run, size))
+            elif start not in best or best[start][0] < value:
+                best[start] = (value, (start, end, new, f"{right} as {wrong}", True))
+
+        for k, ((_, wrong, _, runs), kinds) in enumerate(zip(self.single, self.letters_of)):
             if not (accents if wrong in ("cp1252", "latin-1", "mac_roman") else cases):
                 continue
             total = np.r_[0, np.cumsum(kinds[code])]
             inside = total[stops] - total[starts]
-            if inside[inside == stops - starts].sum() < 8:  # words wholly of such letters
+            if inside[inside == stops - starts].sum() < SHORT:  # words wholly of such letters
                 continue
             for m in runs.finditer(text):
-                run = m.group()
-                if sum(map(str.isalpha, run)) < 8:
-                    continue
-                new = run.translate(table)
-                words, old = _LETTERS.findall(new), _LETTERS.findall(run)
-                regular = sum(w.islower() or w.istitle() for w in words) / max(1, len(words))
-                before = sum(w.islower() or w.istitle() for w in old) / max(1, len(old))
-                value, gain = self._mean(new), self._mean(new) - self._mean(run)
-                if regular < 0.9 or value < -2.5 or gain < (0.25 if len(words) > 2 else 0.5) or (before > 0.5 and not gain > 0.9):
-                    continue
-                if m.start() not in best or best[m.start()][0] < value:
-                    best[m.start()] = (value, (m.start(), m.end(), new, f"{right} as {wrong}", True))
+                size = sum(map(str.isalpha, m.group()))
+                if size >= SHORT:
+                    judge(k, m.start(), m.end(), m.group(), size, PROVEN)
+                elif size > 1:
+                    held.append((k, m.start(), m.end(), m.group(), size))
+        proven = {x[1][3] for x in best.values()}
+        for k, start, end, run, size in held[:] if proven else ():
+            if f"{self.single[k][0]} as {self.single[k][1]}" in proven:
+                judge(k, start, end, run, size, 0)
         out, at = [], 0
         for _, span in sorted(best.values(), key=lambda x: x[1][0]):
             if span[0] >= at:
@@ -295,7 +314,9 @@ class Repairer:
         if text.isascii():
             return text, 0, False, ""
         proven, seen = 0, set()
-        for _ in range(ROUNDS):
+        for turn in range(ROUNDS):
+            if turn and not suspect(text):
+                break
             spans = self.spans(text)
             if sum(x[1] - x[0] for x in spans if x[4]) * 2 < len(text) - len(text.encode("ascii", "ignore")):  # else they explain most of what isn't ASCII
                 spans = self.letters(text) or spans
@@ -334,6 +355,17 @@ class Repairer:
                 ends[:] = marks + ends[at:]
             text = "".join([*parts, text[at:]])
         lost = 0
+        if "â" in text or "Ã" in text:
+            # which sign it was can't be told but from where it stands; the places of the others don't move
+            bare = [m.start() for m in _BARE.finditer(text) if not self.quoted(text, m.start(), m.end())]
+            lost = len(bare)
+            if bare:
+                signs = list(text)
+                for k in bare:
+                    if signs[k] == "â":
+                        after = text[k + 1 : k + 2]
+                        signs[k] = "–" if (k == 0 or text[k - 1].isspace()) and (after.isspace() or not after) else "“" if after.isalpha() else "”"
+                text = "".join(signs)
         for m in _LOST.finditer(text):
             lost += not self.quoted(text, m.start(), m.end())
         return text, proven + lost, lost > 0, ",".join(sorted(seen))
