@@ -174,7 +174,7 @@ class Network:
             self.tables[d] = gates, state, np.ascontiguousarray(0.5 * U[:, : 2 * H]), np.ascontiguousarray(0.5 * U[:, 2 * H :])
 
     def positions(self, frames: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-probabilities (N x T x languages); windows are padded at the end, where both directions idle."""
+        """Log-probabilities (T x N x languages); windows are padded at the end, where both directions idle."""
         p, H = self.p, self.h
         n, t, _ = frames.shape
         pair = [np.ascontiguousarray((frames[:, :, 2 * k].astype(np.int64) * 256 + frames[:, :, 2 * k + 1]).T) for k in range(FRAME // 2)]
@@ -206,14 +206,9 @@ class Network:
                     h[lengths <= s] = 0
                 states[s] = h
             logits += (states.reshape(-1, H) @ W).reshape(t, n, -1)
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-        return logits.transpose(1, 0, 2)
-
-
-def _frames(raw: bytes) -> np.ndarray:
-    pad = -len(raw) % FRAME
-    return np.frombuffer(raw + b" " * pad, dtype=np.uint8).reshape(-1, FRAME)
+        # states lie between -1 and 1, so the logits are bounded by the weights and need no shift
+        logits -= np.log(np.exp(logits) @ np.ones((logits.shape[2], 1), np.float32))
+        return logits
 
 
 def pool(network: Network, units: list[bytes], block: int = 768) -> np.ndarray:
@@ -221,23 +216,22 @@ def pool(network: Network, units: list[bytes], block: int = 768) -> np.ndarray:
     total = np.zeros((len(units), len(LANGUAGES)))
     count = np.ones(len(units))
     windows, owner = [], []
+    span = FRAME * WINDOW
     for k, raw in enumerate(units):
-        f = _frames(raw)
-        count[k] = max(1, len(f))
-        for s in range(0, len(f), WINDOW):
-            windows.append(f[s : s + WINDOW])
+        count[k] = max(1, -(-len(raw) // FRAME))
+        for s in range(0, len(raw), span):
+            windows.append(raw[s : s + span])
             owner.append(k)
     order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
     for b in range(0, len(order), block):
         part = order[b : b + block]
-        longest = len(windows[part[-1]])
-        frames = np.full((len(part), longest, FRAME), 32, dtype=np.uint8)
-        lengths = np.array([len(windows[i]) for i in part])
-        for j, i in enumerate(part):
-            frames[j, : len(windows[i])] = windows[i]
+        longest = -(-len(windows[part[-1]]) // FRAME)
+        lengths = np.array([-(-len(windows[i]) // FRAME) for i in part])
+        padded = b"".join([windows[i].ljust(longest * FRAME) for i in part])
+        frames = np.frombuffer(padded, dtype=np.uint8).reshape(len(part), longest, FRAME)
         logs = network.positions(frames, lengths)
-        logs[np.arange(longest)[None, :] >= lengths[:, None]] = 0
-        np.add.at(total, [owner[i] for i in part], logs.sum(axis=1))
+        inside = (np.arange(longest)[:, None] < lengths[None, :]).astype(np.float32)
+        np.add.at(total, [owner[i] for i in part], np.einsum("tnl,tn->nl", logs, inside))
     return total / count[:, None]
 
 
