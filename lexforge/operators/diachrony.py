@@ -46,18 +46,39 @@ def cohens_d(df: DataFrame, value: str, group: str, first: str, second: str) ->
     return s.withColumn("d", d).select("n1", "n2", "mean1", "mean2", "d", label.alias("label"))
 
 
+#: Chances of 0, 1, 2 ... events of a Poisson variable of mean 1, added up (fixed values).
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581)
+
+
+def _chance(key: Column, part: int) -> Column:
+    """An even number between 0 and 1 from eight hexadecimal digits of a digest."""
+    return (F.conv(F.substring(F.md5(key), 1 + 8 * part, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def _normal(key: Column) -> Column:
+    return F.sqrt(-2 * F.ln(_chance(key, 0))) * F.cos(2 * F.pi() * _chance(key, 1))
+
+
+def _key(*parts) -> Column:
+    return F.concat_ws("|", *[p.cast("string") for p in parts])
+
+
 def bootstrap_mean(df: DataFrame, value: str, group: str, rounds: int = 200, alpha: float = 0.05, seed: int = 7) -> DataFrame:
     """(group, mean, low, high, rounds): percentile interval of a mean.
 
-    Poisson weights by a hash of the row's values stand for drawing with replacement, so each row adds to all rounds where it lies: one aggregation of
-    partial sums, no collected sample, the same result whatever the partitions.
+    Rows are first counted by group and value, so what is multiplied by the rounds is the table of values, not the rows. How often a value that
+    occurs c times is drawn in a round is a Poisson number of mean c, by a digest of group, value and round (from 2 on by its normal approximation): no
+    collected sample, and the same result whatever the partitions.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.xxhash64(*df.columns).alias("h"))
-    rolls = rows.select("g", "x", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"), "h")
-    u = (F.pmod(F.xxhash64("h", "b", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).when(u < 0.99940581, 5).otherwise(6)
-    means = rolls.withColumn("w", weight).groupBy("g", "b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    whole = rows.groupBy("g").agg(F.avg("x").alias("mean"))
+    cells = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    rolls = cells.select("g", "x", "c", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
+    key = _key(F.col("g"), F.col("x").cast("decimal(38,6)"), F.col("b"), F.lit(seed))
+    one = F.lit(len(POISSON))
+    for k, p in reversed(list(enumerate(POISSON))):
+        one = F.when(_chance(key, 0) < p, F.lit(k)).otherwise(one)
+    weight = F.when(F.col("c") == 1, one.cast("double")).otherwise(F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * _normal(key))))
+    means = rolls.withColumn("w", weight).groupBy("g", "b").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    whole = cells.groupBy("g").agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
     ends = means.groupBy("g").agg(F.expr(f"percentile(m, array({alpha / 2}, {1 - alpha / 2}))").alias("q"))
     return whole.join(ends, "g").select(F.col("g").alias(group), "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), F.lit(rounds).alias("rounds"))
 
@@ -82,11 +103,16 @@ def semantic_shift(vectors: DataFrame, vector: str, group: str) -> DataFrame:
 def two_sample(df: DataFrame, value: str, group: str, first: str, second: str, rounds: int = 200, seed: int = 11) -> DataFrame:
     """(observed, p, rounds): difference of two means and the share of random relabellings with one at least as large.
 
-    A row's label in a round is a hash of the row and the round, so partial sums by round are all that is shuffled.
+    Rows are first counted by value; of the n rows of a value a binomial number (by its normal approximation from 2 on) gets the first label in a
+    round, by a digest of value and round. So the table of values is multiplied by the rounds, not the rows.
     """
-    x = df.where(F.col(value).isNotNull() & F.col(group).isin(first, second)).select((F.col(group) == first).alias("a"), F.col(value).cast("double").alias("x"), F.xxhash64(*df.columns).alias("h"))
-    seen = x.agg(F.abs(F.avg(F.when(F.col("a"), F.col("x"))) - F.avg(F.when(~F.col("a"), F.col("x")))).alias("observed"), F.avg(F.col("a").cast("double")).alias("share"))
-    rolls = x.select("x", "h", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).crossJoin(F.broadcast(seen))
-    drawn = (F.pmod(F.xxhash64("h", "b", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)) < F.col("share")
-    r = rolls.groupBy("b").agg(F.abs(F.avg(F.when(drawn, F.col("x"))) - F.avg(F.when(~drawn, F.col("x")))).alias("d"), F.first("observed").alias("observed"))
-    return r.agg(F.first("observed").alias("observed"), F.avg((F.col("d") >= F.col("observed")).cast("double")).alias("p"), F.count("*").alias("rounds"))
+    x = df.where(F.col(value).isNotNull() & F.col(group).isin(first, second)).groupBy(F.col(value).cast("double").alias("x")).agg(F.count_if(F.col(group) == first).alias("a"), F.count("*").alias("n"))
+    sums = x.agg(F.sum("a").alias("na"), F.sum("n").alias("nn"), F.sum(F.col("a") * F.col("x")).alias("sa"), F.sum(F.col("n") * F.col("x")).alias("sn"))
+    seen = sums.select(F.abs(F.col("sa") / F.col("na") - (F.col("sn") - F.col("sa")) / (F.col("nn") - F.col("na"))).alias("observed"), (F.col("na") / F.col("nn")).alias("share"), "nn", "sn")
+    rolls = x.select("x", "n", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).crossJoin(F.broadcast(seen))  # one row
+    key = _key(F.col("x").cast("decimal(38,6)"), F.col("b"), F.lit(seed))
+    some = F.round(F.col("n") * F.col("share") + F.sqrt(F.col("n") * F.col("share") * (1 - F.col("share"))) * _normal(key))
+    drawn = F.when(F.col("n") == 1, (_chance(key, 0) < F.col("share")).cast("double")).otherwise(F.least(F.greatest(some, F.lit(0.0)), F.col("n").cast("double")))
+    r = rolls.withColumn("k", drawn).groupBy("b").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("x")).alias("s"), F.first("nn").alias("nn"), F.first("sn").alias("sn"), F.first("observed").alias("observed"))
+    d = F.abs(F.col("s") / F.nullif("k", F.lit(0.0)) - (F.col("sn") - F.col("s")) / F.nullif(F.col("nn") - F.col("k"), F.lit(0.0)))
+    return r.agg(F.first("observed").alias("observed"), F.avg(F.when(d >= F.col("observed"), 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("rounds"))

@@ -17,8 +17,7 @@ def _trees(tokens: DataFrame) -> DataFrame:
 def depths(tokens: DataFrame) -> DataFrame:
     """(sentence_id, token_index, depth): steps to the root, 0 for a root; -1 for a token that reaches none (a cycle or a missing head).
 
-    Trees are walked inside each sentence's array by repeated squaring of the head pointers: as many steps as the logarithm of the depth, without a join
-    per level.
+    Trees are walked inside each sentence's array, every token once (the depths that are known end a walk), without a join per level.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,20 +74,39 @@ def arc_lengths(tokens: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(tokens: DataFrame) -> DataFrame:
-    """(sentence_id, token_index, size): tokens governed directly or not, itself included; walks ancestors inside each sentence."""
+    """(sentence_id, token_index, size): tokens governed directly or not, itself included. Sizes are handed up from the leaves, each token once; only
+    tokens on or below a cycle are walked one by one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for sid, tree in zip(b["sentence_id"], b["t"]):
                 head = {int(r["token_index"]): (int(r["head"]) if r["head"] is not None else 0) for r in tree}
-                size = dict.fromkeys(head, 0)
-                for start in head:
-                    i, seen = start, set()
-                    while i in head and i not in seen:
-                        seen.add(i)
-                        size[i] += 1
+                size = dict.fromkeys(head, 1)
+                waiting = dict.fromkeys(head, 0)
+                for h in head.values():
+                    if h in waiting:
+                        waiting[h] += 1
+                leaves, done = [i for i, n in waiting.items() if not n], set()
+                while leaves:
+                    i = leaves.pop()
+                    done.add(i)
+                    h = head[i]
+                    if h in size:
+                        size[h] += size[i]
+                        waiting[h] -= 1
+                        if not waiting[h]:
+                            leaves.append(h)
+                ring = set(head) - done  # what a cycle keeps waiting: every token of it governs all the others
+                while ring:
+                    i, cycle = next(iter(ring)), []
+                    while i not in cycle:
+                        cycle.append(i)
                         i = head[i]
+                    own = {k: size[k] for k in cycle}
+                    for k in cycle:
+                        size[k] = sum(own.values())
+                    ring -= set(cycle)
                 out += [(sid, i, n) for i, n in size.items()]
             yield pd.DataFrame(out, columns=["sentence_id", "token_index", "size"])
 

@@ -48,3 +48,24 @@ def stage(items: DataFrame, status: str, most: int, outcome: Column, error: Colu
     the status and error that the expressions give. The result is merged with `replace_into`; turns follow until one is empty."""
     waiting = items.where(F.col("status") == status).orderBy(F.col("priority").desc_nulls_last(), F.col("created_at").asc_nulls_last(), "id").limit(most)
     return waiting.select("id", outcome.alias("status"), error.alias("error"))
+
+
+def until_idle(items: DataFrame, stages: list[tuple[str, int, Column, Column]], turns: int | None = None) -> DataFrame:
+    """The items after turns of all stages (status, most, outcome, error), in order, until a turn changes nothing or `turns` are over. Each turn's table is
+    written to the shared folder, so a lost executor costs one turn at most."""
+    from lexforge.runtime import cut
+
+    items = items if "error" in items.columns else items.withColumn("error", F.lit(None).cast("string"))
+    done = 0
+    while turns is None or done < turns:
+        moved = False
+        for status, most, outcome, error in stages:
+            new = cut(stage(items, status, most, outcome, error))
+            if new.limit(1).count():
+                moved = True
+                kept = items.join(new.select("id"), "id", "left_anti")
+                items = cut(kept.unionByName(items.drop("status", "error").join(new, "id").select(*items.columns)))
+        done += 1
+        if not moved:
+            break
+    return items

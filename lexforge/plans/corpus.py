@@ -267,10 +267,18 @@ def sentence_length_effect(spark, d):
     return x.select("n1", "n2", R(F.col("mean1")).alias("mean1"), R(F.col("mean2")).alias("mean2"), R(F.col("d")).alias("d"), "label")
 
 
-@query("sentence_length_bootstrap")
+_U = lambda part, key: f"((('0x' || substring(md5({key}), {1 + 8 * part}, 8))::BIGINT + 0.5) / 4294967296.0)"
+_Z = lambda key: f"sqrt(-2 * ln({_U(0, key)})) * cos(2 * pi() * {_U(1, key)})"
+_BK = "concat_ws('|', g, x::DECIMAL(38, 6)::VARCHAR, b, 7)"
+
+
+@query("sentence_length_bootstrap", f"""WITH {TOK}, {DOC}, s AS (SELECT sentence_id, d.period AS g, count(*)::DOUBLE AS x FROM tok t JOIN doc d USING (document_id) WHERE d.period IS NOT NULL GROUP BY 1, 2), c AS (SELECT g, x, count(*) AS c FROM s GROUP BY 1, 2), k AS (SELECT g, x, c, b FROM c, range(1, 101) AS r(b)),
+ w AS (SELECT g, x, b, CASE WHEN c = 1 THEN (CASE {' '.join(f'WHEN {_U(0, _BK)} < {p} THEN {k}' for k, p in enumerate(diachrony.POISSON))} ELSE {len(diachrony.POISSON)} END)::DOUBLE ELSE greatest(0.0, round(c + sqrt(c) * {_Z(_BK)})) END AS w FROM k), m AS (SELECT g, b, sum(w * x) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2)
+SELECT g AS period, round(any_value(z.mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, 100 AS rounds FROM m JOIN (SELECT g, sum(x * c) / sum(c) AS mean FROM c GROUP BY 1) z USING (g) GROUP BY 1""")
 def sentence_length_bootstrap(spark, d):
     s = base.tokens(spark, d).groupBy("sentence_id", "document_id").agg(F.count("*").alias("n")).join(base.documents(spark, d).where("period is not null").select("document_id", "period"), "document_id")
-    return diachrony.bootstrap_mean(s.select("sentence_id", "n", "period"), "n", "period", rounds=100)
+    x = diachrony.bootstrap_mean(s.select("sentence_id", "n", "period"), "n", "period", rounds=100)
+    return x.select("period", *[R(F.col(c)).alias(c) for c in ("mean", "low", "high")], "rounds")
 
 
 @query("trend_slope", f"""WITH {TOK}, {DOC}, x AS (SELECT t.upos, d.period, {RANK.replace("period ", "d.period ", 1)} AS rk FROM tok t JOIN doc d USING (document_id) WHERE d.period IS NOT NULL), s AS (SELECT period, count(*) AS n FROM x GROUP BY 1),
@@ -364,7 +372,8 @@ def arc_lengths(spark, d):
     return trees.arc_lengths(base.tokens(spark, d))
 
 
-@query("subtree_sizes")
+@query("subtree_sizes", """WITH RECURSIVE tok AS (SELECT DISTINCT * FROM tokens), r(sentence_id, t, a) AS (SELECT sentence_id, token_index, token_index FROM tok UNION SELECT r.sentence_id, r.t, k.head FROM r JOIN tok k ON k.sentence_id = r.sentence_id AND k.token_index = r.a WHERE k.head > 0)
+SELECT t.sentence_id, t.token_index, count(*) AS size FROM tok t JOIN r ON r.sentence_id = t.sentence_id AND r.a = t.token_index GROUP BY 1, 2""")
 def subtree_sizes(spark, d):
     return trees.subtree_sizes(base.tokens(spark, d))
 

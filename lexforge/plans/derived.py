@@ -70,10 +70,18 @@ def near_duplicate_documents(spark, d):
     return dedup.classes(_docs(spark, d), "doc_id", "text")
 
 
-@query("two_sample_length")
+_TK = "concat_ws('|', x::DECIMAL(38, 6)::VARCHAR, b, 11)"
+
+
+@query("two_sample_length", f"""WITH d AS (SELECT length(text)::DOUBLE AS x, lang FROM documents WHERE lang IN ('grc', 'en') AND text IS NOT NULL), x AS (SELECT x, count(CASE WHEN lang = 'grc' THEN 1 END) AS a, count(*) AS n FROM d GROUP BY 1), t AS (SELECT sum(a)::DOUBLE AS na, sum(n)::DOUBLE AS nn, sum(a * x) AS sa, sum(n * x) AS sn FROM x),
+ s AS (SELECT abs(sa / na - (sn - sa) / (nn - na)) AS observed, na / nn AS share, nn, sn FROM t), k AS (SELECT x, n, b, observed, share, nn, sn FROM x, s, range(1, 101) AS r(b)),
+ w AS (SELECT *, CASE WHEN n = 1 THEN ({corpus._U(0, _TK)} < share)::DOUBLE ELSE least(greatest(round(n * share + sqrt(n * share * (1 - share)) * {corpus._Z(_TK)}), 0.0), n::DOUBLE) END AS k FROM k),
+ m AS (SELECT b, sum(k) AS k, sum(k * x) AS s, any_value(nn) AS nn, any_value(sn) AS sn, any_value(observed) AS observed FROM w GROUP BY 1)
+SELECT round(any_value(observed), 6) AS observed, round(avg((abs(s / nullif(k, 0) - (sn - s) / nullif(nn - k, 0)) >= observed)::INT), 6) AS p, count(*) AS rounds FROM m""")
 def two_sample_length(spark, d):
     x = table(spark, d, "documents").where("lang in ('grc', 'en')").select("doc_id", "lang", F.length("text").alias("n"))
-    return diachrony.two_sample(x, "n", "lang", "grc", "en", rounds=100)
+    y = diachrony.two_sample(x, "n", "lang", "grc", "en", rounds=100)
+    return y.select(F.round("observed", 6).alias("observed"), F.round("p", 6).alias("p"), "rounds")
 
 
 @query("content_digests", "SELECT id, substring(md5(trim(regexp_replace(lower(content), '[ \\t\\n\\r]+', ' ', 'g'), ' ')), 1, 16) AS digest, length(content) AS chars FROM corpus_items WHERE content IS NOT NULL")

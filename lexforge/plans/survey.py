@@ -8,12 +8,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexforge.functions import normalise as nm
-from lexforge.operators import entities, morphology, upkeep, valency
+from lexforge.operators import classify, entities, morphology, upkeep, valency
 from lexforge.plans import base, corpus
 from lexforge.plans.base import DOC, SEN, TOK
 from lexforge.plans.catalog import query
 from lexforge.plans.derived import _ORIGIN
-from lexforge.runtime import checkpoint_dir, table
+from lexforge.runtime import checkpoint_dir, cut, drop_folder, table
 from lexforge.sources import exporters, readers
 
 R = lambda c, n=6: F.round(c, n)
@@ -235,6 +235,21 @@ def feature_sets(spark, d):
     return per.groupBy("document_id", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("features"))
 
 
+@query("pattern_clusters")
+def pattern_clusters(spark, d):
+    """Sizes of the clusters of verbs with their patterns."""
+    x = valency.lexicon(valency.instances(base.tokens(spark, d))).select(F.concat_ws(" : ", "lemma", "pattern").alias("t"))
+    return classify.text_clusters(x, "t").groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("gap_clusters")
+def gap_clusters(spark, d):
+    """Periods by how much the corpus has of them: documents, tokens and languages, standardised and clustered."""
+    n = base.tokens(spark, d).groupBy("document_id").agg(F.count("*").alias("n")).join(base.documents(spark, d).where("period is not null"), "document_id")
+    x = n.groupBy("period").agg(F.count("*").cast("double").alias("documents"), F.sum("n").cast("double").alias("tokens"), F.count_distinct("language").cast("double").alias("languages"))
+    return classify.profile_clusters(x, ["documents", "tokens", "languages"]).select("period", "documents", "tokens", "languages", "cluster")
+
+
 # ------------------------------------------------------------ keeping of tables
 
 
@@ -284,23 +299,26 @@ def conllu_round_trip(spark, d):
     return readers.parse_conllu(texts).select(F.col("sentence_id").cast("long").alias("sentence_id"), "token_index", "form", "lemma", "upos", "feats", "head", "deprel")
 
 
-def _folder(spark, name: str) -> str:
-    """A folder of its own in the shared folder for a round trip."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def _back_and_forth(spark, df, kind: str, read):
+    """A table written to a folder of its own in the shared folder and read again; the files go when they are read."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    exporters.write(df, path, kind)
+    out = cut(read(path))
+    drop_folder(spark, path)
+    return out
 
 
 @query("json_round_trip", "SELECT id, md5(content) AS digest, coalesce(language, '') AS language, coalesce(word_count, 0) AS word_count FROM corpus_items WHERE length(trim(coalesce(content, ''), ' ')) > 0")
 def json_round_trip(spark, d):
-    path = _folder(spark, "json")
-    exporters.write(exporters.training_rows(table(spark, d, "corpus_items")), path, "jsonl")
-    return readers.json_lines(spark, path, "id long, text string, language string, word_count long").select("id", F.md5("text").alias("digest"), "language", "word_count")
+    read = lambda path: readers.json_lines(spark, path, "id long, text string, language string, word_count long").select("id", F.md5("text").alias("digest"), "language", "word_count")
+    return _back_and_forth(spark, exporters.training_rows(table(spark, d, "corpus_items")), "jsonl", read)
 
 
 @query("csv_round_trip", "SELECT id, url, source_type, status, priority::BIGINT AS priority FROM corpus_items")
 def csv_round_trip(spark, d):
-    path = _folder(spark, "csv")
-    exporters.write(table(spark, d, "corpus_items").select("id", "url", "source_type", "status", F.col("priority").cast("long").alias("priority")), path, "csv")
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("id long, url string, source_type string, status string, priority long").csv(path)
+    rows = table(spark, d, "corpus_items").select("id", "url", "source_type", "status", F.col("priority").cast("long").alias("priority"))
+    read = lambda path: spark.read.option("header", True).option("escape", '"').schema("id long, url string, source_type string, status string, priority long").csv(path)
+    return _back_and_forth(spark, rows, "csv", read)
 
 
 

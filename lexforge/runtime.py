@@ -16,6 +16,7 @@ def session(app: str = "lexforge", master: str | None = None, shuffle_partitions
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a checkpoint's files go with the table that holds them
     )
     if master:
         b = b.master(master)
@@ -46,3 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: later stages read files and survive the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system with all that is in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -225,3 +225,38 @@ def test_normal_forms(spark):
     assert q[0][0] == 0 and q[1][0] == 0 and math.isclose(q[2][0], 0.7 * 0.6)
     s = spark.createDataFrame([("Cf. p. 12 here. Βλ. cod. A; end",)], "t string").select(normalise.split_by_tokens(F.col("t"), ".;", ("Cf", "p", "cod")).alias("p")).first()["p"]
     assert s == ["Cf. p. 12 here.", "Βλ.", "cod. A;", "end"]
+
+
+def test_classifiers_are_evaluated(spark):
+    g = random.Random(2)
+    a, b = "river meadow winter harbour".split(), "council treaty oath magistrate".split()
+    rows = [(k, " ".join(g.choice(a if k % 2 else b) for _ in range(6)), "ab"[k % 2]) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, text string, label string").cache()
+    folds = [r["accuracy"] for r in classify.cross_validated(df, "id", 3, kind="tree", pairs=True, most=0.95).collect()]
+    assert len(folds) == 3 and min(folds) > 0.6
+    r = classify.bootstrapped(df, "id", 3, kind="bayes").first()
+    assert r["mean"] > 0.8 and r["significant"]
+    model = classify.pipeline("forest").fit(df)
+    assert {w for w, _ in classify.importances(model)} <= {*a, *b}
+    v = classify.vectorised(spark.createDataFrame([(["river", "oath", "river", "x"],)], "w array<string>"), "w", ["oath", "river"]).first()["vector"]
+    assert v.toArray().tolist() == [1.0, 2.0]
+    registry = spark.createDataFrame([("m1", "pos", "grc", 0.8), ("m2", "pos", "grc", 0.9), ("m3", "pos", "la", 0.95)], "name string, task string, language string, accuracy double")
+    assert classify.best_model(registry, "pos", "grc").first()["name"] == "m2"
+    near = spark.createDataFrame([(1, 10), (1, 11), (1, 12)], "query_id long, vec_id long")
+    labels = spark.createDataFrame([(10, "x"), (11, "y"), (12, "x")], "vec_id long, label string")
+    assert classify.nearest_label(near, labels).first()["label"] == "x"
+
+
+def test_stages_run_until_idle(spark):
+    items = spark.createDataFrame([(k, "scraped", k % 3, k, "long enough" if k % 2 else "no") for k in range(7)], "id long, status string, priority int, created_at long, content string")
+    long = F.length("content") > 5
+    stages = [("scraped", 2, F.when(long, "parsed").otherwise("failed"), F.when(~long, "too short")), ("parsed", 5, F.lit("annotated"), F.lit(None).cast("string"))]
+    first = {r["id"]: r["status"] for r in upkeep.until_idle(items, stages, turns=1).collect()}
+    assert first[2] == "failed" and first[5] == "annotated" and sum(x == "scraped" for x in first.values()) == 5
+    out = {r["id"]: (r["status"], r["error"]) for r in upkeep.until_idle(items, stages).collect()}
+    assert all(v == (("annotated", None) if k % 2 else ("failed", "too short")) for k, v in out.items()) and len(out) == 7
+
+
+def test_subtrees_with_cycles(spark):
+    df = spark.createDataFrame([(1, i, h) for i, h in ((1, 2), (2, 3), (3, 2), (4, 1), (5, 0), (6, 5), (7, 99), (8, 8))], "sentence_id long, token_index long, head long")
+    assert {r["token_index"]: r["size"] for r in trees.subtree_sizes(df).collect()} == {1: 2, 2: 4, 3: 4, 4: 1, 5: 2, 6: 1, 7: 1, 8: 1}
