@@ -162,16 +162,15 @@ class Network:
         return loss
 
     def ready(self) -> None:
-        """Tables of byte pairs for the gates and for the candidate state: a frame of four bytes costs two look-ups in each. The gates are
-        halved beforehand, as a sigmoid is taken from tanh of the half."""
+        """Tables of byte pairs for each gate and for the candidate state: a frame of four bytes costs two look-ups in each. The gates are
+        halved beforehand, as a sigmoid is taken from tanh of the half. Every table and array of a step lies in one piece."""
         H = self.h
         self.tables = {}
         for d in "fb":
             E, a, U = self.p["E" + d], self.p["a" + d], self.p["U" + d]
             pairs = [(E[k][:, None, :] + E[k + 1][None, :, :]).reshape(65536, -1) + (a if k == 0 else 0) for k in range(0, FRAME, 2)]
-            gates = [np.ascontiguousarray(0.5 * x[:, : 2 * H], dtype=np.float32) for x in pairs]
-            state = [np.ascontiguousarray(x[:, 2 * H :], dtype=np.float32) for x in pairs]
-            self.tables[d] = gates, state, np.ascontiguousarray(0.5 * U[:, : 2 * H]), np.ascontiguousarray(0.5 * U[:, 2 * H :])
+            part = lambda x, q, by: np.ascontiguousarray(by * x[:, q * H : (q + 1) * H], dtype=np.float32)
+            self.tables[d] = [([part(x, q, by) for x in pairs], part(U, q, 0.5)) for q, by in ((0, 0.5), (1, 0.5), (2, 1.0))]
 
     def positions(self, frames: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log-probabilities (T x N x languages); windows are padded at the end, where both directions idle."""
@@ -179,28 +178,30 @@ class Network:
         n, t, _ = frames.shape
         pair = [np.ascontiguousarray((frames[:, :, 2 * k].astype(np.int64) * 256 + frames[:, :, 2 * k + 1]).T) for k in range(FRAME // 2)]
         logits = np.broadcast_to(p["c"], (t, n, len(p["c"]))).copy()
-        zr, more, c, other = (np.empty((n, k * H), np.float32) for k in (2, 2, 1, 1))
+        gates, c, more = np.empty((2, n, H), np.float32), np.empty((n, H), np.float32), np.empty((n, H), np.float32)
+        z, r = gates
         for k, d in enumerate("fb"):
-            gates, state, U, V = self.tables[d]
+            (tz, uz), (tr, ur), (tc, uc) = self.tables[d]
             W = p["W"][k * H : (k + 1) * H]
             h = np.zeros((n, H), np.float32)
             states = np.empty((t, n, H), np.float32)
             for s in range(t) if d == "f" else range(t - 1, -1, -1):
-                np.matmul(h, U, out=zr)
-                for q, table in enumerate(gates):
+                for out, tables, u in ((z, tz, uz), (r, tr, ur)):
+                    np.matmul(h, u, out=out)
+                    for q, table in enumerate(tables):
+                        np.take(table, pair[q][s], axis=0, out=more, mode="clip")
+                        out += more
+                np.tanh(gates, out=gates)
+                gates += 1  # twice the gates: uc is halved for the one, h below for the other
+                np.matmul(h, uc, out=c)
+                c *= r
+                for q, table in enumerate(tc):
                     np.take(table, pair[q][s], axis=0, out=more, mode="clip")
-                    zr += more
-                np.tanh(zr, out=zr)
-                zr += 1  # twice the gates: V is halved for the one, h below for the other
-                np.matmul(h, V, out=c)
-                c *= zr[:, H:]
-                for q, table in enumerate(state):
-                    np.take(table, pair[q][s], axis=0, out=other, mode="clip")
-                    c += other
+                    c += more
                 np.tanh(c, out=c)
                 h -= c
                 h *= 0.5
-                h *= zr[:, :H]
+                h *= z
                 h += c
                 if d == "b":
                     h[lengths <= s] = 0
