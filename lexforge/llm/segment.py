@@ -17,7 +17,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm import sampling
 from lexforge.llm.mojibake import repairer, suspect
+from lexforge.llm.spaceless import Gaps, fit
 
 #: Abbreviations that stand before a name, number or quotation (fixed values).
 BEFORE = set("""
@@ -87,18 +89,23 @@ def words_of(run: str) -> list[int]:
     return ends[::-1]
 
 
-def _spaceless(part: str) -> list[int]:
+def _spaceless(part: str, model: Gaps | None = None) -> list[int]:
     """End offsets of the sentences of a paragraph in Chinese signs: the log-odds of every gap between two words of the lattice and of every
-    mark decide, from punctuation, final particles, opening words and how far the marks are apart."""
+    mark decide, from punctuation, final particles, opening words and how far the marks are apart. With a `model`, the words and the
+    log-odds of gaps in stretches without marks are those it has learned."""
     marks = {m.end(): m.start() for m in _HAN_END.finditer(part)}
     runs = {m.end(): m.start() for m in _HAN_RUN.finditer(part)}
     mean = sum(e - s for e, s in runs.items()) / max(1, len(runs))
     gaps: list[tuple[int, float, bool]] = []  # end, log-odds, whether an opening word follows
     for e, s in runs.items():
         run = part[s:e]
-        words = words_of(run)
         length = e - s if e - s >= UNPUNCTUATED or (e - s >= SPARSE and mean >= SPARSE) else 0
         prior = 2 * math.log2(length / SPARSE) - 4 if length else -20.0  # between marks that stand close a gap without one ends nothing
+        if model and model.weights:
+            if length:
+                gaps += [(s + a, 8.0, False) for a in model.ends(run)]
+            continue
+        words = words_of(run)
         for a, b in zip(words, words[1:]):
             odds, sign, word = prior, run[a - 1], run[a:b]
             if sign in FINAL_SIGNS:
@@ -247,7 +254,7 @@ def _path(part: str, nodes: list[tuple[int, float]]) -> list[int]:
     return ends[::-1]
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
+def sentences(text: str, model: Gaps | None = None) -> list[tuple[int, int]]:
     """(start, end) of the units in characters from 0; white space around a unit doesn't belong to it."""
     out = []
     at = 0
@@ -256,7 +263,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
         han = len(_HAN.findall(part))
         letters = len(regex.findall(r"\p{L}", part))
         if han * 2 > letters:
-            ends = _spaceless(part)
+            ends = _spaceless(part, model)
         elif len(regex.findall(r"[ऀ-ॿ]", part)) * 2 > letters:
             ends = _danda(part)
         else:
@@ -275,30 +282,42 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def places(text: str) -> list[tuple[int, int]]:
+def places(text: str, model: Gaps | None = None) -> list[tuple[int, int]]:
     """(start, end) of the units of a text that may be garbled in places: boundaries are found in the restored text and carried back."""
     if not suspect(text):
-        return sentences(text)
+        return sentences(text, model)
     ends = list(range(1, len(text) + 1))
     plain, spans, _, _ = repairer().repair(text, ends)
     if not spans or plain == text:
-        return sentences(text)
+        return sentences(text, model)
     out = []
-    for s, e in sentences(plain):
+    for s, e in sentences(plain, model):
         begin = ends[s - 1] if s else 0
         out.append((begin + len(text[begin : ends[e - 1]]) - len(text[begin : ends[e - 1]].lstrip()), ends[e - 1]))
     return out
 
 
-def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
+#: The bounded sample that words and gaps of spaceless scripts are learned from: texts, and the longest of them in bytes.
+SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 200_000
+
+
+def learn(df: DataFrame, key: str, text: str, most: int = SAMPLE_TEXTS) -> Gaps:
+    """Words and gaps from about `most` texts with ten ideographs in a row, by a hash of their key."""
+    held = df.where(F.col(text).rlike(r"[\x{4E00}-\x{9FFF}]{10}") & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return fit(r["t"] for r in sampling.rows(held, "k", most))
+
+
+def split_sentences(df: DataFrame, key: str, text: str, model: Gaps | None = None) -> DataFrame:
     """(key, sentence_no, start_pos, end_pos, sentence): positions count characters from 1, both ends belong to the sentence.
 
-    Null, empty and blank texts give no row; repeated rows give repeated units. Each row is handled alone, whole; no shuffle.
+    Null, empty and blank texts give no row; repeated rows give repeated units. Each row is handled alone, whole; no shuffle. The `model` (see `learn`;
+    some hundred KB, whatever the input) is broadcast.
     """
+    held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, n, s + 1, e, t[s:e]) for k, t in zip(b["k"], b["t"]) if isinstance(t, str) for n, (s, e) in enumerate(places(t))]
+            rows = [(k, n, s + 1, e, t[s:e]) for k, t in zip(b["k"], b["t"]) if isinstance(t, str) for n, (s, e) in enumerate(places(t, held.value))]
             yield pd.DataFrame(rows, columns=[key, "sentence_no", "start_pos", "end_pos", "sentence"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -190,6 +190,32 @@ def test_sentences(text, units):
     assert [text[s:e] for s, e in segment.sentences(text)] == units
 
 
+def test_gaps_of_unpunctuated_signs_are_learned_from_marks(spark, small):
+    rows = spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet").where("lang = 'zh' and text is not null").select("doc_id", "text").limit(400).collect()
+    texts = [r["text"] for r in rows]
+    cut = len(texts) * 2 // 3
+    model = segment.fit(texts[:cut])
+    right = wrong = missed = 0
+    for t in texts[cut:]:
+        for p in t.split("\n"):
+            if "“" in p or p.count("。") < 2:
+                continue
+            bare = "".join(c for c in p if "\u4e00" <= c <= "\u9fff")
+            want, n = set(), 0
+            for c in p:
+                n += "\u4e00" <= c <= "\u9fff"
+                if c in "。！？":
+                    want.add(n)
+            want.discard(len(bare))
+            if len(bare) < 40:
+                continue
+            got = {e for _, e in segment.sentences(bare, model)} - {len(bare)}
+            right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert right > 50 and 2 * right / (2 * right + wrong + missed) >= 0.9
+    assert segment.fit([]).weights == {} and segment.fit([None, "abc", "没有标点"]).weights == {}
+    assert [t for t in texts[:50] if segment.sentences(t, model) != segment.sentences(t)] == []  # marks decide where there are some
+
+
 def test_unpunctuated_signs_are_cut_at_particles():
     text = "君子學而時習之不亦說乎有朋自遠方來不亦樂乎人不知而不慍不亦君子乎夫天下之大道何其難也故先生曰學之不可以已也"
     assert len(segment.sentences(text)) > 2
