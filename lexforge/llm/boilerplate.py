@@ -62,11 +62,17 @@ def site_of(url: str | None) -> str:
     return fold(host.group(1).removeprefix("www.").split(".")[0]) if host else ""
 
 
+_TERMS: dict[str, list[str]] = {}
+
+
 def _terms(token: str) -> list[str]:
-    """What is weighed of a token: a folded word, or the pairs of neighbouring ideographs."""
-    if _HAN.match(token):
-        return [token[k : k + 2] for k in range(len(token) - 1)] or [token]
-    return [fold(token)]
+    """What is weighed of a token: a folded word, or the pairs of neighbouring ideographs. Those met are kept."""
+    got = _TERMS.get(token)
+    if got is None:
+        if len(_TERMS) > 200_000:
+            _TERMS.clear()
+        got = _TERMS[token] = ([token[k : k + 2] for k in range(len(token) - 1)] or [token]) if _HAN.match(token) else [fold(token)]
+    return got
 
 
 def _shape(s: str, words: int) -> tuple[str, ...]:

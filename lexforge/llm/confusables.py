@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.mojibake import repairer
 
-#: Look-alike letters, Latin Greek Cyrillic, - where a script has none (fixed values).
+#: Look-alike letters, Latin Greek Cyrillic Armenian Cherokee Lisu, - where a script has none (fixed values).
 ALIKE = """
-A Α А|B Β В|C Ϲ С|E Ε Е|H Η Н|I Ι І|J Ϳ Ј|K Κ К|M Μ М|N Ν -|O Ο О|P Ρ Р|S - Ѕ|T Τ Т|X Χ Х|Y Υ У|Z Ζ -|- Γ Г|- Π П|- Φ Ф|- Λ Л
-a α а|c ϲ с|e - е|i ι і|j ϳ ј|k κ к|o ο о|p ρ р|s - ѕ|u υ -|v ν ѵ|x χ х|y γ у|n η -|w ω ѡ|h - һ|d - ԁ|q - ԛ|- τ т|- π п|- φ ф
+A Α А - Ꭺ ꓮ|B Β В - Ᏼ ꓐ|C Ϲ С - Ꮯ ꓚ|E Ε Е - Ꭼ ꓰ|H Η Н - Ꮋ ꓧ|I Ι І - - ꓲ|J Ϳ Ј - Ꭻ ꓙ|K Κ К - Ꮶ ꓗ|M Μ М - Ꮇ ꓟ|N Ν - - - ꓠ|O Ο О Օ - ꓳ|P Ρ Р - Ꮲ ꓑ|S - Ѕ Տ Ꮪ ꓢ|T Τ Т - Ꭲ ꓔ|X Χ Х - - ꓫ|Y Υ У - Ꭹ ꓬ|Z Ζ - - Ꮓ ꓜ|- Γ Г - - -|- Π П - - -|- Φ Ф - - -|- Λ Л - - -
+a α а - - -|c ϲ с - - -|e - е - - -|i ι і - - -|j ϳ ј յ - -|k κ к - - -|o ο о օ - -|p ρ р - - -|s - ѕ - - -|u υ - ս - -|v ν ѵ - - -|x χ х - - -|y γ у - - -|n η - ո - -|w ω ѡ - - -|h - һ հ - -|d - ԁ - - -|q - ԛ զ - -|- τ т - - -|- π п - - -|- φ ф - - -
+D - - - Ꭰ ꓓ|F - - - - ꓝ|G - - - Ꮐ ꓖ|L - - Լ Ꮮ ꓡ|R - - - Ꭱ ꓣ|U - - Ս - ꓴ|V - - - Ꮩ ꓦ|W - - - Ꮤ ꓪ|l - ӏ - - -|I - Ӏ - - -|g - - ց - -
 """
-SCRIPTS = ("LATIN", "GREEK", "CYRILLIC")
+SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE", "LISU")
 #: Look-alikes so near that a word made of them alone counts when its neighbours are of the other script (fixed values).
-NEAR = set("ABCEHIJKMNOPSTXYZaceijopsxyuvΑΒΕΗΙΚΜΝΟΡΤΥΧΖαινορυχγϲАВЕКМНОРСТУХІЈЅаеорсухіјѕ")
+NEAR = set("ABCEHIJKMNOPSTXYZaceijopsxyuvΑΒΕΗΙΚΜΝΟΡΤΥΧΖαινορυχγϲАВЕКМНОРСТУХІЈЅаеорсухіјѕӏӀ")
 INVISIBLE = "​‌‍⁠﻿­‎‏؜᠎⁡⁢⁣⁤"
 SPACES = "              "
 VIRAMA = "्"
@@ -42,11 +43,12 @@ def _tables():
         for a, x in row.items():
             for b, y in row.items():
                 if a != b and x != "-" and y != "-":
-                    to.setdefault(x, {})[b] = y
+                    to.setdefault(x, {}).setdefault(b, y)
     return to
 
 
 TO = _tables()
+NEAR |= {x for x in TO if unicodedata.name(x).split(" ", 1)[0] in ("ARMENIAN", "CHEROKEE", "LISU")}
 
 
 def script(ch: str) -> str | None:
@@ -68,6 +70,17 @@ def _letter(ch: str) -> tuple[str | None, str]:
     return _SEEN[ch]
 
 
+def resolved(word: str) -> set[str]:
+    """The scripts that a whole word can be read in: the intersection of its letters' script sets, each a letter's own script and those with a look-alike."""
+    out: set[str] | None = None
+    for ch in word:
+        own, base = _letter(ch)
+        if own is not None:
+            can = {own, *TO.get(base, ())}
+            out = can if out is None else out & can
+    return out or set()
+
+
 def _respell(word: str, target: str) -> str | None:
     """The word in the target script, or None where a letter has no look-alike there."""
     out = []
@@ -182,7 +195,8 @@ def _line(text: str, context: str | None) -> tuple[str, int]:
             order = [x for x, _ in count.most_common() if x in SCRIPTS]
             firm = Counter(_letter(c)[0] for c in w if _letter(c)[0] in SCRIPTS and _letter(c)[1] not in NEAR)
             order.sort(key=lambda x: (-firm[x], -count[x]))
-            spelt = next((r for x in order if (r := _respell(w, x)) and r != w), None)
+            can = resolved(w)  # no own script is in all sets' own part: the word is mixed; what is in all sets is how it can be read
+            spelt = next((r for x in order if x in can and (r := _respell(w, x)) and r != w), None)
             if spelt is None and len(order) > 1:
                 spelt = w  # mixed without a consistent spelling: counted, left as it is
                 changes += 1

@@ -320,7 +320,7 @@ def models(items: DataFrame, key: str, text: str, label: str, url: str | None =
         return train([(r["t"], r["by"]) for r in rows if r["by"]], weights), weights
 
 
-def _found(df: DataFrame, key: str, text: str, network: Network, weights: Weights, url: str | None, also: str | None, kinds: str, rows_of) -> DataFrame:
+def _found(df: DataFrame, key: str, text: str, network: Network, weights: Weights, url: str | None, also: str | None, kinds: str, rows_of, counted: bool = True) -> DataFrame:
     """mapInPandas over texts: `rows_of` makes the result rows of (key, also, segments of the text)."""
     held = df.sparkSession.sparkContext.broadcast((network.p, weights))  # some hundred KB, whatever the input
     names = [x.strip().split()[0].strip("`") for x in kinds.split(", ")]
@@ -343,7 +343,7 @@ def _found(df: DataFrame, key: str, text: str, network: Network, weights: Weight
                 logs = pool(net, list(once))[[once[u] for u in units]] if units else []
                 rows = []
                 for k, a, found, first in docs:
-                    rows += rows_of(k, a, segments(found, logs[first : first + len(found)]))
+                    rows += rows_of(k, a, segments(found, logs[first : first + len(found)], counted))
                 yield pd.DataFrame(rows, columns=names)
 
     null = F.lit(None).cast("string")
@@ -375,7 +375,7 @@ def document_languages(df: DataFrame, key: str, text: str, label: str, network:
         return [(k, a, main, sorted(share), sum(c * n for c, n in sure) / sum(n for _, n in sure))]
 
     kind = df.schema[key].dataType.simpleString()
-    return _found(df, key, text, network, weights, url, label, f"`{key}` {kind}, label string, language string, languages array<string>, confidence double", rows)
+    return _found(df, key, text, network, weights, url, label, f"`{key}` {kind}, label string, language string, languages array<string>, confidence double", rows, counted=False)
 
 
 def _whole(found: list[tuple[int, str]], own: np.ndarray) -> int:
@@ -400,11 +400,15 @@ def _stanza(found: list[tuple[int, str]], own: np.ndarray) -> bool:
     return False
 
 
-def segments(found: list[tuple[int, str]], logs: np.ndarray) -> list[tuple]:
-    """Segments of one document from the pooled log-probabilities of its sentences."""
-    size = np.array([len(s) for _, s in found], dtype=float)
-    weight = size
+def segments(found: list[tuple[int, str]], logs: np.ndarray, counted: bool = True) -> list[tuple]:
+    """Segments of one document from the pooled log-probabilities of its sentences; the whole sentences of a document in one language are counted
+    if they are wanted."""
+    weight = np.array([len(s) for _, s in found], dtype=float)
     best = logs.argmax(axis=1)
+    if not counted and (best == best[0]).all():
+        k = int(best[0])
+        p = np.exp(weight @ logs / weight.sum())
+        return [(0, found[0][0] + 1, found[-1][0] + len(found[-1][1]), LANGUAGES[k], float(p[k] / p.sum()), None, 1.0)]
     sure = np.exp(np.partition(logs, -2, axis=1)[:, -2] - logs.max(axis=1)) < 0.5
     whole = np.array([len(s) >= 12 and bool(_CLOSED.search(s[-12:])) and len(s.strip()) >= 12 for _, s in found])
     one = np.unique(best)

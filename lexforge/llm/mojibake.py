@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -193,7 +192,7 @@ class Repairer:
                 chosen.append((s, e, m))
                 at = e
         shape = self.shape
-        votes: Counter = Counter()
+        votes: dict[str, int] = {}
         for s, e, m in chosen:
             seq = text[s:e]
             if seq not in shape:
@@ -201,7 +200,8 @@ class Repairer:
                     shape.clear()
                 shape[seq] = not all(map(_ordinary, seq))
             if shape[seq] or e - s > 2:
-                votes.update(m.keys())
+                for w in m:
+                    votes[w] = votes.get(w, 0) + 1
         order = {w: (n, -WRONG.index(w)) for w, n in votes.items()}
         none = {w: (0, -k) for k, w in enumerate(WRONG)}
         order = none | order
