@@ -145,6 +145,20 @@ def normalise(text: str, context: str | None = None) -> tuple[str, int]:
     return "\n".join(out), changes
 
 
+_SURE: dict[str, str | None] = {}
+
+
+def _sure(word: str) -> str | None:
+    """The script that a word stands for beyond doubt: it has letters of no other, and not only such as have look-alikes. Words met are kept."""
+    if word not in _SURE:
+        if len(_SURE) > 200_000:
+            _SURE.clear()
+        count = _scripts(word)
+        only = next(iter(count)) if len(count) == 1 else None
+        _SURE[word] = only if only and not all(_letter(c)[0] is None or _letter(c)[1] in NEAR for c in word) else None
+    return _SURE[word]
+
+
 _UNSEEN = regex.compile(f"[{INVISIBLE}{SPACES}]")
 #: Characters that _compatible may replace.
 _VARIANT = regex.compile("[" + "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000)]) if unicodedata.decomposition(c).startswith(("<wide>", "<narrow>", "<font>", "<compat>"))) + "]")
@@ -183,12 +197,10 @@ def _line(text: str, context: str | None) -> tuple[str, int]:
             changes, text = changes + 1, new
     out, at = [], 0
     words = [(m.start(), m.group(), _scripts(m.group())) for m in _WORD.finditer(text)]
-    sure = []  # scripts that stand beyond doubt: a letter without look-alikes
-    for s, w, count in words:
-        only = next(iter(count)) if len(count) == 1 else None
-        # a mixed word speaks for the script of its letters without look-alikes
-        sure.append(only if only and not all(_letter(c)[0] is None or _letter(c)[1] in NEAR for c in w) else None)
+    sure = [_sure(w) for _, w, _ in words]
     for k, (s, w, count) in enumerate(words):
+        if sure[k]:
+            continue
         spelt = None
         end = s + len(w)
         if len(count) > 1:

@@ -24,15 +24,15 @@ BOUNDARIES = (
 
 
 class RangeMax:
-    """Sparse table: position of the greatest value in any range, the rightmost among equals, in constant time."""
+    """Sparse table: position of the greatest value in any range of up to `widest` positions, the rightmost among equals, in constant time."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, widest: int | None = None):
         n = len(values)
         self.values = values
-        level = np.arange(n)
+        level = np.arange(n, dtype=np.int32)
         self.levels = [level]
         width = 1
-        while 2 * width <= n:
+        while 2 * width <= min(n, widest or n):
             left, right = level[: n - 2 * width + 1], level[width : n - width + 1]
             level = np.where(values[right] >= values[left], right, left)
             self.levels.append(level)
@@ -60,7 +60,7 @@ def pieces(text: str, bpe: Bpe, limit: int = LIMIT, overlap: int = OVERLAP, leas
             if m.end() > m.start() and text[m.end() - 1] == " ":
                 strength[m.end() - 1] = max(strength[m.end() - 1], value)
     fresh = np.r_[True, starts[1:] > starts[:-1]]  # a token inside a character is no place to cut
-    table = RangeMax(np.where(fresh, strength[starts], -1))
+    table = RangeMax(np.where(fresh, strength[starts], np.int8(-1)), limit + 1)
     out, s = [], 0
     while True:
         begin = int(starts[s])
