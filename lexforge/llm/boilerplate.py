@@ -25,7 +25,7 @@ from lexforge.llm.confusables import _CLEAN, normalise
 from lexforge.llm.mojibake import repairer, suspect
 
 #: The bounded sample that the weights are fitted to: pages, and the longest of them in bytes (longer ones are scored, not learned from).
-SAMPLE_PAGES, SAMPLE_BYTES = 4000, 200_000
+SAMPLE_PAGES, SAMPLE_BYTES = 4000, 50_000
 #: A line is one of the page's if it comes again with so many other texts: this share of the sampled pages, and at least so many of them.
 #: A sentence of this length without the site's name may be a quotation: its share must be greater.
 SHARE, LEAST, SENTENCE, SENTENCE_SHARE = 0.001, 5, 60, 0.01
@@ -152,9 +152,20 @@ class Weights:
         self.entry: dict[tuple, float] = {}
         self.bias, self.head_bias = 1.0, -3.0
         self._known: dict[str, float] = {}
+        self._met: dict[tuple[str, str], tuple[float, float]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_met": {}}
+
+    def short_line(self, s: str, site: str) -> tuple[float, float]:
+        """Log-odds as text and as a head of a short line; those of lines met are kept, for lines of pages come again."""
+        got = self._met.get((s, site))
+        if got is None:
+            if len(self._met) > 50_000:
+                self._met.clear()
+            value = self.score(s, site)
+            got = self._met[(s, site)] = value, self.head_odds(s, site) if value < 0 and self.head else -1.0
+        return got
 
     def _sum(self, weights: dict[str, float], bias: float, tokens: set[str], shape: tuple[str, ...], site: str) -> float:
         own = [t for token in tokens for t in _terms(token)]
@@ -359,8 +370,10 @@ def page_lines(text: str, weights: Weights, site: str = "", lines: list[tuple[in
     `short` only lines up to LONG can be the page's and longer ones aren't weighed: quicker, for callers who ask what the text is and not where it ends."""
     rows, listed = [], False
     for n, s in _lines(text) if lines is None else lines:
-        value = MOST if short and len(s) > LONG else weights.score(s, site)
-        head = weights.head_odds(s, site) if value < 0 and weights.head else -1.0
+        if len(s) <= LONG:
+            value, head = weights.short_line(s, site)
+        else:
+            value, head = MOST if short else weights.score(s, site), -1.0
         rows.append((n, value, head, weights.entry_odds(s) if listed else -MOST))  # entries only stand behind a head
         listed = listed or head > 0
     kept = _scan(rows)

@@ -212,7 +212,7 @@ class Network:
         return logits
 
 
-def pool(network: Network, units: list[bytes], block: int = 768) -> np.ndarray:
+def pool(network: Network, units: list[bytes], block: int = 1024) -> np.ndarray:
     """Mean log-probabilities over the positions of each unit (bytes of a sentence)."""
     total = np.zeros((len(units), len(LANGUAGES)))
     count = np.ones(len(units))

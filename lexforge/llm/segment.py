@@ -298,7 +298,7 @@ def places(text: str, model: Gaps | None = None) -> list[tuple[int, int]]:
 
 
 #: The bounded sample that words and gaps of spaceless scripts are learned from: texts, and the longest of them in bytes.
-SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 200_000
+SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 50_000
 
 
 def learn(df: DataFrame, key: str, text: str, most: int = SAMPLE_TEXTS) -> Gaps:

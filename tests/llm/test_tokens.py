@@ -46,6 +46,8 @@ def test_range_max():
         b += 1
         best = v[a:b].max()
         assert t.query(a, b) == a + int(np.flatnonzero(v[a:b] == best)[-1])
+        if b - a <= 24:
+            assert splitting.RangeMax(v, 24).query(a, b) == t.query(a, b)
 
 
 def test_pieces_cover_the_text(coder):
