@@ -17,9 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm import sampling
 from lexforge.llm.mojibake import repairer, suspect
-from lexforge.llm.spaceless import Gaps, fit
+from lexforge.llm.spaceless import Gaps, fit, fit_all  # noqa: F401
 
 #: Abbreviations that stand before a name, number or quotation (fixed values).
 BEFORE = set("""
@@ -297,14 +296,9 @@ def places(text: str, model: Gaps | None = None) -> list[tuple[int, int]]:
     return out
 
 
-#: The bounded sample that words and gaps of spaceless scripts are learned from: texts, and the longest of them in bytes.
-SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 50_000
-
-
-def learn(df: DataFrame, key: str, text: str, most: int = SAMPLE_TEXTS) -> Gaps:
-    """Words and gaps from about `most` texts with ten ideographs in a row, by a hash of their key."""
-    held = df.where(F.col(text).rlike(r"[\x{4E00}-\x{9FFF}]{10}") & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return fit(r["t"] for r in sampling.rows(held, "k", most))
+def learn(df: DataFrame, text: str) -> Gaps:
+    """Words and gaps of spaceless scripts from all texts."""
+    return fit_all(df.select(F.col(text).alias("t")))
 
 
 def split_sentences(df: DataFrame, key: str, text: str, model: Gaps | None = None) -> DataFrame:

@@ -66,3 +66,22 @@ def test_a_network_trained_in_parts(spark, documents, monkeypatch):
     found = langid.document_languages(held_out, "id", "content", "language", net, w).collect()
     right = [r["language"] == langid.code_of(r["label"]) for r in found if langid.code_of(r["label"])]
     assert len(right) > 100 and sum(right) / len(right) > 0.9  # some labels are wrong
+
+
+def test_words_and_gaps_come_from_all_texts(spark, small, monkeypatch):
+    from lexforge.llm import segment, spaceless
+
+    df = spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet").where("lang = 'zh' and text is not null and doc_id % 3 = 0").select("doc_id", "text").limit(60)
+    # a text above 50 KB, and texts without ten signs in a row
+    rows = [tuple(r) for r in df.collect()]
+    rows += [(-1, "天犇地，玄黄宇宙。\n" * 4000)] + [(-2 - k, "龘龘乙，甲龘龘丙。丁龘龘，龘龘戊！") for k in range(5)]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = spaceless.fit([t for _, t in rows])
+    got = segment.learn(texts, "text")
+    assert "龘龘" in got.costs and "犇" in got.costs
+    assert got.costs == want.costs and got.weights == pytest.approx(want.weights, abs=1e-6) and got.bias == pytest.approx(want.bias)
+    monkeypatch.setattr(spaceless, "PART", 3000)  # several parts, the same weights
+    monkeypatch.setattr(spaceless, "ROUNDS", 12)
+    few, many = spaceless.fit([t for _, t in rows]), segment.learn(texts, "text")
+    assert many.costs == few.costs and many.weights == pytest.approx(few.weights, abs=1e-6) and many.bias == pytest.approx(few.bias)
+    assert segment.learn(texts.limit(0), "text").costs == {} and segment.learn(spark.createDataFrame([("没有标点",), (None,)], "text string"), "text").weights == {}
