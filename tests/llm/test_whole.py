@@ -1,8 +1,11 @@
 """Models that are fitted to the whole of a table, in one part and in several."""
 
 import random
+import unicodedata
 
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lexforge.llm import boilerplate, langid
@@ -68,6 +71,38 @@ def test_a_network_trained_in_parts(spark, documents, monkeypatch):
     assert len(right) > 100 and sum(right) / len(right) > 0.9  # some labels are wrong
 
 
+def test_what_training_has_learned_is_not_read_again(spark, documents, monkeypatch):
+    monkeypatch.setattr(boilerplate, "PART", 300_000)
+    rows = [(-1, "Ein Satz ohne Kennung, der trotzdem gelesen wird.", None), (-2, "kurz", "de")]
+    pages = langid.pages_of(documents.where("id % 4 > 0").unionByName(spark.createDataFrame(rows, documents.schema)), "id", "content", "language")
+    read, net, w = langid.readings(pages)
+    text = {r["k"]: r for r in pages.collect()}
+    got = read.collect()
+    assert sorted(r["k"] for r in got) == sorted(text)
+    known, long = 0, 0
+    for r in got:
+        page = text[r["k"]]
+        assert (r["z"] is None) == (page["by"] is None) and r["a"] == page["a"]
+        if r["z"] is None:
+            assert r["t"] == page["t"]
+            continue
+        found, learned, logs = langid._page(r["z"], r["size"], r["spans"], r["logs"])
+        assert found == (langid.prose(page["t"], w, page["site"], boilerplate.kept_lines(page["t"])) or [(0, page["t"])])
+        # only what the network gave to the label of the page
+        assert len(logs) == learned.sum() and (logs[:, langid.LANGUAGES.index(page["by"])] > np.log(langid.LEARNED) - 1e-3).all()
+        known, long = known + learned.sum(), long + len(langid._units(found))
+    assert known > long / 3
+    whole = {r["id"]: r["language"] for r in langid.document_languages(pages.withColumnsRenamed({"k": "id"}), "id", "t", "a", net, w, "site", ready=True).collect()}
+    rest = {r["id"]: r["language"] for r in langid.document_languages(read.withColumnsRenamed({"k": "id"}), "id", "t", "a", net, w, "site", ready=True).collect()}
+    assert whole.keys() == rest.keys() and sum(whole[k] == v for k, v in rest.items()) > 0.98 * len(rest)
+
+
+def test_lines_are_folded_word_by_word():
+    for line in ("Ὁ Λόγος\u00a0 ἦν  12 ½ ", "a´ ´b", "\tx\x1cy ", " Straße  \u3000№ 7", "", " "):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", line) if not unicodedata.combining(c)).casefold()
+        assert boilerplate.fold(line) == regex.sub(r"\s+", " ", regex.sub(r"\p{N}+", "0", plain)).strip().replace("ς", "σ")
+
+
 def test_words_and_gaps_come_from_all_texts(spark, small, monkeypatch):
     from lexforge.llm import segment, spaceless
 
